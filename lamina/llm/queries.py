@@ -11,6 +11,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import bpe_round_trip
+
+    return bpe_round_trip(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_jaccard_join
 
@@ -18,7 +30,7 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op2_bpe_encode_decode, op4_ngram_jaccard_join,)}
 
 
 def oracle_sql() -> dict[str, str]:
