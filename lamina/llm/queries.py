@@ -29,6 +29,14 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out, identify, learn
+
+    docs = _table(spark, sf_dir, "documents")
+    model = learn(docs.where(~held_out(5, 0)))
+    return identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op2_bpe_encode_decode, op4_ngram_jaccard_join,)}
 

@@ -56,12 +56,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(33))
 
 
-def spans(data: np.ndarray, off: np.ndarray, member: np.ndarray):
-    """(start, end, row) of each maximal run of member bytes; a run never crosses rows."""
+def spans(data: np.ndarray, off: np.ndarray, w: np.ndarray):
+    """(start, end, row) of each maximal run of bytes where w holds; a run never crosses rows."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    w = member[data]
     first = w.copy()
     first[1:] &= ~w[:-1]
     last = w.copy()
@@ -104,7 +103,7 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int = 5):
     Words are runs of bytes outside SPACES, A-Z folded. A row with fewer words
     than width has one shingle of all of them; a row without words has none.
     """
-    a, b, row = spans(data, off, ~SPACES)
+    a, b, row = spans(data, off, ~SPACES[data])
     h = hash_runs(data, a, b)
     n = len(h)
     if not n:
@@ -131,3 +130,26 @@ def shingles(data: np.ndarray, off: np.ndarray, width: int = 5):
     new = np.ones(len(r), bool)
     new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
     return r[new], s[new]
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters, near enough: a-z and all that is not ASCII, but signs of Latin-1 and general punctuation."""
+    w = LETTERS[data]
+    at = np.flatnonzero((data == 0xC2) | (data == 0xE2))
+    if len(at):
+        nxt = data[np.minimum(at + 1, len(data) - 1)]
+        sign = at[(data[at] == 0xC2) & (nxt != 0xAA) & (nxt != 0xB5) & (nxt != 0xBA)]
+        mark = at[(data[at] == 0xE2) & (nxt < 0xB0)]
+        for lead, size in ((sign, 2), (mark, 3)):
+            for k in range(size):
+                w[np.minimum(lead + k, len(data) - 1)] = False
+    return w
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """A-Z and the capitals of Latin-1 in lower case."""
+    out = FOLD[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
+    up = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    out[up] += 32
+    return out
