@@ -29,6 +29,22 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import held_out
+    from .toxicity import fit, sample, toxicity
+
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(~held_out(3, 1))
+    model = fit(sample(docs, labels).collect())
+    return toxicity(docs, model).select("doc_id", held_out(3, 1).alias("held_out"), "score", "predicted")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import best_fit
+
+    return best_fit(_table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import held_out, identify, learn
 
