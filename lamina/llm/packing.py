@@ -49,6 +49,16 @@ class Encoder:
         self.special = tuple(t.content for t in self.whole.get_added_tokens_decoder().values())
         self.words: dict[str, bytes] = {}
 
+    def encode_plain(self, text: str) -> bytes:
+        """As encode(), but strings of special tokens are ordinary text."""
+        if not any(s in text for s in self.special):
+            return self.encode(text)
+        self.whole.encode_special_tokens = True
+        try:
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        finally:
+            self.whole.encode_special_tokens = False
+
     def encode(self, text: str | None) -> bytes:
         """Little-endian 32-bit ids of a whole text; none for null."""
         if not text:
