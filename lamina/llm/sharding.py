@@ -33,11 +33,6 @@ def _metadata(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), name["source"].alias("source"), name["lang"].alias("lang"))
 
 
-def _pick(values, node):
-    """The value of a row's node."""
-    return F.element_at(F.array(*(F.lit(v) for v in values)), node + 1)
-
-
 def kd_shards(docs: DataFrame, target_bytes: int | None = None, depth: int | None = None) -> DataFrame:
     """Shards of nearly equal bytes: doc_id, size, text_crc32, shard, slot, one row per input row.
 
@@ -72,16 +67,14 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, depth: int | Non
             i = r["node"]
             dim[i] = max(DIMENSIONS, key=lambda c: (r[f"{c}_hi"] // _HALF - r[f"{c}_lo"] // _HALF, -DIMENSIONS.index(c)))
             lo[i], hi[i], total[i] = r[f"{dim[i]}_lo"], r[f"{dim[i]}_hi"] + 1, r["bytes"]
-        key = _pick([DIMENSIONS.index(d) for d in dim], F.col("node"))
-        at = at.withColumn("key", F.element_at(F.array(*(F.col(f"k_{c}") for c in DIMENSIONS)), key + 1))
+        known = list(at.columns)
         cut: list = [None if total[i] else 0 for i in range(nodes)]
         while any(c is None for c in cut):
             width = [max(1, -(-(hi[i] - lo[i]) // BINS)) for i in range(nodes)]
-            open_ = [c is None for c in cut]
-            here = at.where(_pick(open_, F.col("node")) & (F.col("key") >= _pick(lo, F.col("node"))) & (F.col("key") < _pick(hi, F.col("node"))))
-            bin_ = F.expr("(key - lo_) div width_").cast("int")
-            here = here.select("node", "size", "key", _pick(lo, F.col("node")).cast("long").alias("lo_"), _pick(width, F.col("node")).cast("long").alias("width_"))
-            got = here.groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("bytes")).collect()
+            params = [(i, DIMENSIONS.index(dim[i]) + 1, lo[i], hi[i], width[i]) for i in range(nodes) if cut[i] is None]
+            params = F.broadcast(at.sparkSession.createDataFrame(params, "node int, dim int, lo long, hi long, width long"))
+            here = at.join(params, "node").withColumn("key", F.element_at(F.array(*(F.col(f"k_{c}") for c in DIMENSIONS)), F.col("dim"))).where("key >= lo and key < hi")
+            got = here.groupBy("node", F.expr("(key - lo) div width").cast("int").alias("bin")).agg(F.sum("size").alias("bytes")).collect()
             for i in range(nodes):
                 if cut[i] is not None:
                     continue
@@ -94,7 +87,9 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, depth: int | Non
                     cut[i] = start if total[i] - 2 * sums[k] <= 2 * sums[k + 1] - total[i] else start + width[i]
                 else:
                     below[i], lo[i], hi[i] = sums[k], start, start + width[i]
-        at = at.withColumn("node", (F.col("node") * 2 + F.when(F.col("key") >= _pick(cut, F.col("node")), 1).otherwise(0)).cast("int")).drop("key")
+        cuts = at.sparkSession.createDataFrame([(i, DIMENSIONS.index(dim[i]) + 1, cut[i]) for i in range(nodes)], "node int, dim int, cut long")
+        right = F.element_at(F.array(*(F.col(f"k_{c}") for c in DIMENSIONS)), F.col("dim")) >= F.col("cut")
+        at = at.join(F.broadcast(cuts), "node").withColumn("node", F.col("node") * 2 + right.cast("int")).select(known)
 
     placed = scratch.write(at.select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard")), "placed")
     scratch.drop("rows")
