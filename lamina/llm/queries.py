@@ -99,6 +99,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")
 
 
+def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lattice import embedding_near_dedup
+
+    return embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit() and callable(f)}
 
