@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import textkernel as K
 
@@ -182,7 +183,7 @@ def identify(docs: DataFrame, model: LanguageModel, switch: float = SWITCH, keep
     learned. Ties go to the language that comes first by name.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = SCHEMA + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kind = StructType([*_parse_datatype_string(SCHEMA).fields, *(docs.schema[c] for c in keep)])
 
     def run(batches):
         model = shared.value

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 from . import textkernel as K
 
@@ -273,5 +274,5 @@ def toxicity(docs: DataFrame, model: Classifier, keep: tuple[str, ...] = ()) ->
             out = [batch.column("doc_id"), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*out, *(batch.column(c) for c in keep)], names=["doc_id", "score", "predicted", *keep])
 
-    kind = "doc_id long, score double, predicted int" + "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in keep)
+    kind = StructType([*_parse_datatype_string("doc_id long, score double, predicted int").fields, *(docs.schema[c] for c in keep)])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *dict.fromkeys(("text", *keep))).mapInArrow(run, kind)
