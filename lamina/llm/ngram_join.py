@@ -28,13 +28,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .blocks import deal, pairs, runs
 from .shared import Scratch, connected_components
 
 THRESHOLD = 80  # per cent
 WIDTH = 5
 #: Rows of a region that are compared in one block.
 BLOCK = 512
-ROUNDS = 3
+ROUNDS = 1
+#: Slots of the sketch of shingle counts, for each document, and least and most of them (a byte each is broadcast).
+SKETCH, SKETCH_LEAST, SKETCH_MOST = 16, 1 << 16, 1 << 24
+SKETCH_BLOCK = 1 << 14
+#: Bits of a set's parity signature.
+PARITY = 1024
+#: Level from which a shingle's region is dealt by hash of the document, for its size has no bound.
+HOT = 5
 
 
 def _sets(batch: pa.RecordBatch):
@@ -46,35 +54,47 @@ def _sets(batch: pa.RecordBatch):
 
 def _profile(slots: int):
     def run(batches):
-        counts = np.zeros(slots, np.int64)
+        counts = np.zeros(slots, np.int32)
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, r, s in _sets(batch):
                 n = np.bincount(r, minlength=hi - lo)
-                counts += np.bincount((s & np.uint64(slots - 1)).astype(np.int64), minlength=slots)
+                slot, more = np.unique((s & np.uint64(slots - 1)).astype(np.int64), return_counts=True)
+                counts[slot] += more.astype(np.int32)
                 h = np.zeros((2, hi - lo), np.uint64)
                 full = np.flatnonzero(n)
                 if len(full):
                     at = (np.cumsum(n) - n)[full]
                     h[0, full] = np.add.reduceat(K.mix(s), at)
                     h[1, full] = np.add.reduceat(K.mix(s ^ np.uint64(0x5DEECE66D1234567)), at)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(n.astype(np.int64)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.nulls(hi - lo, pa.int32())], names=["doc_id", "n", "h1", "h2", "slot"])
-        slot = np.flatnonzero(counts)
-        for lo in range(0, len(slot), 1 << 16):
-            part = slot[lo : lo + (1 << 16)]
-            none = pa.nulls(len(part), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, pa.array(counts[part]), none, none, pa.array(part.astype(np.int32))], names=["doc_id", "n", "h1", "h2", "slot"])
-
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(n.astype(np.int64)), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), pa.nulls(hi - lo, pa.int32()), pa.nulls(hi - lo, pa.binary())], names=names)
+        # A partition's count of a slot stops at 255: such a slot stands out all the same.
+        for i, c in enumerate(np.minimum(counts, 255).astype(np.uint8).reshape(-1, SKETCH_BLOCK)):
+            if c.any():
+                none = pa.nulls(1, pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([i], pa.int32()), pa.array([c.tobytes()], pa.binary())], names=names)
+
+    names = ["doc_id", "n", "h1", "h2", "block", "counts"]
     return run
 
 
+def _summed(batches):
+    """Adds up the sketch blocks of a partition."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for i, c in zip(batch.column("block").to_pylist(), batch.column("counts"), strict=True):
+            total[i] = total.get(i, 0) + np.frombuffer(c.as_buffer(), np.uint8).astype(np.int32)
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], names=["block", "counts"])
+
+
 def prefix_size(n, threshold: int = THRESHOLD):
     """Regions of a set of n: one more than the shingles that a partner may lack."""
     return n - (threshold * n + 99) // 100 + 1
 
 
 def _postings(levels, threshold: int):
-    """Region rows (s, doc_id, n, hot) of each document's window; the first of equal sets in a partition stands for them."""
+    """Region rows (s, doc_id, n, place, hot) of each document's window; the first of equal sets in a partition stands for them."""
 
     def run(batches):
         level, seen = levels.value, set()
@@ -95,87 +115,89 @@ def _postings(levels, threshold: int):
                 if len(seen) > 200_000:
                     seen.clear()
                 hot = level[(s & np.uint64(len(level) - 1)).astype(np.int64)]
-                order = np.lexsort((s, hot, r))  # rows stay together, so places in a row are as before
-                place = np.arange(len(r)) - np.repeat(at, n[full])
-                take = order[(place < prefix_size(n, threshold)[r]) & new[r]]
-                yield pa.RecordBatch.from_arrays([pa.array(s[take].view(np.int64)), pa.array(ids[lo:hi][r[take]]), pa.array(n[r[take]].astype(np.int32)), pa.array(hot[take] > 0)], names=["s", "doc_id", "n", "hot"])
+                size = prefix_size(n, threshold)
+                # Within a row shingles are in order of s; those of level 0 come first.
+                plain = np.cumsum(hot == 0)
+                plain -= np.repeat(plain[at] - (hot[at] == 0), n[full])
+                short = np.zeros(hi - lo, bool)
+                short[full] = np.add.reduceat((hot == 0).astype(np.int64), at) < size[full]
+                take = np.flatnonzero((hot == 0) & (plain <= size[r]) & new[r] & ~short[r])
+                place = plain[take] - 1
+                rest = np.flatnonzero((short & new)[r])
+                if len(rest):
+                    order = rest[np.lexsort((s[rest], hot[rest], r[rest]))]
+                    own = r[order]
+                    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                    at_rest = np.arange(len(own)) - np.repeat(first, n[own[first]])
+                    ok = at_rest < size[own]
+                    take, place = np.concatenate([take, order[ok]]), np.concatenate([place, at_rest[ok]])
+                yield pa.RecordBatch.from_arrays([pa.array(s[take].view(np.int64)), pa.array(ids[lo:hi][r[take]]), pa.array(n[r[take]].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(hot[take] >= HOT)], names=["s", "doc_id", "n", "place", "hot"])
 
     return run
 
 
-def _shared_only(batches):
-    """Drops the rows of which s occurs once, from batches sorted by s, holding back one row."""
-    tail, told = None, True
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        s = batch.column("s").to_numpy()
-        before = np.zeros(len(s), bool)
-        before[1:] = s[1:] == s[:-1]
-        if tail is not None and tail.column("s")[0].as_py() == s[0]:
-            before[0] = True
-            if not told:
-                yield tail
-        keep = before.copy()
-        keep[:-1] |= before[1:]
-        yield batch.filter(pa.array(keep))
-        tail, told = batch.slice(len(s) - 1), bool(keep[-1])
+def _shared_only(threshold: int):
+    """Drops rows of regions that have no partner of a fitting size there, from rows sorted by (s, n)."""
+
+    def run(batches):
+        for t in runs(batches, ["s"]):
+            s, n, place = (t.column(c).to_numpy() for c in ("s", "n", "place"))
+            n = n.astype(np.int64)
+            same = s[1:] == s[:-1]
+            # The smaller of a linked pair has its first shared shingle early enough for the larger one's size.
+            up = np.zeros(len(s), bool)
+            up[:-1] = same & ((100 + threshold) * (n[:-1] - place[:-1]) >= threshold * (n[:-1] + n[1:]))
+            down = np.zeros(len(s), bool)
+            down[1:] = same & (100 * n[:-1] >= threshold * n[1:])
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            alive = np.logical_or.reduceat(up, first)
+            keep = np.repeat(alive, np.diff(np.concatenate([first, [len(s)]]))) & (up | down)
+            if keep.any():
+                yield from t.filter(pa.array(keep)).to_batches()
+
+    return run
 
 
 def _pairs(threshold: int):
-    """Pairs (a, b) of one block whose components differ and whose sizes allow a link."""
+    """Pairs (a, b) of each block whose components differ and whose sizes, places and signatures allow a link."""
 
     def run(batches):
-        held = []
-        key = None
-
-        def flush():
-            t = pa.Table.from_batches(held).combine_chunks()
-            col = {c: t.column(c).to_numpy() for c in ("doc_id", "n", "component", "chunk")}
-            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-            left, right = np.flatnonzero(col["chunk"] == i), np.flatnonzero(col["chunk"] == j)
-            for at in left.tolist():
-                n, m = int(col["n"][at]), col["n"][right]
-                ok = (col["component"][right] != col["component"][at]) & (100 * np.minimum(m, n) >= threshold * np.maximum(m, n))
-                if i == j:
-                    ok &= right > at
-                to = col["doc_id"][right[ok]]
-                if len(to):
-                    own = np.full(len(to), col["doc_id"][at])
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(own, to)), pa.array(np.maximum(own, to))], names=["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            k = np.stack([batch.column(c).to_numpy() for c in ("s", "i", "j")])
-            cuts = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                now = tuple(k[:, lo].tolist())
-                if held and now != key:
-                    yield from flush()
-                    held = []
-                key = now
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            yield from flush()
+        for t in runs(batches, ["s", "i", "j"]):
+            doc, n, place, component = (t.column(c).to_numpy().astype(np.int64) for c in ("doc_id", "n", "place", "component"))
+            parity = _parities(t.column("parity"))
+            for i, j in pairs(t, ["s"]):
+                # If this is their first shared shingle, what follows it must suffice for the overlap.
+                after = np.minimum((n - place)[i], (n - place)[j])
+                ok = (component[i] != component[j]) & ((100 + threshold) * after >= threshold * (n[i] + n[j]))
+                i, j = i[ok], j[ok]
+                for lo in range(0, len(i), 1 << 15):
+                    a, b = i[lo : lo + (1 << 15)], j[lo : lo + (1 << 15)]
+                    ok = _may_link(parity[a], parity[b], n[a] + n[b], threshold)
+                    a, b = doc[a[ok]], doc[b[ok]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return run
 
 
-def _chosen_sets(bitmap):
-    """(doc_id, set) of the documents that a bitmap of fixed size lets through."""
+def _chosen(bitmap, parity: bool):
+    """Of the documents that a bitmap of fixed size lets through, the parity signatures (doc_id, n, parity) or the sets (doc_id, items)."""
 
     def run(batches):
-        bits = bitmap.value
+        let = bitmap.value
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            slot = _slot_of(ids, len(bits) * 8)
-            batch = batch.filter(pa.array((bits[slot >> 3] >> (slot & 7)) & 1 == 1))
+            slot = _slot_of(ids, len(let) * 8)
+            batch = batch.filter(pa.array((let[slot >> 3] >> (slot & 7)) & 1 == 1))
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for lo, hi, r, s in _sets(batch):
                 n = np.bincount(r, minlength=hi - lo)
-                off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.ListArray.from_arrays(pa.array(off), pa.array(s.view(np.int64)))], names=["doc_id", "items"])
+                if parity:
+                    bits = np.bincount(r * PARITY + (K.mix(s) % np.uint64(PARITY)).astype(np.int64), minlength=(hi - lo) * PARITY) & 1
+                    packed = [x.tobytes() for x in np.packbits(bits.astype(np.uint8).reshape(-1, PARITY), axis=1)]
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.array(n.astype(np.int32)), pa.array(packed, pa.binary())], names=["doc_id", "n", "parity"])
+                else:
+                    off = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo:hi]), pa.ListArray.from_arrays(pa.array(off), pa.array(s.view(np.int64)))], names=["doc_id", "items"])
 
     return run
 
@@ -188,8 +210,8 @@ def _slot_of(ids: np.ndarray, size: int) -> np.ndarray:
     return (K.mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Which slots the ids fall into; at most BITMAP slots reach the driver, as packed words."""
+def _bitmap(ids: DataFrame):
+    """Which slots the ids fall into, as a broadcast of BITMAP bits."""
 
     def words(batches):
         own = np.zeros(BITMAP, bool)
@@ -202,7 +224,34 @@ def _bitmap(ids: DataFrame) -> np.ndarray:
     got = ids.select("doc_id").mapInArrow(words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
     packed = np.zeros(BITMAP // 64, np.int64)
     packed[got["word"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
-    return packed.view(np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(packed.view(np.uint8))
+
+
+def _parities(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, PARITY // 64)
+
+
+def _may_link(x: np.ndarray, y: np.ndarray, size: np.ndarray, threshold: int) -> np.ndarray:
+    """Pairs that their parity signatures don't rule out; size: the sum of both sets' sizes.
+
+    Signatures differ in at most as many bits as the sets in elements, so more
+    bits than a link allows prove that there is none.
+    """
+    far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return (100 + threshold) * far <= (100 - threshold) * size.astype(np.int64)
+
+
+def _screened(pairs: DataFrame, signs: DataFrame, threshold: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                size = batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
+                ok = _may_link(_parities(batch.column("pa")), _parities(batch.column("pb")), size, threshold)
+                yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    for c in "ab":
+        pairs = pairs.join(signs.select(F.col("doc_id").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("p" + c)), c)
+    return pairs.mapInArrow(run, "a long, b long")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -227,53 +276,54 @@ def ngram_jaccard_join(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    rows = max(1, docs.count())
-    slots = min(1 << 22, max(1 << 16, 1 << (rows // 4).bit_length()))
-    sketch = scratch.write(docs.mapInArrow(_profile(slots), "doc_id long, n long, h1 long, h2 long, slot int"), "profile")
-    profile = sketch.where("slot is null").drop("slot").groupBy("doc_id").agg(F.max(F.struct("n", "h1", "h2")).alias("k")).select("doc_id", "k.*")
-    profile = profile if sketch.where("slot is null").count() > rows else sketch.where("slot is null").drop("slot")
-
-    # The sketch: counts by slot, as many as slots.
-    counts = np.zeros(slots, np.int64)
-    got = sketch.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    counts[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-    usual = counts.mean() + 8 * np.sqrt(counts.mean()) + 32
-    levels = np.ceil(np.log2(np.maximum(counts / usual, 1))).astype(np.uint8)
+    slots = min(SKETCH_MOST, max(SKETCH_LEAST, 1 << (SKETCH * docs.count()).bit_length()))
+    sketch = scratch.write(docs.mapInArrow(_profile(slots), "doc_id long, n long, h1 long, h2 long, block int, counts binary"), "profile")
+    found = sketch.where("block is null").select("doc_id", "n", "h1", "h2")
+
+    # The sketch, by levels of how far a slot's count stands out.
+    counts = np.zeros((slots // SKETCH_BLOCK, SKETCH_BLOCK), np.int32)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    for row in sketch.where("block is not null").select("block", "counts").repartition(parts, "block").mapInArrow(_summed, "block int, counts binary").toLocalIterator():
+        counts[row.block] = np.frombuffer(row.counts, np.int32)
+    counts = counts.ravel()
+    step = 2 * np.sqrt(counts.mean()) + 2
+    levels = np.ceil(np.log2(np.maximum((counts - counts.mean()) / step, 1))).astype(np.uint8)
     levels = spark.sparkContext.broadcast(levels)
 
     # Equal sets: one edge from each copy to the first of its class.
-    full = sketch.where("slot is null and n > 0")
+    full = found.where("n > 0")
     first = full.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z")
     copies = full.select(F.col("doc_id").alias("b"), "n", "h1", "h2").join(first, ["n", "h1", "h2"]).select("a", "b").where("a < b").distinct()
     copies = scratch.write(copies, "copies")
 
-    posted = docs.mapInArrow(_postings(levels, threshold), "s long, doc_id long, n int, hot boolean")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    posted = scratch.write(posted.where("not hot").repartition(parts, "s").sortWithinPartitions("s").mapInArrow(_shared_only, posted.schema).unionByName(posted.where("hot")).drop("hot"), "posted")
+    posted = docs.mapInArrow(_postings(levels, threshold), "s long, doc_id long, n int, place int, hot boolean")
+    posted = scratch.write(posted.where("not hot").repartition(parts, "s").sortWithinPartitions("s", "n").mapInArrow(_shared_only(threshold), posted.schema).unionByName(posted.where("hot")).drop("hot"), "posted")
 
-    links, labels = copies, None
-    sets = None
+    links = signs = None
     for turn in range(ROUNDS + 1):
-        labels = connected_components(links, scratch, f"cc{turn}-")
+        # Copies are stars already.
+        labels = connected_components(links, scratch, f"cc{turn}-") if turn else copies.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(copies.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())
         labels = scratch.write(labels, f"labels{turn}")
         here = posted.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed = here.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"), F.min_by(F.struct("doc_id", "component", "n"), F.xxhash64("doc_id", F.lit(turn))).alias("p")).where("lo < hi")
         here = scratch.write(here.join(mixed.drop("lo", "hi"), "s"), f"mixed{turn}")
         fits = F.lit(100) * F.least("n", "p.n") >= F.lit(threshold) * F.greatest("n", "p.n")
+        if signs is None:
+            # Every later candidate is in a mixed region of the first turn.
+            signs = scratch.write(docs.mapInArrow(_chosen(_bitmap(here.select("doc_id")), True), "doc_id long, n int, parity binary"), "signs")
         if turn < ROUNDS:
-            pairs = here.where(F.col("component") != F.col("p.component")).where(fits).select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
+            near = here.where(F.col("component") != F.col("p.component")).where(fits).select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct()
+            near = _screened(near, signs, threshold)
         else:
-            chunks = F.ceil(F.col("rows") / BLOCK).cast("int")
-            cut = here.select("s", "doc_id", "n", "component", chunks.alias("c")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("c")).cast("int"))
-            cut = cut.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("c") - 1))).withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o")).drop("c", "o")
-            pairs = cut.repartition(parts, "s", "i", "j").sortWithinPartitions("s", "i", "j").mapInArrow(_pairs(threshold), "a long, b long").distinct()
-        pairs = scratch.write(pairs, f"pairs{turn}")
-        if sets is None:
-            # Every later candidate is in a mixed region of the first turn.
-            wanted = spark.sparkContext.broadcast(_bitmap(here.select("doc_id")))
-            sets = scratch.write(docs.mapInArrow(_chosen_sets(wanted), "doc_id long, items array<long>"), "sets")
-        links = scratch.write(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(_verified(pairs, sets, threshold)), f"links{turn}")
+            rows = here.select("s", "doc_id", "n", "place", "component", "rows").join(signs.select("doc_id", "parity"), "doc_id")
+            near = deal(rows, ["s"], "doc_id", "rows", BLOCK).mapInArrow(_pairs(threshold), "a long, b long").distinct()
+        near = scratch.write(near, f"near{turn}")
+        ends = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id")))
+        sets = scratch.write(docs.mapInArrow(_chosen(_bitmap(ends), False), "doc_id long, items array<long>"), f"sets{turn}")
+        links = scratch.write(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(_verified(near, sets, threshold)), f"links{turn}")
+        scratch.drop(f"sets{turn}", f"mixed{turn}", f"near{turn}")
     labels = scratch.write(connected_components(links, scratch, "cc-"), "labels")
-    scratch.drop("posted", "sets", "copies", *(f"{x}{i}" for x in ("pairs", "mixed", "links", "labels") for i in range(ROUNDS + 1)))
-    found = profile.select("doc_id", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    scratch.drop("posted", "signs", "copies", *(f"{x}{i}" for x in ("links", "labels") for i in range(ROUNDS + 1)))
+    profile = found.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
+    found = profile.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
