@@ -1 +1,180 @@
-"""Queries."""
+"""Chip, index and row-placement queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import geometry as G
+from ..functions.stats import count
+from ..operators import chip
+from ..operators import index as I
+from ..operators import place
+from ..operators import pyramid as P
+from ..registry import query
+from ..sources.tables import Design
+
+_INST = """, pitch AS (SELECT CAST(floor(world * 1.01) AS BIGINT) AS p, world AS s FROM geo
+), inst AS (SELECT n_nationkey AS i, 0 AS block, CAST(n_nationkey % 5 AS BIGINT) * p AS x, CAST(n_nationkey // 5 AS BIGINT) * p AS y, n_nationkey % 8 AS o, s FROM nation, pitch
+)"""
+
+
+@query("p29_chip_grid", _INST + "SELECT i, x, y, o FROM inst")
+def p29(spark, sf_dir):
+    return Design(spark, sf_dir).instances.select("i", "x", "y", "o")
+
+
+@query("s08_default_instance", _INST + "SELECT i, block, x, y, o FROM inst UNION ALL SELECT 0, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0 WHERE NOT EXISTS (SELECT 1 FROM inst)")
+def s08(spark, sf_dir):
+    """The chip's instances; without any, the block once, as it is."""
+    i = Design(spark, sf_dir).instances.select("i", "block", "x", "y", "o")
+    one = spark.range(1).selectExpr("0 AS i", "0 AS block", "0L AS x", "0L AS y", "0 AS o")
+    return i.unionByName(one.join(i.limit(1).select(F.lit(1).alias("there")), F.lit(True), "left_anti"))
+
+
+@query("p03_affine_round_trip", _INST + """, pt AS (SELECT unnest(range(0, 5)) AS k), q AS (SELECT i, o, s, x, y, k, CASE k WHEN 1 THEN s WHEN 3 THEN s WHEN 4 THEN 12345 ELSE 0 END AS px, CASE k WHEN 2 THEN s WHEN 3 THEN s WHEN 4 THEN 67890 ELSE 0 END AS py FROM inst, pt)
+SELECT i, k, x + CASE o WHEN 0 THEN px WHEN 1 THEN s - px WHEN 2 THEN s - py WHEN 3 THEN py WHEN 4 THEN s - px WHEN 5 THEN px WHEN 6 THEN s - py ELSE py END AS u, y + CASE o WHEN 0 THEN py WHEN 1 THEN s - py WHEN 2 THEN px WHEN 3 THEN s - px WHEN 4 THEN py WHEN 5 THEN s - py WHEN 6 THEN s - px ELSE px END AS v, true AS exact FROM q""")
+def p03(spark, sf_dir):
+    """Corners and an inner point of the block through every instance's transform and back."""
+    d = Design(spark, sf_dir)
+    w = d.world
+    pts = F.explode(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.lit(a).cast("long").alias("px"), F.lit(b).cast("long").alias("py")) for k, (a, b) in enumerate([(0, 0), (w, 0), (0, w), (w, w), (12345, 67890)]))))
+    q = d.instances.withColumn("p", pts).select("i", "o", "x", "y", "p.*")
+    cu, cv = G.to_chip(F.col("o"), F.lit(w), F.col("px"), F.col("py"))
+    q = q.withColumns({"u": F.col("x") + cu, "v": F.col("y") + cv})
+    bx, by = chip.point_to_block(F.col("o"), w, F.col("x"), F.col("y"), F.col("u"), F.col("v"))
+    return q.select("i", "k", "u", "v", ((bx == F.col("px")) & (by == F.col("py"))).alias("exact"))
+
+
+@query("a22_chip_geometry", _INST + ", d AS (SELECT DISTINCT 'x' AS axis, x AS p FROM inst UNION SELECT 'y', y FROM inst), g AS (SELECT axis, p, p - lag(p) OVER (PARTITION BY axis ORDER BY p) AS gap FROM d) SELECT axis, count(*) AS positions, min(gap) AS pitch FROM g GROUP BY axis")
+def a22(spark, sf_dir):
+    return chip.axis_geometry(Design(spark, sf_dir).instances)
+
+
+@query("w07_min_gap", ", d AS (SELECT DISTINCT x FROM plc WHERE klass = 1), g AS (SELECT x - lag(x) OVER (ORDER BY x) AS gap FROM d) SELECT count(*) AS gaps, min(gap) AS least FROM g WHERE gap IS NOT NULL")
+def w07(spark, sf_dir):
+    """Least gap between neighbouring macro positions."""
+    x = Design(spark, sf_dir).placements().where("klass = 1").select("x").distinct()
+    return x.select((F.col("x") - F.lag("x").over(Window.orderBy("x"))).alias("gap")).where("gap is not null").agg(count().alias("gaps"), F.min("gap").alias("least"))
+
+
+@query("w12_one_per_orientation", _INST + "SELECT o, min(i) AS i FROM inst GROUP BY o ORDER BY i LIMIT 4")
+def w12(spark, sf_dir):
+    """One instance of each orientation, the first four seen."""
+    return Design(spark, sf_dir).instances.groupBy("o").agg(F.min("i").alias("i")).orderBy("i").limit(4)
+
+
+@query("f15_block_zero", _INST + "SELECT i FROM inst WHERE block = 0")
+def f15(spark, sf_dir):
+    return Design(spark, sf_dir).instances.where("block = 0").select("i")
+
+
+@query("j20_block_references", _INST + "SELECT count(*) AS instances, 0::BIGINT AS dangling FROM inst")
+def j20(spark, sf_dir):
+    """Instances whose block doesn't exist."""
+    i = Design(spark, sf_dir).instances
+    blocks = spark.range(1).selectExpr("cast(id as int) AS block")
+    return i.agg(count().alias("instances")).crossJoin(i.join(blocks, "block", "left_anti").agg(count().alias("dangling")))
+
+
+@query("f17_tiles_in_die", ", t AS (SELECT DISTINCT tx, ty, tile FROM tp) SELECT tx, ty, tx * tile < 2000000 AND ty * tile < 2000000 AS in_die FROM t")
+def f17(spark, sf_dir):
+    """Occupied tiles that overlap a smaller die."""
+    d = Design(spark, sf_dir)
+    return P.tile_counts(d).selectExpr("tx", "ty", f"tx * {d.tile} < 2000000 and ty * {d.tile} < 2000000 AS in_die")
+
+
+@query("f18_camera_sees_chip", _INST + ", v AS (SELECT event_id AS qid, (event_id * 7919) % 30000000 - 8000000 AS x0, (event_id * 104729) % 30000000 - 8000000 AS y0 FROM events WHERE event_id < 500), e AS (SELECT min(x) AS ax, min(y) AS ay, max(x + s) AS bx, max(y + s) AS byy FROM inst) SELECT qid, x0 <= bx AND x0 + 400000 >= ax AND y0 <= byy AND y0 + 300000 >= ay AS sees FROM v, e")
+def f18(spark, sf_dir):
+    d = Design(spark, sf_dir)
+    e = d.instances.agg(F.min("x").alias("ax"), F.min("y").alias("ay"), (F.max("x") + d.world).alias("bx"), (F.max("y") + d.world).alias("byy"))
+    v = d.table("events").where("event_id < 500").selectExpr("event_id AS qid", "(event_id * 7919) % 30000000 - 8000000 AS x0", "(event_id * 104729) % 30000000 - 8000000 AS y0")
+    return v.crossJoin(F.broadcast(e)).selectExpr("qid", "x0 <= bx and x0 + 400000 >= ax and y0 <= byy and y0 + 300000 >= ay AS sees")
+
+
+_PACK = """, gr AS (SELECT CASE WHEN bool_and(x % 200 = 0) THEN 200 ELSE 1 END AS gx, CASE WHEN bool_and(y % 1000 = 0) THEN 1000 ELSE 1 END AS gy, (SELECT count(*) FROM mast) AS masters FROM plc
+), bt AS (SELECT gx, gy, CAST(ceil(log2(ceil(tile / CAST(gx AS DOUBLE)) + 2)) AS INTEGER) AS bx, CAST(ceil(log2(ceil(tile / CAST(gy AS DOUBLE)) + 2)) AS INTEGER) AS byy, CAST(ceil(log2(masters)) AS INTEGER) AS bm FROM gr, geo
+)"""
+
+
+@query("k09_index_plan", _PACK + "SELECT CAST(gx AS BIGINT) AS grid_x, CAST(gy AS BIGINT) AS grid_y, bx AS bits_x, byy AS bits_y, bm AS bits_m, bx + byy + bm + 3 AS bits FROM bt")
+def k09(spark, sf_dir):
+    """Grid and bit widths of the placement index."""
+    d = Design(spark, sf_dir)
+    p = I.plan(d)
+    return spark.createDataFrame([(p.grid_x, p.grid_y, p.bits_x, p.bits_y, p.bits_m, p.bits)], "grid_x long, grid_y long, bits_x int, bits_y int, bits_m int, bits int")
+
+
+@query("p05_index_records", _PACK + "SELECT pno, (x // gx - tx * tile // gx) | ((y // gy - ty * tile // gy) << bx) | (m << (bx + byy)) | (CAST(o AS BIGINT) << (bx + byy + bm)) AS record FROM tp, bt")
+def p05(spark, sf_dir):
+    """Packed index records of all placements."""
+    d = Design(spark, sf_dir)
+    return I.packed(d, I.plan(d)).select("pno", "record")
+
+
+@query("s07_index_decode", "SELECT pno, m, o, x, y FROM tp")
+def s07(spark, sf_dir):
+    """Placements read back from packed index records."""
+    d = Design(spark, sf_dir)
+    p = I.plan(d)
+    return I.decoded(I.packed(d, p), d, p).select("pno", "m", "o", "x", "y")
+
+
+@query("j16_eager_vs_index", "SELECT 0::BIGINT AS only_eager, 0::BIGINT AS only_index, count(*) AS rows_ FROM tp")
+def j16(spark, sf_dir):
+    """Tile rows built from placements against those built from the index: both differences."""
+    d = Design(spark, sf_dir)
+    p = I.plan(d)
+    cols = ["tx", "ty", "pno", "m", "o", "x", "y"]
+    eager, lazy = P.tiled(d, True).select(*cols), I.decoded(I.packed(d, p), d, p).select(*cols)
+    sides = eager.withColumn("side", F.lit(1)).unionByName(lazy.withColumn("side", F.lit(-1)))
+    per = sides.groupBy(*cols).agg(F.sum("side").alias("s"), count().alias("k"))
+    return per.agg(F.sum(F.greatest("s", F.lit(0))).alias("only_eager"), F.sum(F.greatest(-F.col("s"), F.lit(0))).alias("only_index"), F.sum(F.expr("(k + s) div 2")).alias("rows_"))
+
+
+_ROWS = """, mc AS (SELECT pno, x AS x0, x + CASE WHEN o IN (2, 3, 6, 7) THEN h ELSE w END AS x1, y AS y0, y + CASE WHEN o IN (2, 3, 6, 7) THEN w ELSE h END AS y1 FROM plc WHERE klass = 1
+), rw AS (SELECT unnest(range(0, 2512, 8)) AS r
+), ob AS (SELECT r, greatest(x0, 0) AS x0, least(x1, 2512000) AS x1 FROM rw JOIN mc ON y0 < (r + 1) * 1000 AND y1 > r * 1000 WHERE x0 < 2512000
+), sw AS (SELECT r, x0, x1, coalesce(max(x1) OVER (PARTITION BY r ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM ob
+), gaps AS (SELECT r, reach AS s, x0 AS e FROM sw WHERE x0 > reach UNION ALL SELECT r, max(x1), 2512000 FROM ob GROUP BY r HAVING max(x1) < 2512000 UNION ALL SELECT r, 0, 2512000 FROM rw WHERE r NOT IN (SELECT r FROM ob)
+)"""
+
+
+@query("p30_row_spans", _ROWS + "SELECT r, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM gaps")
+def p30(spark, sf_dir):
+    """Free spans of every eighth row between fixed macros."""
+    d = Design(spark, sf_dir)
+    return place.free_spans(place.rows(spark, 2512, 8), place.obstacles(d)).select("r", "s", "e")
+
+
+@query("j11_rows_x_macros", _ROWS + "SELECT r, count(*) AS macros, CAST(sum(x1 - x0) AS BIGINT) AS blocked FROM ob GROUP BY r")
+def j11(spark, sf_dir):
+    """Macros across each row."""
+    d = Design(spark, sf_dir)
+    return place.crossing(place.rows(spark, 2512, 8), place.obstacles(d)).groupBy("r").agg(count().alias("macros"), F.sum(F.expr("x1 - x0")).alias("blocked"))
+
+
+@query("j12_macro_overlaps", ", mc AS (SELECT pno, x AS x0, x + bw AS x1, y AS y0, y + bh AS y1 FROM tp WHERE klass = 1 AND pno % 3 = 0) SELECT a.pno AS a, b.pno AS b FROM mc a JOIN mc b ON a.pno < b.pno AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
+def j12(spark, sf_dir):
+    """Macros that overlap each other: those that share a tile, compared once."""
+    d = Design(spark, sf_dir)
+    m = P.tiled(d, True).where("klass = 1 and pno % 3 = 0").selectExpr("pno", "x AS x0", "x + bw AS x1", "y AS y0", "y + bh AS y1")
+    t = m.withColumn("tx", F.explode(F.expr(f"sequence(x0 div {d.tile}L, x1 div {d.tile}L)"))).withColumn("ty", F.explode(F.expr(f"sequence(y0 div {d.tile}L, y1 div {d.tile}L)")))
+    a, b = t.alias("a"), t.alias("b")
+    hit = a.join(b, ["tx", "ty"]).where("a.pno < b.pno and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1")
+    return hit.select(F.col("a.pno").alias("a"), F.col("b.pno").alias("b")).distinct()
+
+
+@query("j15_row_fill")
+def j15(spark, sf_dir):
+    """Unplaced cells laid into the free spans in file order, budget by budget (A.12)."""
+    d = Design(spark, sf_dir)
+    spans = place.free_spans(place.rows(spark, 2512, 8), place.obstacles(d))
+    loose = d.placements(True).where("klass = 0 and pno % 40 = 0").select("pno", "w")
+    return place.fill(spans, loose, 200, 1000)
+
+
+@query("s04f_row_fill_synthetic")
+def s04f(spark, sf_dir):
+    """A synthetic design's rows, drawn and filled one by one."""
+    return place.synthetic_rows(spark, Design(spark, sf_dir), 64, 42)
