@@ -12,7 +12,6 @@ from ..sources.tables import Design
 from .pyramid_queries import _COUNTS, _RECTS
 
 _CLASS = {0: "CORE", 1: "BLOCK", 2: "COVER", 3: "ENDCAP"}
-_NAMES = F.create_map(*(F.lit(x) for kv in _CLASS.items() for x in kv))
 _LAYER_NAMES = ["POLY", "METAL1", "VIA1", "METAL2", "VIA2", "METAL3", "VIA3", "METAL4", "METAL5", "VIA5", "METAL6", "LOCALI"]
 
 
@@ -24,7 +23,7 @@ def _library(d: Design):
     part = F.when(F.col("flags") == 1, "  PIN P\n").otherwise("  OBS\n")
     shape = F.concat(part, F.lit("    LAYER "), name, F.lit(" ;\n      RECT "), box, F.lit(" ;\n"))
     body = d.rects.withColumns({"x1": F.expr("x + w"), "y1": F.expr("y + h")}).groupBy("m").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", shape.alias("s")))), lambda s: s["s"]), "").alias("body"))
-    head = F.concat(F.lit("M"), F.col("m"), F.lit("\n  CLASS "), F.element_at(_NAMES, F.col("klass")), F.lit(" ;\n  ORIGIN 0 0 ;\n  SIZE "), um("w"), F.lit(" BY "), um("h"), F.lit(" ;\n"))
+    head = F.concat(F.lit("M"), F.col("m"), F.lit("\n  CLASS "), F.element_at(F.create_map(*(F.lit(x) for kv in _CLASS.items() for x in kv)), F.col("klass")), F.lit(" ;\n  ORIGIN 0 0 ;\n  SIZE "), um("w"), F.lit(" BY "), um("h"), F.lit(" ;\n"))
     return d.masters.join(body, "m").select(F.concat(head, "body", F.lit("END M"), "m").alias("value"))
 
 
