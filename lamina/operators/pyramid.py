@@ -30,11 +30,6 @@ def level_table(d: Design) -> DataFrame:
     return d.spark.createDataFrame([(z, d.max_z - z, 1 << z, d.tile << (d.max_z - z)) for z in range(d.max_z + 1)], "z int, up int, zside long, ztile long")
 
 
-def at_levels(tiles: DataFrame, d: Design) -> DataFrame:
-    """Each deepest-tile row at every level, its keys shifted."""
-    return tiles.join(F.broadcast(level_table(d)).hint("broadcast"), F.lit(True)).withColumns({"tx": F.expr("shiftright(tx, up)"), "ty": F.expr("shiftright(ty, up)")})
-
-
 def exploded(tiles: DataFrame, d: Design) -> DataFrame:
     """Each deepest-tile row once for each level z, with its ancestor's key."""
     up = F.lit(d.max_z) - F.col("z")
@@ -70,3 +65,32 @@ def level_rows(d: Design, numbers: bool = False) -> DataFrame:
     """Placements at every level with local coordinates lx, ly, ztile and whether they are promoted to the level's overflow list."""
     rows = exploded(tiled(d, numbers), d).withColumn("ztile", F.expr(f"{d.tile}L * shiftleft(1L, {d.max_z} - z)"))
     return rows.withColumns({"lx": F.expr("x - tx * ztile"), "ly": F.expr("y - ty * ztile"), "is_overflow": F.expr("4 * greatest(w, h) > ztile")})
+
+
+def tile_summary(d: Design) -> DataFrame:
+    """Deepest tiles by the levels that their content is promoted from: everything that costs a level, without its rows.
+
+    u is how many levels up a placement has to go until it isn't oversize there.
+    Counts, rects, bucket masks and extents of coarser tiles follow from these
+    few rows, so planning costs one aggregation of the placements.
+    """
+    size = 4 * F.greatest("w", "h")
+    u = F.lit(d.max_z + 1)
+    for k in range(d.max_z, -1, -1):
+        u = F.when(size <= F.lit(d.tile << k), F.lit(k)).otherwise(u)
+    t = tiled(d).withColumns({"u": u, "bucket": G.bucket_of(F.col("rc"), CAPS)})
+    return t.groupBy("tx", "ty", "u").agg(
+        count().alias("n"),
+        F.sum("rc").alias("rects"),
+        F.bit_or(F.expr("shiftleft(1, bucket)")).alias("mask"),
+        F.max(F.expr("x + bw")).alias("x1"),
+        F.max(F.expr("y + bh")).alias("y1"),
+    )
+
+
+def level_summary(d: Design) -> DataFrame:
+    """z, tx, ty, ztile, n, rects, mask, over: tiles of every level without their overflow; over is the overhang."""
+    rows = exploded(tile_summary(d), d).where(f"u <= {d.max_z} - z")
+    g = rows.groupBy("z", "tx", "ty").agg(F.sum("n").alias("n"), F.sum("rects").alias("rects"), F.bit_or("mask").alias("mask"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    g = g.withColumn("ztile", F.expr(f"{d.tile}L * shiftleft(1L, {d.max_z} - z)"))
+    return g.withColumn("over", F.expr("greatest(0L, x1 - (tx + 1) * ztile, y1 - (ty + 1) * ztile)")).drop("x1", "y1")

@@ -41,7 +41,7 @@ def a02(spark, sf_dir):
 def a03(spark, sf_dir):
     """p95 of placements per tile, before and after overflow promotion."""
     d = Design(spark, sf_dir)
-    kept = P.level_rows(d).where("not is_overflow").groupBy("z", "tx", "ty").agg(count().alias("n"))
+    kept = P.level_summary(d)
     return nearest_rank(P.level_counts(d), ["z"], "n", 95, "p95").join(nearest_rank(kept, ["z"], "n", 95, "kept_p95"), "z")
 
 
@@ -83,8 +83,7 @@ def a07(spark, sf_dir):
     """What the tiles of each deep or mid level cost to draw, overflow excluded."""
     d = Design(spark, sf_dir)
     kinds = F.broadcast(P.level_kinds(d).where("kind <> 'far'").select("z", "kind"))
-    rows = P.level_rows(d).where("not is_overflow").join(kinds, "z")
-    cost = rows.groupBy("z", "tx", "ty").agg(F.sum(F.when(F.col("kind") == "deep", F.col("rc")).otherwise(1)).alias("cost"))
+    cost = P.level_summary(d).join(kinds, "z").withColumn("cost", F.when(F.col("kind") == "deep", F.col("rects")).otherwise(F.col("n")))
     return cost.groupBy("z").agg(F.sum("cost").alias("rect_total")).join(nearest_rank(cost, ["z"], "cost", 95, "rect_p95"), "z")
 
 
@@ -92,9 +91,7 @@ def a07(spark, sf_dir):
 def a08(spark, sf_dir):
     """Tiles, rects, most buckets in a tile and overhang of each level."""
     d = Design(spark, sf_dir)
-    bit = F.expr("shiftleft(1, bucket)")
-    rows = P.level_rows(d).where("not is_overflow").withColumn("bucket", G.bucket_of(F.col("rc"), P.CAPS))
-    t = rows.groupBy("z", "tx", "ty").agg(F.sum("rc").alias("rects"), F.bit_count(F.bit_or(bit)).cast("long").alias("b"), F.max(F.expr("greatest(0L, lx + bw - ztile, ly + bh - ztile)")).alias("over"))
+    t = P.level_summary(d).withColumn("b", F.bit_count("mask").cast("long"))
     return t.groupBy("z").agg(count().alias("tile_count"), F.sum("rects").alias("rect_total"), F.max("b").alias("max_buckets"), F.max("over").alias("max_overhang"))
 
 
@@ -125,7 +122,7 @@ def f04(spark, sf_dir):
 def k02(spark, sf_dir):
     """One header row per tile of every level."""
     d = Design(spark, sf_dir)
-    t = P.level_rows(d).where("not is_overflow").groupBy("z", "tx", "ty", "ztile").agg(count().alias("records"), F.sum("rc").alias("rects"))
+    t = P.level_summary(d).withColumnRenamed("n", "records")
     return t.selectExpr("z", "tx", "ty", "tx * ztile AS origin_x", "ty * ztile AS origin_y", "records", "rects", "64 + 12 * records AS bytes")
 
 
@@ -267,8 +264,7 @@ def a27(spark, sf_dir):
     """Bytes of each deep or mid level: headers, records and bucket tables."""
     d = Design(spark, sf_dir)
     kinds = F.broadcast(P.level_kinds(d).where("kind <> 'far'").select("z", "kind"))
-    rows = P.level_rows(d).where("not is_overflow").join(kinds, "z").withColumn("bucket", G.bucket_of(F.col("rc"), P.CAPS))
-    t = rows.groupBy("z", "kind", "tx", "ty").agg(count().alias("n"), F.bit_count(F.bit_or(F.expr("shiftleft(1, bucket)"))).alias("b"))
+    t = P.level_summary(d).join(kinds, "z").withColumn("b", F.bit_count("mask"))
     return t.groupBy("z", "kind").agg(count().alias("tiles"), F.sum(F.expr("64 + 12 * n + CASE WHEN kind = 'deep' THEN 16 * b ELSE 0 END")).alias("bytes"))
 
 

@@ -177,12 +177,12 @@ def o02(spark, sf_dir):
 def _rungs(d: Design):
     """Cost rows of the levels; as many rows as levels."""
     kinds = {r["z"]: r["kind"] for r in P.level_kinds(d).select("z", "kind").collect()}
-    rows = P.level_rows(d)
-    kept = rows.where("not is_overflow").groupBy("z", "tx", "ty").agg(F.sum("rc").alias("rc"), count().alias("n"))
+    kept = P.level_summary(d).withColumnRenamed("rects", "rc")
     from ..functions.stats import nearest_rank
 
     p = nearest_rank(kept, ["z"], "rc", 95, "rc95").join(nearest_rank(kept, ["z"], "n", 95, "n95"), "z")
-    o = rows.where("is_overflow").groupBy("z").agg(F.sum("rc").alias("orc"), count().alias("on"))
+    gone = P.exploded(P.tile_summary(d), d).where(f"u > {d.max_z} - z")
+    o = gone.groupBy("z").agg(F.sum("rects").alias("orc"), F.sum("n").alias("on"))
     out = []
     for r in p.join(o, "z", "left").collect():
         k = kinds[r["z"]]
