@@ -92,6 +92,7 @@ def _units(lists: pa.Array):
         yield rows, x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+@K.lean
 def _keys(batches):
     """(cell, lh, dims, rep, home) of each representative: its home and probed cells."""
     for batch in batches:

@@ -53,6 +53,7 @@ def _sets(batch: pa.RecordBatch):
 
 
 def _profile(slots: int):
+    @K.lean
     def run(batches):
         counts = np.zeros(slots, np.int32)
         for batch in batches:
@@ -78,6 +79,7 @@ def _profile(slots: int):
     return run
 
 
+@K.lean
 def _summed(batches):
     """Adds up the sketch blocks of a partition."""
     total: dict[int, np.ndarray] = {}
@@ -242,6 +244,7 @@ def _may_link(x: np.ndarray, y: np.ndarray, size: np.ndarray, threshold: int) ->
 
 
 def _screened(pairs: DataFrame, signs: DataFrame, threshold: int) -> DataFrame:
+    @K.lean
     def run(batches):
         for batch in batches:
             if batch.num_rows:
