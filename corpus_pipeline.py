@@ -23,22 +23,26 @@ MAIN_LANGUAGE = 0.4
 
 
 def _whole(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the row itself."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    """doc_id, text and, as one column, all columns but the text, so that texts pass through Python once."""
+    return docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("_row"))
+
+
+def _columns(whole: DataFrame, docs: DataFrame) -> DataFrame:
+    return whole.select(*(F.col("text") if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a letter, and those of which no language has MAIN_LANGUAGE of the letters."""
     model = learn(docs.where(~held_out(5, 0)))
-    known = identify(_whole(docs), model, keep=("_row",))
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE)).select("_row.*")
+    known = identify(_whole(docs), model, keep=("text", "_row"))
+    return _columns(known.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE)), docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents predicted toxic; learns from the labels that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(3, 1))
     model = fit(sample(docs, labels).collect())
-    return toxicity(_whole(docs), model, keep=("_row",)).where("predicted = 0").select("_row.*")
+    return _columns(toxicity(_whole(docs), model, keep=("text", "_row")).where("predicted = 0"), docs)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
