@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.stats import count, nearest_rank
+from ..functions.stats import count
 from ..sources.tables import Design
 
 RECT_BUDGET, VIS_TILES, TILE_PX, MIN_CELL_PX, MAX_DEEP = 2_000_000, 32, 512, 1.5, 2
@@ -48,12 +48,18 @@ def level_counts(d: Design) -> DataFrame:
 
 def level_kinds(d: Design) -> DataFrame:
     """z, tiles, placements, p95, kind: the representation that each level's cost allows, never finer than a deeper one's."""
-    counts = level_counts(d)
-    stats = counts.groupBy("z").agg(count().alias("tiles"), F.sum("n").alias("placements")).join(nearest_rank(counts, ["z"], "n", 95, "p95"), "z")
-    mean_w, mean_rc = d.means
+    # Tiles by their count: all that a level's statistics need, in one pass.
+    by = level_counts(d).groupBy("z", "n").agg(count().alias("c"))
+    up = Window.partitionBy("z").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("z")
+    by = by.withColumns({"cum": F.sum("c").over(up), "tiles": F.sum("c").over(every), "placements": F.sum(F.col("c") * F.col("n")).over(every)})
+    stats = by.where("cum > least(tiles - 1, tiles * 95 div 100)").groupBy("z").agg(F.min("n").alias("p95"), F.max("tiles").alias("tiles"), F.max("placements").alias("placements"))
+    mean = d.placements().where("klass IN (0, 3)").agg((F.sum("w") / F.count(F.lit(1))).alias("mean_w"), (F.sum("rc") / F.count(F.lit(1))).alias("mean_rc"))
+    stats = stats.crossJoin(F.broadcast(mean))
     seen = F.least(F.pow(F.lit(4.0), F.col("z")), F.lit(float(VIS_TILES)))
-    cell_px = F.lit(mean_w * TILE_PX) / F.expr(f"cast({d.tile}L * shiftleft(1L, {d.max_z} - z) as double)")
-    rank = F.when((F.lit(d.max_z) - F.col("z") < MAX_DEEP) & (seen * F.col("p95") * F.lit(mean_rc) <= RECT_BUDGET), 0).when((seen * F.col("p95") <= RECT_BUDGET) & (cell_px >= MIN_CELL_PX), 1).otherwise(2)
+    cell_px = F.coalesce("mean_w", F.lit(1.0)) * TILE_PX / F.expr(f"cast({d.tile}L * shiftleft(1L, {d.max_z} - z) as double)")
+    deep = (F.lit(d.max_z) - F.col("z") < MAX_DEEP) & (seen * F.col("p95") * F.coalesce("mean_rc", F.lit(1.0)) <= RECT_BUDGET)
+    rank = F.when(deep, 0).when((seen * F.col("p95") <= RECT_BUDGET) & (cell_px >= MIN_CELL_PX), 1).otherwise(2)
     # One row per level: fifteen or so.
     down = Window.orderBy(F.desc("z")).rowsBetween(Window.unboundedPreceding, 0)
     ranked = stats.withColumn("rank", F.max(rank).over(down))
