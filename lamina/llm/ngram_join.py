@@ -13,7 +13,7 @@ hold every document.
 The order puts frequent shingles last, as counted over the whole corpus by a
 sketch of fixed size; it steers cost only, any order gives the same links.
 
-Regions then join recursively. Each round takes one document of every region as
+Regions then join in ROUNDS rounds, which is one. A round takes one document of every region as
 pivot, verifies the region's documents of other components against it (a star,
 not all pairs), and merges components. Documents of one component need no
 further pair between them. What is left after the rounds, pairs of different
