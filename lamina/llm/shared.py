@@ -62,6 +62,23 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(conf).delete(path, True)
 
+    def drop_but(self, *names: str) -> None:
+        """Deletes all tables but those named."""
+        self.drop(*(set(self.schemas) - set(names)))
+
+
+def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int | None = None, share: int = 1000) -> DataFrame:
+    """rows joined with keyed, which has one row for each key, and how many of rows there are of it.
+
+    Keys with more than 1/share of all rows, so fewer than share of them, are
+    broadcast; the others are dealt out by key, none of which is large. Both
+    inputs are read twice, so pass stored tables; total is the count's sum.
+    """
+    total = total if total is not None else keyed.agg(F.sum(count)).first()[0] or 0
+    large = F.broadcast(keyed.where(F.col(count) * share > total))
+    small = keyed.where(F.col(count) * share <= total)
+    return rows.join(large, key).unionByName(rows.join(large.select(key), key, "left_anti").join(small, key))
+
 
 def salted_rank(df: DataFrame, group: list[str], tie: str, out: str, rows: int, per_bucket: int = 4096) -> DataFrame:
     """0-based gapless rank of each row inside its group, by (hash bucket of tie, tie).
@@ -84,14 +101,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str, rounds:
     """(node, component) for each node of edges (a, b); component is the smallest node reachable.
 
     Large-star and small-star contractions until nothing changes. Hubs are safe:
-    minima are combined before the shuffle and the joins that follow can be split.
+    minima are combined before the shuffle, and joined with hubs by broadcast.
     """
     now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now, mark = scratch.write(now, f"{label}0"), None
+    n = now.count()
     for i in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        star = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("n"))
+        star = join_by_key(both, low, "u", "n", 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = star.groupBy("u").agg(F.min("v").alias("m"))
         rest = star.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = rest.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
