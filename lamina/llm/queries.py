@@ -88,7 +88,8 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more)
-    return read_back(format_chat(rows, tokenizer_path("byte_bpe_50k.json")))
+    path = tokenizer_path("byte_bpe_50k.json")
+    return read_back(format_chat(rows, path), path)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,11 +142,12 @@ WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')
 ), x AS (
-  SELECT *, role || text AS rt FROM c
+  SELECT *, role || text AS rt, '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]' AS sp FROM c
 ), y AS (
-  SELECT *, 14 + length(role) + length(text) + length(rt) - length(replace(rt, '\', '')) + length(role) - length(replace(role, ':', ''))
+  SELECT *, 15 + length(role) + length(text) + length(rt) - length(replace(rt, '\', '')) + length(role) - length(replace(role, ':', ''))
     + (length(role) - length(replace(role, '</turn>', ''))) // 7 + (length(text) - length(replace(text, '</turn>', ''))) // 7
-    + len(list_filter(range(1, length(role) - 1), lambda i: substr(role, i, 3) = '###')) + len(list_filter(range(1, length(text) - 1), lambda i: substr(text, i, 3) = '###')) AS chars
+    + len(list_filter(range(1, length(role) - 1), lambda i: substr(role, i, 3) = '###')) + len(list_filter(range(1, length(text) - 1), lambda i: substr(text, i, 3) = '###'))
+    + 2 * CAST(regexp_matches(text, '\A' || sp) AS INTEGER) + 2 * CAST(regexp_matches(text, sp || '\z') AS INTEGER) AS chars
   FROM x
 )
 SELECT conv_id, count(*) AS n_turns,
