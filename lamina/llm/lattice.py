@@ -21,9 +21,10 @@ from .shared import Scratch, connected_components
 COSINE = 0.98
 TABLES = 8
 #: E8 blocks of a cell: 8 dimensions of the projection each.
-BLOCKS = 2
-#: Size of the lattice against unit vectors.
-SCALE = 0.35
+BLOCKS = 3
+#: Size of the lattice against a typical component of a unit vector, 1 / sqrt(dimensions), so that cells hold
+#: the same share of unrelated vectors whatever the length (about one pair in a thousand meets).
+SCALE = 2.8
 #: Rows of a cell that are compared in one block.
 BLOCK = 1024
 
@@ -56,7 +57,7 @@ def _basis(dims: int, table: int):
         width = 8 * BLOCKS
         g = rng.normal(size=(max(dims, width), width))
         q = np.linalg.qr(g)[0][:dims]
-        _BASES[dims, table] = q / SCALE, rng.random(width)
+        _BASES[dims, table] = q * (np.sqrt(max(dims, width)) / SCALE), rng.random(width)
     return _BASES[dims, table]
 
 

@@ -1,6 +1,7 @@
 import numpy as np
+import pytest
 
-from lamina.llm.lattice import e8, embedding_near_dedup
+from lamina.llm.lattice import cells, e8, embedding_near_dedup
 
 
 def test_e8_decodes_to_nearest_points():
@@ -52,6 +53,25 @@ def test_recall_and_exactness(spark):
     assert all(got[i][0] <= want[i][0] for i in want)
 
 
+@pytest.mark.parametrize("dims", [3, 8, 64, 384, 768])
+def test_cells_at_any_length(dims):
+    """At the threshold nearly all pairs meet, and few unrelated ones do, but in spaces too small for that."""
+    r = np.random.default_rng(3)
+    a, t = r.normal(size=(2, 1200, dims))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    t -= (t * a).sum(1, keepdims=True) * a
+    b = 0.98 * a + np.sqrt(1 - 0.98**2) * t / np.linalg.norm(t, axis=1, keepdims=True)
+
+    def meet(x, y):
+        (hx, px), (hy, py) = x, y
+        return ((hx == hy) | (hx == py) | (px == hy)).any(1).mean()
+
+    ca, cb = cells(a), cells(b)
+    assert meet(ca, cb) >= 0.97
+    order = r.permutation(1200)
+    assert dims < 8 or meet(ca, tuple(c[order] for c in ca)) < 0.01
+
+
 def test_odd_rows(spark):
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, None], 1), (4, [float("nan"), 1.0], 1), (5, [1.0, 1.0], None), (6, [1.0, 1.0], 1), (7, [2.0, 2.0], 1), (8, [1.0, 1.0], 2), (9, [1.0, 1.0, 0.0], 1), (10, [], 1), (11, [1e200, 1e200], 1), (6, [1.0, 1.0], 1)]
     got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_near_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr("*", "1 AS rep", "2 AS links", "3 AS cell")).collect()}
