@@ -107,16 +107,26 @@ def density(u, v, seed: int, lo: float = 0.4, hi: float = 0.95):
 
 
 def synthetic_rows(spark: SparkSession, d: Design, n: int, seed: int) -> DataFrame:
-    """r, x, m, o of n synthetic rows: draw a cell by weight, keep it where density allows, advance."""
-    lib = d.masters.where("klass IN (0, 3)").orderBy("m").limit(4096).selectExpr("m", "w", "1.0D / pow(m + 2.7D, 1.05D) AS wt").toPandas()
+    """r, x, m, o of n synthetic rows: draw a cell by weight, keep it where density allows, advance until the row is full.
+
+    Rows are drawn independently; each task holds the library's widths and weights.
+    """
+    lib = d.masters.where("klass IN (0, 3)").selectExpr("m", "w", "1.0D / pow(m + 2.7D, 1.05D) AS wt").toPandas().sort_values("m")
     cdf, width, name = np.cumsum(lib["wt"].to_numpy()), lib["w"].to_numpy(), lib["m"].to_numpy()
+    shared = spark.sparkContext.broadcast((cdf, width, name))
 
     def one(frames):
+        cdf, width, name = shared.value
         for f in frames:
             for r in f["r"]:
                 rng = np.random.default_rng([seed, int(r)])
-                k = np.searchsorted(cdf, rng.random(4096) * cdf[-1], "right").clip(0, len(cdf) - 1)
-                x = np.concatenate([[0], np.cumsum(width[k])[:-1]])
+                drawn, end = [], 0
+                while len(cdf) and end < DIE:
+                    k = np.searchsorted(cdf, rng.random(1024) * cdf[-1], "right").clip(0, len(cdf) - 1)
+                    drawn.append(k)
+                    end += int(width[k].sum())
+                k = np.concatenate([np.zeros(0, int), *drawn])
+                x = np.cumsum(width[k]) - width[k]
                 k, x = k[x + width[k] <= DIE], x[x + width[k] <= DIE]
                 keep = rng.random(len(x)) < density(np.minimum(x / DIE, 0.999), np.full(len(x), min(r / n, 0.999)), seed)
                 yield pd.DataFrame({"r": np.full(keep.sum(), r), "x": x[keep].astype(np.int64), "m": name[k][keep], "o": np.full(keep.sum(), 0 if r % 2 == 0 else 5, np.int32)})

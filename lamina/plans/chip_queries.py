@@ -84,11 +84,11 @@ def f17(spark, sf_dir):
     return P.tile_counts(d).selectExpr("tx", "ty", f"tx * {d.tile} < 2000000 and ty * {d.tile} < 2000000 AS in_die")
 
 
-@query("f18_camera_sees_chip", _INST + ", v AS (SELECT event_id AS qid, (event_id * 7919) % 30000000 - 8000000 AS x0, (event_id * 104729) % 30000000 - 8000000 AS y0 FROM events WHERE event_id < 500), e AS (SELECT min(x) AS ax, min(y) AS ay, max(x + s) AS bx, max(y + s) AS byy FROM inst) SELECT qid, x0 <= bx AND x0 + 400000 >= ax AND y0 <= byy AND y0 + 300000 >= ay AS sees FROM v, e")
+@query("f18_camera_sees_chip", _INST + ", v AS (SELECT event_id AS qid, (event_id * 7919) % 30000000 - 8000000 AS x0, (event_id * 104729) % 30000000 - 8000000 AS y0 FROM events), e AS (SELECT min(x) AS ax, min(y) AS ay, max(x + s) AS bx, max(y + s) AS byy FROM inst) SELECT qid, x0 <= bx AND x0 + 400000 >= ax AND y0 <= byy AND y0 + 300000 >= ay AS sees FROM v, e")
 def f18(spark, sf_dir):
     d = Design(spark, sf_dir)
     e = d.instances.agg(F.min("x").alias("ax"), F.min("y").alias("ay"), (F.max("x") + d.world).alias("bx"), (F.max("y") + d.world).alias("byy"))
-    v = d.table("events").where("event_id < 500").selectExpr("event_id AS qid", "(event_id * 7919) % 30000000 - 8000000 AS x0", "(event_id * 104729) % 30000000 - 8000000 AS y0")
+    v = d.table("events").selectExpr("event_id AS qid", "(event_id * 7919) % 30000000 - 8000000 AS x0", "(event_id * 104729) % 30000000 - 8000000 AS y0")
     return v.crossJoin(F.broadcast(e)).selectExpr("qid", "x0 <= bx and x0 + 400000 >= ax and y0 <= byy and y0 + 300000 >= ay AS sees")
 
 
@@ -133,7 +133,7 @@ def j16(spark, sf_dir):
 
 
 _ROWS = """, mc AS (SELECT pno, x AS x0, x + CASE WHEN o IN (2, 3, 6, 7) THEN h ELSE w END AS x1, y AS y0, y + CASE WHEN o IN (2, 3, 6, 7) THEN w ELSE h END AS y1 FROM plc WHERE klass = 1
-), rw AS (SELECT unnest(range(0, 2512, 8)) AS r
+), rw AS (SELECT unnest(range(0, 2512)) AS r
 ), ob AS (SELECT r, greatest(x0, 0) AS x0, least(x1, 2512000) AS x1 FROM rw JOIN mc ON y0 < (r + 1) * 1000 AND y1 > r * 1000 WHERE x0 < 2512000
 ), sw AS (SELECT r, x0, x1, coalesce(max(x1) OVER (PARTITION BY r ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reach FROM ob
 ), gaps AS (SELECT r, reach AS s, x0 AS e FROM sw WHERE x0 > reach UNION ALL SELECT r, max(x1), 2512000 FROM ob GROUP BY r HAVING max(x1) < 2512000 UNION ALL SELECT r, 0, 2512000 FROM rw WHERE r NOT IN (SELECT r FROM ob)
@@ -142,23 +142,23 @@ _ROWS = """, mc AS (SELECT pno, x AS x0, x + CASE WHEN o IN (2, 3, 6, 7) THEN h
 
 @query("p30_row_spans", _ROWS + "SELECT r, CAST(s AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM gaps")
 def p30(spark, sf_dir):
-    """Free spans of every eighth row between fixed macros."""
+    """Free spans of every row between fixed macros."""
     d = Design(spark, sf_dir)
-    return place.free_spans(place.rows(spark, 2512, 8), place.obstacles(d)).select("r", "s", "e")
+    return place.free_spans(place.rows(spark, 2512), place.obstacles(d)).select("r", "s", "e")
 
 
 @query("j11_rows_x_macros", _ROWS + "SELECT r, count(*) AS macros, CAST(sum(x1 - x0) AS BIGINT) AS blocked FROM ob GROUP BY r")
 def j11(spark, sf_dir):
     """Macros across each row."""
     d = Design(spark, sf_dir)
-    return place.crossing(place.rows(spark, 2512, 8), place.obstacles(d)).groupBy("r").agg(count().alias("macros"), F.sum(F.expr("x1 - x0")).alias("blocked"))
+    return place.crossing(place.rows(spark, 2512), place.obstacles(d)).groupBy("r").agg(count().alias("macros"), F.sum(F.expr("x1 - x0")).alias("blocked"))
 
 
-@query("j12_macro_overlaps", ", mc AS (SELECT pno, x AS x0, x + bw AS x1, y AS y0, y + bh AS y1 FROM tp WHERE klass = 1 AND pno % 3 = 0) SELECT a.pno AS a, b.pno AS b FROM mc a JOIN mc b ON a.pno < b.pno AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
+@query("j12_macro_overlaps", ", mc AS (SELECT pno, x AS x0, x + bw AS x1, y AS y0, y + bh AS y1 FROM tp WHERE klass = 1) SELECT a.pno AS a, b.pno AS b FROM mc a JOIN mc b ON a.pno < b.pno AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1")
 def j12(spark, sf_dir):
     """Macros that overlap each other: those that share a tile, compared once."""
     d = Design(spark, sf_dir)
-    m = P.tiled(d, True).where("klass = 1 and pno % 3 = 0").selectExpr("pno", "x AS x0", "x + bw AS x1", "y AS y0", "y + bh AS y1")
+    m = P.tiled(d, True).where("klass = 1").selectExpr("pno", "x AS x0", "x + bw AS x1", "y AS y0", "y + bh AS y1")
     t = m.withColumn("tx", F.explode(F.expr(f"sequence(x0 div {d.tile}L, x1 div {d.tile}L)"))).withColumn("ty", F.explode(F.expr(f"sequence(y0 div {d.tile}L, y1 div {d.tile}L)")))
     a, b = t.alias("a"), t.alias("b")
     hit = a.join(b, ["tx", "ty"]).where("a.pno < b.pno and a.x0 < b.x1 and b.x0 < a.x1 and a.y0 < b.y1 and b.y0 < a.y1")
@@ -169,12 +169,12 @@ def j12(spark, sf_dir):
 def j15(spark, sf_dir):
     """Unplaced cells laid into the free spans in file order, budget by budget (A.12)."""
     d = Design(spark, sf_dir)
-    spans = place.free_spans(place.rows(spark, 2512, 8), place.obstacles(d))
-    loose = d.placements(True).where("klass = 0 and pno % 40 = 0").select("pno", "w")
+    spans = place.free_spans(place.rows(spark, 2512), place.obstacles(d))
+    loose = d.placements(True).where("klass = 0").select("pno", "w")
     return place.fill(spans, loose, 200, 1000)
 
 
 @query("s04f_row_fill_synthetic")
 def s04f(spark, sf_dir):
     """A synthetic design's rows, drawn and filled one by one."""
-    return place.synthetic_rows(spark, Design(spark, sf_dir), 64, 42)
+    return place.synthetic_rows(spark, Design(spark, sf_dir), 2512, 42)

@@ -288,12 +288,11 @@ def o01(spark, sf_dir):
     return t.join(starts, ["tx", "ty"]).select("pno", F.expr("start + ord").alias("position"))
 
 
-@query("u01_partition_of_placements", _LEVEL + "SELECT CAST(z AS INTEGER) AS z, count(*) AS placements, 0 AS lost, 0 AS doubled FROM lr GROUP BY z")
+@query("u01_partition_of_placements", _LEVEL + "SELECT CAST(z AS INTEGER) AS z, count(*) AS placements, CAST((SELECT n FROM geo) - count(DISTINCT pno) AS BIGINT) AS lost, count(*) - count(DISTINCT pno) AS doubled, CAST(0 AS BIGINT) AS strange FROM lr GROUP BY z")
 def u01(spark, sf_dir):
-    """Tiles and overflow list of a level hold every placement exactly once."""
+    """Tiles and overflow list of a level against the placements: held, lost, held more than once, not placed."""
     d = Design(spark, sf_dir)
-    rows = P.level_rows(d, True)
-    held = rows.where("not is_overflow").select("z", "pno").unionByName(rows.where("is_overflow").select("z", "pno"))
-    per = held.groupBy("z", "pno").agg(count().alias("k"))
-    s = per.groupBy("z").agg(count().alias("placements"), F.count_if(F.col("k") > 1).cast("int").alias("doubled"))
-    return s.select("z", "placements", F.expr(f"cast({d.n} - placements as int)").alias("lost"), "doubled")
+    held = P.level_rows(d, True).groupBy("z", "pno").agg(count().alias("k"))
+    want = d.placements(True).select("pno", F.explode(F.sequence(F.lit(0), F.lit(d.max_z))).alias("z"), F.lit(True).alias("placed"))
+    both = held.join(want, ["z", "pno"], "full")
+    return both.groupBy("z").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("placements"), F.count_if(F.col("k").isNull()).alias("lost"), F.coalesce(F.sum(F.expr("greatest(k - 1, 0L)")), F.lit(0)).alias("doubled"), F.count_if(F.col("placed").isNull()).alias("strange"))

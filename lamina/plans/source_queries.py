@@ -32,10 +32,12 @@ def _statements(d: Design):
     status = F.when(F.col("klass") == 1, "FIXED").when(F.col("klass") == 2, "COVER").otherwise("PLACED")
     placed = F.concat(F.lit(" + "), status, F.lit(" ( "), F.col("x"), F.lit(" "), F.col("y"), F.lit(" ) "), o)
     text = F.concat(F.lit("\n- u"), F.col("pno"), F.lit(" M"), F.col("m"), F.when(F.col("pno") % 50 == 0, F.lit(" + UNPLACED")).otherwise(placed), F.lit(" "))
-    return d.placements(True).select(text.alias("value"))
+    rows = d.placements(True).select(text.alias("value"), F.lit("d").alias("file"), "pno")
+    ends = d.spark.createDataFrame([("\nCOMPONENTS 1 ", "d", -1), ("\nEND COMPONENTS\n", "d", 1 << 62)], "value string, file string, pno long")
+    return rows.unionByName(ends).withColumnRenamed("pno", "at")
 
 
-@query("s01_tech_lef", "SELECT CAST(i AS INTEGER) AS ord, ['POLY', 'METAL1', 'VIA1', 'METAL2', 'VIA2', 'METAL3', 'VIA3', 'METAL4', 'METAL5', 'VIA5', 'METAL6', 'LOCALI'][i + 1] AS name, CASE WHEN i IN (2, 4, 6, 9) THEN 'CUT' ELSE 'ROUTING' END AS type, CAST(1000 AS BIGINT) AS dbu FROM (SELECT unnest(range(0, 12)) AS i)")
+@query("s01_tech_lef", "SELECT CAST(i AS INTEGER) AS ord, ['POLY', 'METAL1', 'VIA1', 'METAL2', 'VIA2', 'METAL3', 'VIA3', 'METAL4', 'METAL5', 'VIA5', 'METAL6', 'LOCALI'][i + 1] AS name, CASE WHEN i IN (2, 4, 6, 9) THEN 'CUT' ELSE 'ROUTING' END AS type, CAST(1000 AS DOUBLE) AS dbu FROM (SELECT unnest(range(0, 12)) AS i)")
 def s01(spark, sf_dir):
     """Layers of a technology file, in order."""
     text = "UNITS\n  DATABASE MICRONS 1000 ;\nEND UNITS\n" + "".join(f"LAYER {n}\n  TYPE {'CUT' if n.startswith('VIA') else 'ROUTING'} ;\n  PITCH 0.2 ;\nEND {n}\n" for n in _LAYER_NAMES)
@@ -114,7 +116,7 @@ def k16(spark, sf_dir):
     return out.drop("one")
 
 
-@query("s03b_def_header", "SELECT CAST(2000 AS BIGINT) AS dbu, CAST(0 AS BIGINT) AS x0, CAST(0 AS BIGINT) AS y0, world AS x1, world AS y1 FROM geo")
+@query("s03b_def_header", "SELECT CAST(2000 AS DOUBLE) AS dbu, CAST(0 AS BIGINT) AS x0, CAST(0 AS BIGINT) AS y0, world AS x1, world AS y1 FROM geo")
 def s03b(spark, sf_dir):
     """Units and die of a design file."""
     d = Design(spark, sf_dir)
@@ -122,13 +124,135 @@ def s03b(spark, sf_dir):
     return lef.design_units(s)
 
 
-@query("s03c_def_rows", ", r AS (SELECT unnest(range(0, 100)) AS i) SELECT 'ROW_' || i AS name, CAST(0 AS BIGINT) AS x, i * 1000 AS y, CASE WHEN i % 2 = 0 THEN 'N' ELSE 'FS' END AS orient, CAST(12560 AS BIGINT) AS nx, CAST(200 AS BIGINT) AS step FROM r")
+@query("s03c_def_rows", ", r AS (SELECT unnest(range(0, 100)) AS i) SELECT 'ROW_' || i AS name, 'core' AS site, CAST(0 AS BIGINT) AS x, i * 1000 AS y, CASE WHEN i % 2 = 0 THEN 'N' ELSE 'FS' END AS orient, CAST(12560 AS BIGINT) AS nx, CAST(1 AS BIGINT) AS ny, CAST(200 AS BIGINT) AS step, CAST(0 AS BIGINT) AS step_y FROM r")
 def s03c(spark, sf_dir):
     """Rows of a design file."""
     s = spark.range(100).selectExpr("concat('\\nROW ROW_', id, ' core 0 ', id * 1000, CASE WHEN id % 2 = 0 THEN ' N' ELSE ' FS' END, ' DO 12560 BY 1 STEP 200 0 ') AS value")
     return lef.rows_of(s)
 
 
+_TECH = """VERSION 5.8 ;
+UNITS
+  DATABASE MICRONS 2000.5 ;
+END UNITS
+PROPERTYDEFINITIONS
+  LAYER LEF58_TYPE STRING ;
+END PROPERTYDEFINITIONS
+LAYER NWELL
+  TYPE MASTERSLICE ;
+END NWELL
+LAYER OVERLAP
+  TYPE OVERLAP ;
+END OVERLAP
+LAYER METAL1
+  TYPE ROUTING ;
+END METAL1
+LAYER DIFF
+END DIFF
+VIA V1
+  LAYER METAL1 ;
+END V1
+"""
+
+
+@query("s01b_tech_lef_stack", "SELECT * FROM (VALUES (0, 'NWELL', 'MASTERSLICE', 2000.5::DOUBLE), (1, 'OVERLAP', 'OVERLAP', 2000.5), (2, 'METAL1', 'ROUTING', 2000.5), (3, 'DIFF', '', 2000.5)) AS t(ord, name, type, dbu)")
+def s01b(spark, sf_dir):
+    """Every declared layer, whatever its type, and a decimal unit; references are none."""
+    layers, dbu = lef.tech_layers(spark.createDataFrame([(_TECH,)], "value string"))
+    return layers.crossJoin(F.broadcast(dbu))
+
+
+_CELLS = """MACRO A
+  CLASS BLOCK ;
+  ORIGIN 1 0.5 ;
+  SIZE 1e1 BY 4 ;
+  PIN p
+    PORT
+      LAYER METAL1 ;
+        RECT 3 2 2 1 ;
+        RECT 1.05E1 3 20 9 ;
+        RECT 50 50 60 60 ;
+        POLYGON 0 0 1 1 2 2 ;
+    END
+  END p
+  OBS
+    LAYER METAL5 ;
+      RECT 2 1 3 2 ;
+    LAYER WEIRD ;
+      RECT 1 0.5 2.0005 1.5 ;
+  END
+END A
+MACRO B
+  CLASS CORE ;
+  SIZE 2 BY 2 ;
+END B
+"""
+
+
+def _cells(spark):
+    records = spark.createDataFrame([(x,) for x in _CELLS.split("MACRO ")], "value string")
+    m = lef.masters_of(records, 1000)
+    return m, lef.rects_of(m, 1000)
+
+
+@query("p12b_lef_origin", "SELECT * FROM (VALUES ('A', 0, 5, 1, 1000, 500, 1000, 1000, false), ('A', 1, 5, 1, 9500, 2500, 500, 1500, true), ('A', 2, 8, 0, 1000, 500, 1000, 1000, false), ('A', 3, 8, 0, 0, 0, 1001, 1000, false)) AS t(name, r, layer, flags, x, y, w, h, clamped)")
+def p12b(spark, sf_dir):
+    """Rects of a master with an origin, numbers with exponents, and parts in and out of a pin."""
+    return _cells(spark)[1].where("fate = 'kept'").select("name", "r", "layer", "flags", *(F.col(c).cast("int").alias(c) for c in ("x", "y", "w", "h")), "clamped")
+
+
+@query("s02b_lef_statistics", "SELECT what, key, CAST(n AS BIGINT) AS n FROM (VALUES ('class', 'BLOCK', 1), ('class', 'CORE', 1), ('origin', 'not zero', 1), ('pins', 'all', 1), ('lines', 'all', 26), ('rects', 'pin', 2), ('rects', 'obs', 2), ('rects', 'clipped', 1), ('rects', 'polygon', 1), ('fold', 'known', 2), ('fold', 'folded', 1), ('fold', 'unknown', 1), ('clamped', 'all', 2)) AS t(what, key, n)")
+def s02b(spark, sf_dir):
+    """What a library held and what became of it."""
+    return lef.statistics(*_cells(spark))
+
+
+_DESIGN = """VERSION 5.8 ;
+UNITS DISTANCE MICRONS 2000 ;
+DIEAREA ( -10 0 ) ( 90 80 ) ;
+ROW R0 core 0 0 N DO 10 BY 1 STEP 200 0 ;
+ROW R1 core 0 1000 FS DO 1 BY 7 STEP 0 1000 ;
+REGIONS 1 ;
+- r1 ( 0 0 ) ( 5 5 ) ;
+END REGIONS
+COMPONENTS 5 ;
+- u1 INVX1 + PLACED ( 4 -5 ) FN ;
+- u2 INVX1 ;
+- u3 BUF
+  + SOURCE DIST
+  + FIXED ( 6 7 ) S ;
+- u4 BUF + UNPLACED ;
+- u5 RAM + COVER ( 1 2 ) W + HALO 1 1 1 1 ;
+END COMPONENTS
+PINS 1 ;
+- p1 + NET n1 + PLACED ( 0 0 ) N ;
+END PINS
+BLOCKAGES 1 ;
+- LAYER M1 + SLOTS RECT ( 0 0 ) ( 1 1 ) ;
+END BLOCKAGES
+GROUPS 1 ;
+- g1 u* + REGION r1 ;
+END GROUPS
+END DESIGN
+"""
+
+
+def _design(spark):
+    return lef.statements_of(spark.createDataFrame([("a.def", _DESIGN)], "file string, value string"))
+
+
+@query("s03d_def_sections", "SELECT name, master, status, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, orient FROM (VALUES ('u1', 'INVX1', 'PLACED', 4, -5, 'FN'), ('u2', 'INVX1', 'UNPLACED', NULL, NULL, NULL), ('u3', 'BUF', 'FIXED', 6, 7, 'S'), ('u4', 'BUF', 'UNPLACED', NULL, NULL, NULL), ('u5', 'RAM', 'COVER', 1, 2, 'W')) AS t(name, master, status, x, y, orient)")
+def s03d(spark, sf_dir):
+    """Components of a design with regions, pins, blockages and groups, which are none."""
+    return lef.components(_design(spark))
+
+
+@query("s03e_def_rows_2d", "SELECT name, site, CAST(x AS BIGINT) AS x, CAST(y AS BIGINT) AS y, orient, CAST(nx AS BIGINT) AS nx, CAST(ny AS BIGINT) AS ny, CAST(step AS BIGINT) AS step, CAST(step_y AS BIGINT) AS step_y FROM (VALUES ('R0', 'core', 0, 0, 'N', 10, 1, 200, 0), ('R1', 'core', 0, 1000, 'FS', 1, 7, 0, 1000)) AS t(name, site, x, y, orient, nx, ny, step, step_y)")
+def s03e(spark, sf_dir):
+    """Rows with a site, a count and a step in both directions."""
+    return lef.rows_of(_design(spark))
+
+
 @query("d1_unit_scaling", "SELECT m, 2 * w AS w, 2 * h AS h FROM mast")
 def d1(spark, sf_dir):
     """Library lengths of 1000 units per micron in a design of 2000."""

@@ -81,7 +81,7 @@ def o04(spark, sf_dir):
     return _culled(Design(spark, sf_dir)).groupBy("qid").agg(F.min("i").alias("i"))
 
 
-@query("o05_first_density_block", _DEN + """, pk AS (SELECT event_id AS qid, (event_id * 7919) % 2500000 AS cx, (event_id * 104729) % 2500000 AS cy FROM events WHERE event_id < 500) SELECT qid, min("by" * rside + bx) AS block FROM pk JOIN den ON bx = cx * (SELECT max(rside) FROM rs) // (SELECT world FROM geo) AND "by" = cy * (SELECT max(rside) FROM rs) // (SELECT world FROM geo), rs WHERE logic + fill >= 0.004 GROUP BY qid""")
+@query("o05_first_density_block", _DEN + """, pk AS (SELECT event_id AS qid, (event_id * 7919) % 2500000 AS cx, (event_id * 104729) % 2500000 AS cy FROM events) SELECT qid, min("by" * rside + bx) AS block FROM pk JOIN den ON bx = cx * (SELECT max(rside) FROM rs) // (SELECT world FROM geo) AND "by" = cy * (SELECT max(rside) FROM rs) // (SELECT world FROM geo), rs WHERE logic + fill >= 0.004 GROUP BY qid""")
 def o05(spark, sf_dir):
     """Density block under each point at the far levels."""
     d = Design(spark, sf_dir)
@@ -101,12 +101,14 @@ def o07(spark, sf_dir):
 
 @query("k13_disk_cache", _VIEWS + ", t AS (SELECT tx, ty, max(qid) AS used, count(*) AS n FROM cull GROUP BY tx, ty), b AS (SELECT t.tx, t.ty, used, 64 + 12 * c.n AS bytes FROM t JOIN (SELECT tx, ty, count(*) AS n FROM tp GROUP BY ALL) c USING (tx, ty)), r AS (SELECT *, sum(bytes) OVER (ORDER BY used DESC, ty, tx) AS held FROM b) SELECT tx, ty, CAST(held AS BIGINT) AS held FROM r WHERE held <= 300000")
 def k13(spark, sf_dir):
-    """Tiles that a disk cache of a byte budget keeps, most recently used first; as many rows as tiles in use."""
+    """Tiles that a disk cache of a byte budget keeps, most recently used first."""
     d = Design(spark, sf_dir)
     used = _culled(d).groupBy("tx", "ty").agg(F.max("qid").alias("used"))
     b = used.join(P.tile_counts(d), ["tx", "ty"]).withColumn("bytes", F.expr("64 + 12 * n"))
+    # No tile has less than 64 bytes, so no more tiles than this can be held.
+    first = b.orderBy(F.desc("used"), "ty", "tx").limit(300_000 // 64)
     held = F.sum("bytes").over(Window.orderBy(F.desc("used"), "ty", "tx").rowsBetween(Window.unboundedPreceding, 0))
-    return b.select("tx", "ty", held.alias("held")).where("held <= 300000")
+    return first.select("tx", "ty", held.alias("held")).where("held <= 300000")
 
 
 @query("k14_tile_metrics", _VIEWS + "SELECT i, count(*) AS requests, count(DISTINCT (tx, ty)) AS tiles FROM cull GROUP BY i")

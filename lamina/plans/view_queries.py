@@ -13,7 +13,7 @@ from ..registry import query
 from ..sources.tables import Design
 from .pyramid_queries import _COUNTS, _LEVEL
 
-_PICKS = """, pk AS (SELECT event_id AS qid, (event_id * 7919) % 2500000 AS cx, (event_id * 104729) % 2500000 AS cy FROM events WHERE event_id < 500
+_PICKS = """, pk AS (SELECT event_id AS qid, (event_id * 7919) % 2500000 AS cx, (event_id * 104729) % 2500000 AS cy FROM events
 ), hit AS (SELECT qid, pno, m, o, x, y, bw, bh, klass, 4 * greatest(w, h) > tile AS ovf FROM pk JOIN tp ON cx >= x AND cx < x + bw AND cy >= y AND cy < y + bh)
 """
 
@@ -40,7 +40,7 @@ def f09(spark, sf_dir):
     return g.withColumn("filtered", F.when(F.col("selectable") == 0, F.col("hits")).otherwise(0).cast("long"))
 
 
-@query("j07_bleed_neighbours", ", pk AS (SELECT event_id AS qid, (event_id * 7919) % 2500000 AS cx, (event_id * 104729) % 2500000 AS cy FROM events WHERE event_id < 500), ov AS (SELECT max(greatest(0, x - tx * tile + bw - tile, y - ty * tile + bh - tile)) AS over FROM tp WHERE NOT 4 * greatest(w, h) > tile), rg AS (SELECT qid, greatest(CAST(floor((cx - over) / tile) AS BIGINT), 0) AS ax, least(cx // tile, side - 1) AS bx, greatest(CAST(floor((cy - over) / tile) AS BIGINT), 0) AS ay, least(cy // tile, side - 1) AS byy FROM pk, ov, geo) SELECT qid, tx, unnest(range(ay, byy + 1)) AS ty FROM (SELECT *, unnest(range(ax, bx + 1)) AS tx FROM rg)")
+@query("j07_bleed_neighbours", ", pk AS (SELECT event_id AS qid, (event_id * 7919) % 2500000 AS cx, (event_id * 104729) % 2500000 AS cy FROM events), ov AS (SELECT max(greatest(0, x - tx * tile + bw - tile, y - ty * tile + bh - tile)) AS over FROM tp WHERE NOT 4 * greatest(w, h) > tile), rg AS (SELECT qid, greatest(CAST(floor((cx - over) / tile) AS BIGINT), 0) AS ax, least(cx // tile, side - 1) AS bx, greatest(CAST(floor((cy - over) / tile) AS BIGINT), 0) AS ay, least(cy // tile, side - 1) AS byy FROM pk, ov, geo) SELECT qid, tx, unnest(range(ay, byy + 1)) AS ty FROM (SELECT *, unnest(range(ax, bx + 1)) AS tx FROM rg)")
 def j07(spark, sf_dir):
     """Tiles whose content can reach each point."""
     d = Design(spark, sf_dir)
@@ -50,7 +50,7 @@ def j07(spark, sf_dir):
 
 _VIEWS = """, pitch AS (SELECT CAST(floor(world * 1.01) AS BIGINT) AS p, world AS s FROM geo
 ), inst AS (SELECT n_nationkey AS i, (n_nationkey % 5) * p AS ix, (n_nationkey // 5) * p AS iy, n_nationkey % 8 AS io FROM nation, pitch
-), vw AS (SELECT event_id AS qid, (event_id * 7919) % 12000000 AS x0, (event_id * 104729) % 12000000 AS y0, (event_id * 7919) % 12000000 + 400000 AS x1, (event_id * 104729) % 12000000 + 300000 AS y1 FROM events WHERE event_id < 300
+), vw AS (SELECT event_id AS qid, (event_id * 7919) % 12000000 AS x0, (event_id * 104729) % 12000000 AS y0, (event_id * 7919) % 12000000 + 400000 AS x1, (event_id * 104729) % 12000000 + 300000 AS y1 FROM events
 ), seen AS (SELECT qid, i, io, s, x0 - ix AS u0, y0 - iy AS v0, x1 - ix AS u1, y1 - iy AS v1 FROM vw, inst, pitch WHERE ix + s >= x0 AND ix <= x1 AND iy + s >= y0 AND iy <= y1
 ), cor AS (SELECT qid, i,
     CASE io WHEN 0 THEN u0 WHEN 1 THEN s - u0 WHEN 2 THEN v0 WHEN 3 THEN s - v0 WHEN 4 THEN s - u0 WHEN 5 THEN u0 WHEN 6 THEN s - v0 ELSE v0 END AS ax0,
@@ -66,7 +66,7 @@ _VIEWS = """, pitch AS (SELECT CAST(floor(world * 1.01) AS BIGINT) AS p, world A
 
 
 def _views(d: Design):
-    return d.table("events").where("event_id < 300").selectExpr("event_id AS qid", "(event_id * 7919) % 12000000 AS x0", "(event_id * 104729) % 12000000 AS y0", "(event_id * 7919) % 12000000 + 400000 AS x1", "(event_id * 104729) % 12000000 + 300000 AS y1")
+    return d.table("events").selectExpr("event_id AS qid", "(event_id * 7919) % 12000000 AS x0", "(event_id * 104729) % 12000000 AS y0", "(event_id * 7919) % 12000000 + 400000 AS x1", "(event_id * 104729) % 12000000 + 300000 AS y1")
 
 
 def _culled(d: Design):
@@ -128,11 +128,11 @@ def u04(spark, sf_dir):
     return c.select("qid", "tx", "ty").unionByName(c.select("qid", F.lit(-1).cast("long").alias("tx"), F.lit(-1).cast("long").alias("ty"))).distinct()
 
 
-@query("p27_origin_table", _VIEWS + ", c AS (SELECT DISTINCT qid, i, tx, ty FROM cull WHERE qid < 20) SELECT qid, c.i, tx, ty, ix + CASE io WHEN 0 THEN tx * tile WHEN 1 THEN s - tx * tile WHEN 2 THEN s - ty * tile WHEN 3 THEN ty * tile WHEN 4 THEN s - tx * tile WHEN 5 THEN tx * tile WHEN 6 THEN s - ty * tile ELSE ty * tile END AS ox FROM c JOIN inst ON c.i = inst.i, pitch, geo")
+@query("p27_origin_table", _VIEWS + ", c AS (SELECT DISTINCT qid, i, tx, ty FROM cull) SELECT qid, c.i, tx, ty, ix + CASE io WHEN 0 THEN tx * tile WHEN 1 THEN s - tx * tile WHEN 2 THEN s - ty * tile WHEN 3 THEN ty * tile WHEN 4 THEN s - tx * tile WHEN 5 THEN tx * tile WHEN 6 THEN s - ty * tile ELSE ty * tile END AS ox FROM c JOIN inst ON c.i = inst.i, pitch, geo")
 def p27(spark, sf_dir):
     """Chip origin of each (instance, tile) in view."""
     d = Design(spark, sf_dir)
-    c = _culled(d).where("qid < 20").join(F.broadcast(d.instances.select("i", F.col("x").alias("ix"), F.col("o").alias("io"))), "i")
+    c = _culled(d).join(F.broadcast(d.instances.select("i", F.col("x").alias("ix"), F.col("o").alias("io"))), "i")
     u, _ = G.to_chip(F.col("io"), F.lit(d.world), F.col("tx") * d.tile, F.col("ty") * d.tile)
     return c.select("qid", "i", "tx", "ty", (F.col("ix") + u).alias("ox"))
 
@@ -261,11 +261,11 @@ def a15(spark, sf_dir):
     return spark.createDataFrame(rows, "bucket int, cap long, placements long, actual long, submitted long")
 
 
-@query("p35_jump_to", ", v AS (SELECT event_id, 0.0005 * (1 + event_id % 40) AS s FROM events WHERE event_id < 500) SELECT event_id, greatest(CAST(s AS DOUBLE), 10 / mean_w) AS scale FROM v, means")
+@query("p35_jump_to", ", v AS (SELECT event_id, 0.0005 * (1 + event_id % 40) AS s FROM events) SELECT event_id, greatest(CAST(s AS DOUBLE), 10 / mean_w) AS scale FROM v, means")
 def p35(spark, sf_dir):
     """Scale after a jump: at least ten pixels a cell, never out."""
     d = Design(spark, sf_dir)
-    return d.table("events").where("event_id < 500").selectExpr("event_id", f"greatest(cast(0.0005 * (1 + event_id % 40) as double), 10 / {d.means[0]!r}D) AS scale")
+    return d.table("events").selectExpr("event_id", f"greatest(cast(0.0005 * (1 + event_id % 40) as double), 10 / {d.means[0]!r}D) AS scale")
 
 
 @query("b02_lod_sweep")

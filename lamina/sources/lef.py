@@ -16,7 +16,7 @@ CLASSES = {"BLOCK": 1}
 LAYERS = {"METAL1": 5, "VIA1": 6, "METAL2": 7, "METAL3": 8}
 #: Further metals fold into the third and further vias into the first, and are counted; so are unknown layers, apart.
 FOLD_METAL, FOLD_VIA = 8, 6
-NUMBER = r"(-?[0-9]+(?:\.[0-9]+)?)"
+NUMBER = r"([0-9.eE+-]+)"
 
 
 def read_whole(spark: SparkSession, path: str) -> DataFrame:
@@ -29,7 +29,15 @@ def read_macros(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("lineSep", ";").text(path)
+    """value of each statement, and its place: file and at, which orders a file's statements."""
+    rows = spark.read.option("lineSep", ";").text(path)
+    # A partition may hold several pieces of files, each in order.
+    return rows.select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
+
+
+def statements_of(text: DataFrame) -> DataFrame:
+    """The same of whole files (file, value)."""
+    return text.select("file", F.posexplode(F.split("value", ";")).alias("at", "value"))
 
 
 def _code(name: Column, table: dict[str, int], default: int | None) -> Column:
@@ -38,15 +46,17 @@ def _code(name: Column, table: dict[str, int], default: int | None) -> Column:
 
 
 def tech_layers(text: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Layers (ord, name, type) in file order, and the database units per micron."""
+    """Layers (ord, name, type) in file order, type empty where none is stated, and the database units per micron.
+
+    Only LAYER in the first column declares one: others are references. A layer's
+    last TYPE and the file's last unit hold. text is one technology file.
+    """
     lines = text.select(F.posexplode(F.split("value", "\r?\n")).alias("line", "s"))
-    named = lines.select("line", "s", F.nullif(F.regexp_extract("s", r"^LAYER\s+(\S+)", 1), F.lit("")).alias("layer"))
-    above = F.last("layer", ignorenulls=True).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
-    typed = named.withColumn("name", above).withColumn("type", F.regexp_extract("s", r"^\s*TYPE\s+(ROUTING|CUT)\b", 1)).where("type <> '' and name is not null")
-    first = typed.groupBy("name").agg(F.min("line").alias("line"), F.min_by("type", "line").alias("type"))
-    layers = first.select((F.row_number().over(Window.orderBy("line")) - 1).alias("ord"), "name", "type")
-    dbu = lines.select(F.regexp_extract("s", r"DATABASE\s+MICRONS\s+([0-9]+)", 1).alias("d")).where("d <> ''").agg(F.max(F.col("d").cast("long")).alias("dbu"))
-    return layers, dbu
+    named = lines.withColumns({"layer": F.nullif(F.regexp_extract("s", r"^LAYER\s+(\S+)", 1), F.lit("")), "kind": F.nullif(F.regexp_extract("s", r"^\s*TYPE\s+(\S+)\s*;", 1), F.lit(""))})
+    owned = named.where("layer is not null or kind is not null").withColumn("ord", F.count("layer").over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)) - 1).where("ord >= 0")
+    layers = owned.groupBy("ord").agg(F.min("layer").alias("name"), F.coalesce(F.max_by("kind", F.when(F.col("kind").isNotNull(), F.col("line"))), F.lit("")).alias("type"))
+    unit = lines.select("line", F.regexp_extract("s", rf"^\s*DATABASE\s+MICRONS\s+{NUMBER}\s*;", 1).alias("d")).where("d <> ''")
+    return layers.select(F.col("ord").cast("int").alias("ord"), "name", "type"), unit.agg(F.max_by(F.col("d").cast("double"), "line").alias("dbu"))
 
 
 def _dbu(text: Column, dbu: int) -> Column:
@@ -65,55 +75,122 @@ def masters_of(records: DataFrame, dbu: int) -> DataFrame:
     return rows.select(F.regexp_extract(v, r"^\s*(?:MACRO\s+)?(\S+)", 1).alias("name"), klass.alias("class"), _code(klass, CLASSES, 0).alias("klass"), number(size[0]).alias("w"), number(size[1]).alias("h"), number(origin[0]).alias("ox"), number(origin[1]).alias("oy"), "value")
 
 
+#: Where a part of a master begins, and within it a layer, or the end of either.
+_PART = r"(?m)^(?=[ \t]*(?:PIN\s|OBS\b|END[ \t]+\S))"
+_LAYER = r"(?m)^(?=[ \t]*(?:LAYER\s|END[ \t]*\r?$))"
+
+
 def rects_of(masters: DataFrame, dbu: int, outline: bool = False) -> DataFrame:
-    """name, r, layer, flags, x, y, w, h and what became of each: kept, clipped (to nothing), polygon.
+    """name, r, layer, flags, x, y, w, h, clamped and what became of each: kept, clipped (to nothing), polygon.
 
-    Corners are put in order, shifted by the origin and clamped to the size. With
-    outline, each master's box comes first, as r = 0.
+    Corners are put in order, the origin is subtracted, and they are clamped to
+    the size. With outline, each master's box comes first, as r = 0. A master is
+    parsed within its row.
     """
-    lines = masters.select("name", "w", "h", "ox", "oy", F.posexplode(F.split("value", "\r?\n")).alias("line", "s"))
-    order = Window.partitionBy("name").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    some = lambda pattern: F.nullif(F.regexp_extract("s", pattern, 1), F.lit(""))
-    state = lines.withColumns({"lay": F.last(some(r"^\s*LAYER\s+(\S+)"), ignorenulls=True).over(order), "part": F.last(some(r"^\s*(PIN|OBS)\b"), ignorenulls=True).over(order)})
-    shapes = state.where(F.col("s").rlike(r"^\s*(RECT|POLYGON)\s"))
-    pattern = rf"^\s*RECT\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}\s+{NUMBER}"
-    corner = lambda k, o: _dbu(F.nullif(F.regexp_extract("s", pattern, k), F.lit("")), dbu) + F.col(o)
-    box = shapes.withColumns({"a": corner(1, "ox"), "b": corner(2, "oy"), "c": corner(3, "ox"), "e": corner(4, "oy")})
-    box = box.withColumns({"x0": F.expr("greatest(least(a, c), 0L)"), "y0": F.expr("greatest(least(b, e), 0L)"), "x1": F.expr("least(greatest(a, c), w)"), "y1": F.expr("least(greatest(b, e), h)")})
-    fate = F.when(F.col("s").rlike(r"^\s*POLYGON"), "polygon").when(F.expr("x1 > x0 and y1 > y0"), "kept").otherwise("clipped")
-    up = F.upper("lay")
+
+    def shape(lay: Column, pin: Column):
+        def made(line: Column) -> Column:
+            word = F.split(F.trim(line), r"\s+")
+            at = lambda k, o: _dbu(F.get(word, F.lit(k)), dbu) - F.col(o)
+            polygon = F.get(word, F.lit(0)) == "POLYGON"
+            corner = lambda k, o: F.when(~polygon, at(k, o))
+            return F.struct(polygon.alias("polygon"), F.upper(lay).alias("lay"), pin.alias("pin"), corner(1, "ox").alias("a"), corner(2, "oy").alias("b"), corner(3, "ox").alias("c"), corner(4, "oy").alias("e"))
+
+        return made
+
+    def of_layer(pin: Column):
+        def found(text: Column) -> Column:
+            lay = F.nullif(F.regexp_extract(text, r"^\s*LAYER\s+(\S+)", 1), F.lit(""))
+            lines = F.regexp_extract_all(text, F.lit(rf"(?m)^[ \t]*((?:POLYGON\b|RECT(?:\s+{NUMBER}){{4}})[^\n]*)"), F.lit(1))
+            return F.transform(lines, shape(lay, pin))
+
+        return found
+
+    def of_part(text: Column) -> Column:
+        return F.flatten(F.transform(F.split(text, _LAYER), of_layer(text.rlike(r"^\s*PIN\s"))))
+
+    found = masters.select("name", "w", "h", F.posexplode(F.flatten(F.transform(F.split("value", _PART), of_part))).alias("line", "s")).select("name", "w", "h", "line", "s.*")
+    box = found.withColumns({"u0": F.least("a", "c"), "v0": F.least("b", "e"), "u1": F.greatest("a", "c"), "v1": F.greatest("b", "e")})
+    box = box.withColumns({"x0": F.expr("least(greatest(u0, 0L), w)"), "y0": F.expr("least(greatest(v0, 0L), h)"), "x1": F.expr("least(greatest(u1, 0L), w)"), "y1": F.expr("least(greatest(v1, 0L), h)")})
+    fate = F.when(F.col("polygon"), "polygon").when(F.expr("x1 > x0 and y1 > y0"), "kept").otherwise("clipped")
+    up = F.col("lay")
     known = _code(up, LAYERS, None)
-    out = box.select("name", "line", F.coalesce(known, F.when(up.startswith("VIA"), F.lit(FOLD_VIA)).otherwise(F.lit(FOLD_METAL))).alias("layer"), F.when(known.isNotNull(), "known").when(up.rlike("^(METAL|VIA)[0-9]+$"), "folded").otherwise("unknown").alias("fold"), F.when(F.col("part") == "PIN", 1).otherwise(0).alias("flags"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.expr("x1 - x0").alias("w"), F.expr("y1 - y0").alias("h"), fate.alias("fate"))
+    clamped = F.coalesce(F.expr("x0 <> u0 or y0 <> v0 or x1 <> u1 or y1 <> v1"), F.lit(False))
+    out = box.select("name", "line", F.coalesce(known, F.when(up.startswith("VIA"), F.lit(FOLD_VIA)).otherwise(F.lit(FOLD_METAL))).alias("layer"), F.when(known.isNotNull(), "known").when(up.rlike("^(METAL|VIA)[0-9]+$"), "folded").otherwise("unknown").alias("fold"), F.col("pin").cast("int").alias("flags"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.expr("x1 - x0").alias("w"), F.expr("y1 - y0").alias("h"), clamped.alias("clamped"), fate.alias("fate"))
     if outline:
-        own = masters.selectExpr("name", "-1 AS line", "0 AS layer", "'known' AS fold", "0 AS flags", "0L AS x", "0L AS y", "w", "h", "'kept' AS fate")
+        own = masters.selectExpr("name", "-1 AS line", "0 AS layer", "'known' AS fold", "0 AS flags", "0L AS x", "0L AS y", "w", "h", "false AS clamped", "'kept' AS fate")
         out = own.unionByName(out)
     r = F.row_number().over(Window.partitionBy("name", "fate").orderBy("line")) - 1
     return out.withColumn("r", F.when(F.col("fate") == "kept", r)).drop("line")
 
 
+def statistics(masters: DataFrame, rects: DataFrame) -> DataFrame:
+    """(what, key, n) of a library: masters by class, with an origin, pins; rects kept by part and layer fold, clamped, dropped, polygons."""
+    def counts(rows: DataFrame, *of: tuple) -> DataFrame:
+        each = (F.struct(F.lit(what).alias("what"), (key if isinstance(key, Column) else F.lit(key)).alias("key"), n.cast("int").alias("n")) for what, key, n in of)
+        return rows.select(F.explode(F.array(*each)).alias("s")).select("s.*")
+
+    v, one, kept = F.col("value"), F.lit(1), F.col("fate") == "kept"
+    pins, lines = F.size(F.regexp_extract_all(v, F.lit(r"(?m)^\s*(PIN)\s"), F.lit(1))), F.size(F.split(v, "\n"))
+    per = counts(masters, ("class", F.col("class"), one), ("origin", "not zero", F.expr("ox <> 0 or oy <> 0")), ("pins", "all", pins), ("lines", "all", lines))
+    fate = F.when(kept, F.when(F.col("flags") == 1, "pin").otherwise("obs")).otherwise(F.col("fate"))
+    of = counts(rects, ("rects", fate, one), ("fold", F.col("fold"), kept), ("clamped", "all", F.col("clamped")))
+    return per.unionByName(of).groupBy("what", "key").agg(F.sum("n").alias("n")).where("n > 0")
+
+
 def design_units(statements: DataFrame) -> DataFrame:
     """dbu, x0, y0, x1, y1 of a design."""
+    word = _words(F.col("value"))
+    area = F.when(F.get(word, F.lit(0)) == "DIEAREA", F.regexp_extract_all("value", F.lit(r"(-?\d+)"), F.lit(1)))
+    cols = {"dbu": F.when(F.array_join(F.slice(word, 1, 3), " ") == "UNITS DISTANCE MICRONS", F.get(word, F.lit(3)).cast("double")), **{n: F.get(area, F.lit(i)).cast("long") for i, n in enumerate(("x0", "y0", "x1", "y1"))}}
+    return statements.select(*(c.alias(n) for n, c in cols.items())).agg(*(F.max(n).alias(n) for n in cols))
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"(\S+)"), F.lit(1))
+
+
+def in_section(statements: DataFrame, name: str) -> DataFrame:
+    """The statements of a design's section, without the one that opens it; their order is by (file, at).
+
+    The few that open or close a section give its spans, which are broadcast.
+    """
     v = F.col("value")
-    area = r"DIEAREA\s*\(\s*(-?\d+)\s+(-?\d+)\s*\)\s*\(\s*(-?\d+)\s+(-?\d+)\s*\)"
-    cols = {"dbu": F.regexp_extract(v, r"UNITS\s+DISTANCE\s+MICRONS\s+(\d+)", 1), **{n: F.regexp_extract(v, area, i + 1) for i, n in enumerate(("x0", "y0", "x1", "y1"))}}
-    return statements.select(*(F.nullif(c, F.lit("")).cast("long").alias(n) for n, c in cols.items())).agg(*(F.max(n).alias(n) for n in cols))
+    opens, closes = v.rlike(rf"(?m)^[ \t]*{name}\s+\d+\s*$"), v.rlike(rf"(?m)^[ \t]*END\s+{name}\b")
+    marks = statements.where(opens | closes).select(F.col("file").alias("_file"), F.col("at").alias("_from"), closes.alias("_closed"))
+    after = F.lead("_from").over(Window.partitionBy("_file").orderBy("_from"))
+    spans = marks.withColumn("_to", after).where("not _closed")
+    inside = (F.col("file").eqNullSafe(F.col("_file"))) & (F.col("at") > F.col("_from")) & (F.col("_to").isNull() | (F.col("at") < F.col("_to")))
+    return statements.join(F.broadcast(spans), inside, "left_semi")
 
 
 def components(statements: DataFrame) -> DataFrame:
-    """name, master, status, x, y, orient of component statements; unplaced ones have no place."""
+    """name, master, status, x, y, orient of a design's components; unplaced ones have no place.
+
+    Statements of other sections (blockages, groups, pins, nets) aren't components,
+    whatever they look like. Without a status a component is unplaced; of several
+    the last holds.
+    """
     v = F.col("value")
-    head = r"^\s*(?:COMPONENTS\s+\d+\s*)?-\s+(\S+)\s+(\S+)\s"
-    at = r"\+\s+(FIXED|PLACED|COVER|UNPLACED)\b(?:\s*\(\s*(-?\d+)\s+(-?\d+)\s*\)\s*(\w+))?"
-    rows = statements.where(v.rlike(r"^\s*-\s+\S+\s+\S+\s+\+"))
-    text = lambda k: F.nullif(F.regexp_extract(v, at, k), F.lit(""))
-    return rows.select(F.regexp_extract(v, head, 1).alias("name"), F.regexp_extract(v, head, 2).alias("master"), text(1).alias("status"), text(2).cast("long").alias("x"), text(3).cast("long").alias("y"), text(4).alias("orient"))
+    rows = in_section(statements, "COMPONENTS").where(v.rlike(r"^\s*-\s+\S+\s+\S+"))
+    word = _words(v)
+    rows = rows.select(F.get(word, F.lit(1)).alias("name"), F.get(word, F.lit(2)).alias("master"), word.alias("word"))
+    known = F.array(*map(F.lit, ("FIXED", "PLACED", "COVER", "UNPLACED")))
+    # From 0; of the words behind the master the last that is a status.
+    at = F.array_max(F.filter(F.sequence(F.lit(2), F.size("word")), lambda i: F.array_contains(known, F.get("word", i)) & (i > 2)))
+    rows = rows.withColumn("k", at).withColumn("status", F.coalesce(F.get("word", F.col("k")), F.lit("UNPLACED")))
+    placed, there = F.col("status") != "UNPLACED", F.get("word", F.col("k") + 1) == "("
+    number = lambda n: F.when(placed, F.when(there, F.get("word", F.col("k") + n).cast("long")).otherwise(0))
+    return rows.select("name", "master", "status", number(2).alias("x"), number(3).alias("y"), F.when(placed, F.when(there, F.get("word", F.col("k") + 5)).otherwise("N")).alias("orient"))
 
 
 def rows_of(statements: DataFrame) -> DataFrame:
-    """name, x, y, orient, nx, step of row statements."""
-    p = r"^\s*ROW\s+(\S+)\s+\S+\s+(-?\d+)\s+(-?\d+)\s+(\w+)\s+DO\s+(\d+)\s+BY\s+\d+\s+STEP\s+(\d+)"
-    g = lambda k: F.regexp_extract("value", p, k)
-    return statements.where(F.col("value").rlike(p)).select(g(1).alias("name"), g(2).cast("long").alias("x"), g(3).cast("long").alias("y"), g(4).alias("orient"), g(5).cast("long").alias("nx"), g(6).cast("long").alias("step"))
+    """name, site, x, y, orient, nx, ny, step, step_y of row statements."""
+    word = _words(F.col("value"))
+    rows = statements.select(word.alias("w")).where(F.get("w", F.lit(0)) == "ROW").where(F.get("w", F.lit(6)) == "DO")
+    at = lambda k: F.get("w", F.lit(k))
+    number = lambda k: at(k).try_cast("long")
+    return rows.select(at(1).alias("name"), at(2).alias("site"), number(3).alias("x"), number(4).alias("y"), at(5).alias("orient"), number(7).alias("nx"), number(9).alias("ny"), number(11).alias("step"), number(12).alias("step_y"))
 
 
 def to_units(value: Column, lef_dbu: Column | int, def_dbu: Column | int) -> Column:

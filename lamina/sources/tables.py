@@ -84,7 +84,7 @@ class Design:
             *(["CAST(pno AS BIGINT) AS pno"] if numbers else []),
         )
         # Straps stand on their pitch, across their direction.
-        p = raw.join(F.broadcast(self.masters), "m")
+        p = raw.join(self.masters, "m")
         x = F.expr(f"CASE WHEN klass = 2 AND h > w THEN (x0 div {PITCH}) * {PITCH} ELSE x0 END")
         y = F.expr(f"CASE WHEN klass = 2 AND w > h THEN (y0 div {PITCH}) * {PITCH} ELSE y0 END")
         return p.select(*(["pno"] if numbers else []), "m", "o", x.alias("x"), y.alias("y"), "klass", "w", "h", "rc")
@@ -126,4 +126,4 @@ class Design:
     @cached_property
     def picks(self) -> DataFrame:
         """qid, cx, cy: points to identify."""
-        return self.table("events").where("event_id < 500").selectExpr("event_id AS qid", "(event_id * 7919) % 2500000 AS cx", "(event_id * 104729) % 2500000 AS cy")
+        return self.table("events").selectExpr("event_id AS qid", "(event_id * 7919) % 2500000 AS cx", "(event_id * 104729) % 2500000 AS cy")

@@ -16,14 +16,33 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 from ..operators import ladder
 
 
+def _in_order(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Sessions whole and in order within partitions, sorted on disk if need be; none is held in memory."""
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, key).sortWithinPartitions(key, *order)
+
+
 def level_replay(events: DataFrame, steps: list[tuple[int, float]], key: str = "user_id") -> DataFrame:
-    """ord, scale and z of each session's events (key, ts, event_id, scale): hysteresis as a fold.
+    """ord, scale and z of each session's events (key, ts, event_id, scale): hysteresis, event by event.
 
-    A session is folded where its events are; sessions are as long as users stay.
+    A session runs through one task, which holds its current level only.
     """
-    s = events.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", "scale"))).alias("e"))
-    z = s.select(key, "e", ladder.hysteresis(F.col("e.scale"), steps).alias("z"))
-    return z.select(key, F.posexplode(F.arrays_zip(F.col("e.event_id").alias("event_id"), F.col("e.scale").alias("scale"), "z")).alias("ord", "r")).select(key, (F.col("ord") + 1).alias("ord"), "r.*")
+
+    def run(frames):
+        own = z = None
+        n = 0
+        for f in frames:
+            ords, zs = [], []
+            for k, scale in zip(f[key], f["scale"], strict=True):
+                if k != own:
+                    own, z, n = k, None, 0
+                z, n = next_level(z, scale, steps), n + 1
+                ords.append(n)
+                zs.append(z)
+            yield pd.DataFrame({key: f[key], "ord": ords, "event_id": f["event_id"], "scale": f["scale"], "z": zs})
+
+    rows = _in_order(events.select(key, "ts", "event_id", "scale"), key, ["ts", "event_id"]).select(key, "event_id", "scale")
+    return rows.mapInPandas(run, f"{key} long, ord int, event_id long, scale double, z int")
 
 
 def next_level(z: int | None, scale: float, steps: list[tuple[int, float]], h: float = ladder.HYSTERESIS) -> int:
@@ -60,27 +79,38 @@ def lru_replay(accesses: DataFrame, budget: int, key: str = "user_id") -> DataFr
     Pinned tiles stay even if they exceed the budget alone.
     """
 
-    def run(k, f: pd.DataFrame) -> pd.DataFrame:
-        cache: OrderedDict = OrderedDict()
-        held = hits = loads = evicted = peak = 0
-        for tile, size, pinned in f.sort_values("ord")[["tile", "bytes", "pinned"]].itertuples(index=False):
-            if tile in cache:
-                hits += 1
-                cache.move_to_end(tile)
-                cache[tile] = (size, pinned)
-            else:
-                loads += 1
-                cache[tile] = (size, pinned)
-                held += size
-            for old in [t for t, (_, pin) in cache.items() if not pin and t != tile]:
-                if held <= budget:
-                    break
-                held -= cache.pop(old)[0]
-                evicted += 1
-            peak = max(peak, held)
-        return pd.DataFrame([(k[0], hits, loads, evicted, peak)], columns=[key, "hits", "loads", "evicted", "peak"])
-
-    return accesses.groupBy(key).applyInPandas(run, f"{key} long, hits long, loads long, evicted long, peak long")
+    def run(frames):
+        own = None
+        free: OrderedDict = OrderedDict()  # unpinned tiles, the least recently used first
+        pins: dict = {}
+        stats = [0] * 4
+        held = 0
+        for f in frames:
+            out = []
+            for k, tile, size, pinned in f[[key, "tile", "bytes", "pinned"]].itertuples(index=False):
+                if k != own:
+                    if own is not None:
+                        out.append((own, *stats))
+                    own, held, stats = k, 0, [0] * 4
+                    free.clear()
+                    pins.clear()
+                was = free.pop(tile, None) if tile in free else pins.pop(tile, None)
+                if was is None:
+                    stats[1] += 1
+                    held += size
+                else:
+                    stats[0] += 1
+                (pins if pinned else free)[tile] = size if was is None else was
+                # The tile in use is the last of the unpinned ones and stays.
+                while held > budget and len(free) > (not pinned):
+                    held -= free.popitem(last=False)[1]
+                    stats[2] += 1
+                stats[3] = max(stats[3], held)
+            yield pd.DataFrame(out, columns=[key, "hits", "loads", "evicted", "peak"])
+        if own is not None:
+            yield pd.DataFrame([(own, *stats)], columns=[key, "hits", "loads", "evicted", "peak"])
+
+    return _in_order(accesses.select(key, "ord", "tile", "bytes", "pinned"), key, ["ord"]).mapInPandas(run, f"{key} long, hits long, loads long, evicted long, peak long")
 
 
 def latest_per_window(events: DataFrame, width: str, watermark: str | None = None) -> DataFrame:

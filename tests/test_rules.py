@@ -108,9 +108,9 @@ def test_lef_rules(spark):
     m = lef.masters_of(rec, 1000)
     assert [(r.name, r.klass, r.w, r.h) for r in m.collect()] == [("A", 1, 10000, 4000)]
     r = lef.rects_of(m, 1000).orderBy("r").collect()
-    assert [(x.x, x.y, x.w, x.h, x.flags, x.layer) for x in r if x.fate == "kept"] == [(2000, 1500, 2000, 1000, 1, 5), (9000, 3500, 1000, 500, 1, 5), (1000, 500, 1000, 1000, 0, 8), (1000, 500, 1001, 1000, 0, 8)]
-    assert sorted(x.fate for x in r if x.fate != "kept") == ["clipped", "polygon"]
-    assert sorted(x.fold for x in r if x.fate == "kept") == ["folded", "known", "known", "unknown"]
+    assert [(x.x, x.y, x.w, x.h, x.flags, x.layer) for x in r if x.fate == "kept"] == [(0, 500, 2000, 1000, 1, 5), (7000, 2500, 3000, 1500, 1, 5), (0, 0, 1, 500, 0, 8)]
+    assert sorted(x.fate for x in r if x.fate != "kept") == ["clipped", "clipped", "polygon"]
+    assert sorted(x.fold for x in r if x.fate == "kept") == ["known", "known", "unknown"]
     assert lef.rects_of(m, 1000, True).where("r = 0").first().w == 10000
 
 
