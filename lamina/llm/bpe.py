@@ -12,6 +12,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Iterable, Iterator
@@ -25,8 +26,8 @@ from . import textkernel as K
 #: Letters and the other characters of texts for which the plain patterns below agree with Unicode's classes.
 _LETTER = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
 _PLAIN = re.compile(f"[\\t\\n\\r\\x20-\\x7e{_LETTER}–—‘-”…]*\\Z")
-#: Words that are kept with their ids, for each Python worker.
-CACHE = 300_000
+#: Words that are kept with their ids, for each Python worker, and the longest of them; longer ones stream.
+CACHE, LONG = 300_000, 64
 #: Characters of a text that are looked at together.
 WINDOW = 1 << 20
 
@@ -38,14 +39,39 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
+# The word pattern and normalizers for which the plain pattern below is exact.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMAL = ["NFC", "Replace", "Lowercase"]
+
+
+def _refuse(spec: dict) -> None:
+    """Files with rules that the transducers don't follow are errors, never wrong ids."""
+    model, decoder = spec["model"], spec.get("decoder") or {}
+    odd = [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [f"added token {t['content']!r}" for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+    if model.get("type") != "BPE":
+        odd.append(f"model {model.get('type')}")
+    if decoder.get("type", "ByteLevel") != "ByteLevel":
+        odd.append(f"decoder {decoder['type']}")
+    if "ByteLevel" not in json.dumps(spec.get("pre_tokenizer")) or '"add_prefix_space": true' in json.dumps(spec.get("pre_tokenizer")):
+        odd.append("pre-tokenizer")
+    if odd:
+        raise ValueError(f"tokenizer file with {', '.join(odd)}")
+
+
 class Transducer:
-    """The merge list of a tokenizer file, its sufficient lookahead, and streaming encoding of one word."""
+    """The merge list of a tokenizer file, its sufficient lookahead, and streaming encoding of one word.
+
+    Takes byte-level BPE files, with or without an end-of-word suffix, normalizer
+    and decoder; files with other rules are refused.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        _refuse(spec)
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         self.tail = model.get("end_of_word_suffix") or ""
@@ -62,15 +88,21 @@ class Transducer:
         self.lookahead = sufficient_lookahead(parts)
         self.chunk = max(4096, 4 * self.lookahead)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.texts = {i: t.encode() for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.to_byte = {c: i for i, c in enumerate(letters)}
+        # With a decoder tokens are their bytes, which follow each other; without one they stand as they are, a space between.
+        self.joint = b"" if spec.get("decoder") else b" "
+        own = (lambda t: bytes(self.to_byte[c] for c in t)) if spec.get("decoder") else str.encode
+        self.texts = {i: own(t) for t, i in vocab.items()} | {i: t.encode() for t, i in self.special.items()}
+        self.size = {i: len(t.removesuffix(self.tail)) for t, i in vocab.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.decoder = spec.get("decoder")
+        kinds = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        split = ((spec["pre_tokenizer"].get("pretokenizers") or [{}])[0].get("pattern") or {}).get("Regex")
+        self.plain = kinds == _NORMAL and split == _WORDS
         whole = Tokenizer.from_file(path)
         whole.no_truncation()
         whole.no_padding()
         self.normalizer, self.pre_tokenizer = whole.normalizer, whole.pre_tokenizer
         self.words: dict[str, bytes] = {}
-        self.to_byte = {c: i for i, c in enumerate(letters)}
 
     # One word
 
@@ -141,19 +173,13 @@ class Transducer:
         """The tokens of a buffer that lie the lookahead before its end, and how many symbols they cover."""
         done, used, most = [], 0, len(buffer) - self.lookahead
         for t in self._merge(buffer):
-            size = self.size[t] if t in self.size else self._count(t)
+            size = self.size[t]
             if used + size > most:
                 break
             used += size
             done.append(t)
         return done, used
 
-    size: dict[int, int] = {}
-
-    def _count(self, token: int) -> int:
-        text = self.texts[token].decode().removesuffix(self.tail) if self.tail else self.texts[token].decode()
-        return len(text)
-
     # Texts
 
     def pack(self, word: str) -> bytes:
@@ -170,11 +196,24 @@ class Transducer:
                 known[w] = self.pack(w)
         return b"".join(map(known.__getitem__, words))
 
+    def _in_parts(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words; those of long words as they become stable."""
+        at = 0
+        for k, w in enumerate(words):
+            if len(w) > LONG:
+                if at < k:
+                    yield self._cached(words[at:k])
+                at, ids = k + 1, self.encode_bytes(w.encode())
+                while part := b"".join(t.to_bytes(4, "little") for t in itertools.islice(ids, 8192)):
+                    yield part
+        if at < len(words):
+            yield self._cached(words[at:])
+
     def _windows(self, text: str) -> Iterator[str]:
         """Parts of a text that end before white space, so that no word is cut."""
         at = 0
         while len(text) - at > WINDOW:
-            m = re.compile(r"\s").search(text, at + WINDOW)
+            m = re.compile(r"(?<=\S)\s").search(text, at + WINDOW)
             if not m:
                 break
             yield text[at : m.start()]
@@ -185,20 +224,20 @@ class Transducer:
         """The ids as little-endian 32-bit integers, in parts."""
         if not text:
             return
-        spans = [text] if "<|" not in text or self.split_special is None else self.split_special.split(text)
+        spans = [text] if not any(t in text for t in self.special) else self.split_special.split(text)
         for span in spans:
             if span in self.special and len(spans) > 1:
                 yield self.special[span].to_bytes(4, "little")
             else:
                 for part in self._windows(span):
                     if part:
-                        yield self._cached(self.split(part))
+                        yield from self._in_parts(self.split(part))
 
     _plain_split = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s0-9{_LETTER}]+")
 
     def split(self, text: str) -> list[str]:
         """The words of a text: by a plain pattern where that is exact, else by the library's own rules."""
-        if _PLAIN.match(text):
+        if self.plain and _PLAIN.match(text):
             return self._plain_split.findall(text.lower())
         if self.normalizer is not None:
             text = self.normalizer.normalize_str(text)
@@ -208,19 +247,14 @@ class Transducer:
     def decode(self, ids: Iterable[int]) -> Iterator[str]:
         """Text of ids, special tokens included, in parts.
 
-        Without a decoder in the file, tokens stand with one space between them;
-        bytes that end inside a character wait for the next part.
+        Bytes that end inside a character wait for the next part; bytes that are
+        none become replacement characters.
         """
         machine = codecs.getincrementaldecoder("utf-8")("replace")
-        part: list[bytes] = []
-        first = True
-        for i in ids:
-            part.append(self.texts[i])
-            if len(part) >= 8192:
-                yield machine.decode((b"" if first else b" ") + b" ".join(part))
-                part, first = [], False
-        if part:
-            yield machine.decode((b"" if first else b" ") + b" ".join(part))
+        ids, lead = iter(ids), b""
+        while part := [self.texts[i] for i in itertools.islice(ids, 8192)]:
+            yield machine.decode(lead + self.joint.join(part))
+            lead = self.joint
         if rest := machine.decode(b"", True):
             yield rest
 

@@ -27,19 +27,54 @@ SWITCH = 18.0
 RULED_OUT = -60.0
 #: Least share of a language's letters for a script to count as one of its scripts.
 SCRIPT_SHARE = 0.02
-SCRIPTS = 10
-
-# Scripts by the lead byte of UTF-8, in the order of Unicode's blocks.
-_SCRIPT = np.zeros(256, np.int8)
-_SCRIPT[0xCE : 0xD0] = 1  # Greek
-_SCRIPT[0xD0 : 0xD4] = 2  # Cyrillic
-_SCRIPT[0xD6 : 0xD8] = 3  # Hebrew
-_SCRIPT[0xD8 : 0xDC] = 4  # Arabic
-_SCRIPT[0xE0] = 5  # Indic scripts and Thai
-_SCRIPT[0xE1 : 0xE3] = 6  # Georgian, Ethiopic and others
-_SCRIPT[0xE3 : 0xEA] = 7  # kana and Han
-_SCRIPT[0xEA : 0xEE] = 8  # Hangul
-_SCRIPT[0xEE : 0x100] = 9  # the rest
+# Scripts by ranges of Unicode; 0 is Latin. Where a word mixes scripts the later one counts, so kana over Han.
+_RANGES = (
+    (1, 0x0370, 0x03FF), (1, 0x1F00, 0x1FFF),  # Greek
+    (2, 0x0400, 0x052F), (2, 0x1C80, 0x1C8F), (2, 0xA640, 0xA69F),  # Cyrillic
+    (3, 0x0530, 0x058F),  # Armenian
+    (4, 0x0590, 0x05FF),  # Hebrew
+    (5, 0x0600, 0x06FF), (5, 0x0750, 0x077F), (5, 0x08A0, 0x08FF), (5, 0xFB50, 0xFDFF), (5, 0xFE70, 0xFEFF),  # Arabic
+    (6, 0x0700, 0x074F),  # Syriac
+    (7, 0x0900, 0x097F),  # Devanagari
+    (8, 0x0980, 0x09FF),  # Bengali
+    (9, 0x0A00, 0x0A7F),  # Gurmukhi
+    (10, 0x0A80, 0x0AFF),  # Gujarati
+    (11, 0x0B00, 0x0B7F),  # Odia
+    (12, 0x0B80, 0x0BFF),  # Tamil
+    (13, 0x0C00, 0x0C7F),  # Telugu
+    (14, 0x0C80, 0x0CFF),  # Kannada
+    (15, 0x0D00, 0x0D7F),  # Malayalam
+    (16, 0x0D80, 0x0DFF),  # Sinhala
+    (17, 0x0E00, 0x0E7F),  # Thai
+    (18, 0x0E80, 0x0EFF),  # Lao
+    (19, 0x0F00, 0x0FFF),  # Tibetan
+    (20, 0x1000, 0x109F),  # Burmese
+    (21, 0x10A0, 0x10FF), (21, 0x1C90, 0x1CBF),  # Georgian
+    (22, 0x1200, 0x139F),  # Ethiopic
+    (23, 0x1780, 0x17FF),  # Khmer
+    (24, 0x1800, 0x18AF),  # Mongolian
+    (25, 0x1100, 0x11FF), (25, 0x3130, 0x318F), (25, 0xAC00, 0xD7FF),  # Hangul
+    (26, 0x2E80, 0x2FFF), (26, 0x3400, 0x9FFF), (26, 0xF900, 0xFAFF),  # Han
+    (27, 0x3040, 0x30FF), (27, 0x31F0, 0x31FF),  # kana
+)
+#: Number of scripts; the last stands for letters beyond the first 65,536.
+SCRIPTS = 29
+_SCRIPT = np.zeros(1 << 16, np.int8)
+for _k, _lo, _hi in _RANGES:
+    _SCRIPT[_lo : _hi + 1] = _k
+
+
+def _scripts(data: np.ndarray) -> np.ndarray | None:
+    """The script of the character that starts at each byte, 0 elsewhere; None if all are Latin."""
+    at = np.flatnonzero(data >= 0xCD)
+    if not len(at):
+        return None
+    lead = data[at].astype(np.int32)
+    one, two = (np.where(at + k < len(data), data[np.minimum(at + k, len(data) - 1)], 0).astype(np.int32) & 0x3F for k in (1, 2))
+    code = np.where(lead < 0xE0, (lead & 0x1F) << 6 | one, (lead & 0xF) << 12 | one << 6 | two)
+    out = np.zeros(len(data), np.int8)
+    out[at] = np.where(lead >= 0xF0, SCRIPTS - 1, _SCRIPT[code])
+    return out
 
 
 def _words(data: np.ndarray, off: np.ndarray):
@@ -59,7 +94,8 @@ def _words(data: np.ndarray, off: np.ndarray):
     right[starts + size - 1] = 0
     with np.errstate(over="ignore"):
         key = (left * np.uint32(0x9E3779B1) + mid * np.uint32(0x85EBCA6B) + right * np.uint32(0xC2B2AE35)) >> np.uint32(16)
-    script = np.maximum.reduceat(_SCRIPT[data[pos]], starts).astype(np.int64)
+    by = _scripts(data)
+    script = np.zeros(len(a), np.int64) if by is None else np.maximum.reduceat(by[pos], starts).astype(np.int64)
     return a, b, row, script, key, starts
 
 
@@ -137,7 +173,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
     live = np.searchsorted(-size, -np.arange(size[0]) - 1, "right")  # texts with a word at each place
     flat = np.concatenate([scores[i] for i in order])
     first = np.cumsum(size) - size
-    came = np.zeros((len(flat), langs), np.int8)
+    came = np.zeros((len(flat), langs), np.int16)
     v = np.zeros((n, langs))
     for t in range(size[0]):
         k = live[t]
@@ -148,7 +184,7 @@ def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray
             came[first[:k] + t] = np.where(own >= moved, np.arange(langs), best[:, None])
             own = np.maximum(own, moved)
         v[:k] = own + flat[first[:k] + t]
-    label = np.zeros(len(flat), np.int8)
+    label = np.zeros(len(flat), np.int16)
     now = v.argmax(1)
     for t in range(size[0] - 1, -1, -1):
         k = live[t]

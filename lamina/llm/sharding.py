@@ -2,16 +2,13 @@
 
 Every node is split at the weighted median (by bytes) of its widest dimension
 until the leaves reach the target size. All nodes of a level are split together,
-by histograms that the executors sum and that are narrowed until one bin's
-weight no longer matters; only the histograms, of a fixed size for each node,
-reach the driver.
+by histograms that the executors sum and search and that are narrowed until one
+bin's weight no longer matters; one row for each node reaches the driver.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch, salted_rank
@@ -71,22 +68,20 @@ def kd_shards(docs: DataFrame, target_bytes: int | None = None, depth: int | Non
         cut: list = [None if total[i] else 0 for i in range(nodes)]
         while any(c is None for c in cut):
             width = [max(1, -(-(hi[i] - lo[i]) // BINS)) for i in range(nodes)]
-            params = [(i, DIMENSIONS.index(dim[i]) + 1, lo[i], hi[i], width[i]) for i in range(nodes) if cut[i] is None]
-            params = F.broadcast(at.sparkSession.createDataFrame(params, "node int, dim int, lo long, hi long, width long"))
+            params = [(i, DIMENSIONS.index(dim[i]) + 1, lo[i], hi[i], width[i], below[i], total[i]) for i in range(nodes) if cut[i] is None]
+            params = F.broadcast(at.sparkSession.createDataFrame(params, "node int, dim int, lo long, hi long, width long, below long, total long"))
             here = at.join(params, "node").withColumn("key", F.element_at(F.array(*(F.col(f"k_{c}") for c in DIMENSIONS)), F.col("dim"))).where("key >= lo and key < hi")
-            got = here.groupBy("node", F.expr("(key - lo) div width").cast("int").alias("bin")).agg(F.sum("size").alias("bytes")).collect()
-            for i in range(nodes):
-                if cut[i] is not None:
-                    continue
-                bins = sorted((r["bin"], r["bytes"]) for r in got if r["node"] == i)
-                sums = list(accumulate((w for _, w in bins), initial=below[i]))
-                k = next(k for k in range(len(bins)) if 2 * sums[k + 1] >= total[i])
-                start = lo[i] + bins[k][0] * width[i]
-                if width[i] == 1 or bins[k][1] <= TOLERANCE * total[i]:
+            # Each node's histogram is summed and searched on the executors; the bin with its median comes back.
+            bins = here.groupBy("node", F.expr("(key - lo) div width").cast("int").alias("bin")).agg(F.sum("size").alias("bytes"), F.first("below").alias("below"), F.first("total").alias("total"))
+            before = Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+            sums = bins.withColumn("before", F.col("below") + F.coalesce(F.sum("bytes").over(before), F.lit(0))).where("2 * (before + bytes) >= total")
+            for r in sums.groupBy("node").agg(F.min(F.struct("bin", "before", "bytes")).alias("m")).select("node", "m.*").collect():
+                i, start, after = r["node"], lo[r["node"]] + r["bin"] * width[r["node"]], r["before"] + r["bytes"]
+                if width[i] == 1 or r["bytes"] <= TOLERANCE * total[i]:
                     # Keys under the cut go left: before or after this bin, whichever is nearer to half.
-                    cut[i] = start if total[i] - 2 * sums[k] <= 2 * sums[k + 1] - total[i] else start + width[i]
+                    cut[i] = start if total[i] - 2 * r["before"] <= 2 * after - total[i] else start + width[i]
                 else:
-                    below[i], lo[i], hi[i] = sums[k], start, start + width[i]
+                    below[i], lo[i], hi[i] = r["before"], start, start + width[i]
         cuts = at.sparkSession.createDataFrame([(i, DIMENSIONS.index(dim[i]) + 1, cut[i]) for i in range(nodes)], "node int, dim int, cut long")
         right = F.element_at(F.array(*(F.col(f"k_{c}") for c in DIMENSIONS)), F.col("dim")) >= F.col("cut")
         at = at.join(F.broadcast(cuts), "node").withColumn("node", F.col("node") * 2 + right.cast("int")).select(known)

@@ -1,6 +1,7 @@
 """Own transducers against the tokenizers library."""
 
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -8,7 +9,8 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lamina.llm.bpe import Transducer, bpe_decode, bpe_encode, bpe_round_trip, sufficient_lookahead
+from lamina.llm import bpe
+from lamina.llm.bpe import Transducer, bpe_decode, bpe_encode, bpe_round_trip, sufficient_lookahead, transducer
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -46,6 +48,48 @@ def test_long_words_stream(pair):
         t.chunk = chunk
 
 
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.mark.parametrize("text", [*ODD, "Hello World", "  two  spaces\n\n x", "naïve café 日本語", " " * 300 + "x", "tail   "])
+def test_byte_level_file(text):
+    """Another kind of file: words keep their spaces, and ids decode to the very text."""
+    t, lib = transducer(BYTES), Tokenizer.from_file(BYTES)
+    want = lib.encode(text, add_special_tokens=False).ids
+    assert ids(t, text) == want
+    assert "".join(t.decode(want)) == lib.decode(want, skip_special_tokens=False) == text
+
+
+def test_bytes_inside_characters_wait():
+    """Tokens that are parts of characters come out as text once it is whole, in whatever parts they come."""
+    t, lib = transducer(BYTES), Tokenizer.from_file(BYTES)
+    r = random.Random(7)
+    for n in (1, 5, 200, 9000):
+        some = [r.randrange(300) if r.random() < 0.5 else r.randrange(50_257) for _ in range(n)]
+        assert "".join(t.decode(some)) == lib.decode(some, skip_special_tokens=False)
+    text = "日本語😀" * 5000
+    some = lib.encode(text).ids
+    assert "".join(t.decode(some)) == text
+
+
+def test_windows_and_long_words_agree(monkeypatch, pair):
+    monkeypatch.setattr(bpe, "WINDOW", 50)
+    for path in (PATH, BYTES):
+        t, lib = transducer(path), Tokenizer.from_file(path)
+        text = ("word  and " + "x" * 300 + "\n\n  é ") * 20
+        assert ids(t, text) == lib.encode(text, add_special_tokens=False).ids
+        assert max(map(len, t.words), default=0) <= bpe.LONG
+
+
+def test_other_files_are_refused(tmp_path):
+    spec = json.load(open(BYTES, encoding="utf-8"))
+    for part, value in (("decoder", {"type": "WordPiece", "prefix": "##", "cleanup": True}), ("pre_tokenizer", {"type": "Whitespace"})):
+        path = tmp_path / f"{part}.json"
+        path.write_text(json.dumps(spec | {part: value}))
+        with pytest.raises(ValueError, match="tokenizer file with"):
+            Transducer(str(path))
+
+
 def test_lookahead_of_small_merge_lists():
     """No token changes that lies the lookahead before the end, whatever follows."""
     r = random.Random(5)
@@ -74,7 +118,7 @@ def test_lookahead_of_small_merge_lists():
 
 def test_queries_of_whole_texts(spark, pair):
     _, lib = pair
-    rows = [(1, None), (2, ""), (3, "A word " * 5000), (None, "x"), (3, "A word")]
+    rows = [(1, None), (2, ""), (3, "A word " * 5000), (None, "x"), (3, "A word"), (4, "longword" * 20_000)]
     got = bpe_round_trip(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_tokens"), PATH).collect()
     want = []
     for i, x in rows:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lamina.llm.langid import SWITCH, held_out, identify, learn, viterbi
+from lamina.llm.langid import SWITCH, _scripts, held_out, identify, learn, viterbi
 
 WORDS = {"aa": ["thing", "other", "wether", "shound", "nother"], "bb": ["schlich", "keitung", "gericht", "einsch", "verdie"], "ru": ["привет", "словами", "дорога", "погода", "новости"]}
 
@@ -66,3 +66,23 @@ def test_held_out_accuracy(spark):
     model = learn(docs.where(~held_out(5, 0)))
     out = identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id").where(held_out(5, 0))
     assert out.count() > 20 and out.where(F.col("lang") != F.col("lang_pred")).count() == 0
+
+
+def test_labels_of_many_languages():
+    """A label is the language's number, however many there are."""
+    r = np.random.default_rng(5)
+    w = r.normal(0, 1, (30, 300))
+    w[:12, 290] += 20
+    w[12:, 150] += 20
+    assert list(viterbi([w], 5.0)[0]) == [290] * 12 + [150] * 18
+
+
+def test_scripts_by_code_point():
+    """Letters of one lead byte in UTF-8 can be of several scripts."""
+
+    def of(word):
+        by = _scripts(np.frombuffer(word.encode(), np.uint8))
+        return 0 if by is None else int(by.max())
+
+    assert of("straße") == of("tiếng") == 0
+    assert len({of(x) for x in ("日本", "にほん", "ภาษา", "हिन्दी", "தமிழ்", "ქართ", "አማር", "한글", "ευ", "мир", "𐍈")}) == 11
