@@ -28,7 +28,9 @@ SAMPLE = 4000
 #: Documents of more words aren't used to fit (all are scored whole).
 LONGEST = 3000
 THRESHOLD = 0.7
-EPOCHS = 6
+EPOCHS = 8
+#: Spread of the first embeddings and filters, and the step of their training.
+START, RATE = 0.1, 0.01
 #: Toxic documents of a language that its own threshold takes; with fewer the common one holds.
 LEAST = 12
 
@@ -146,21 +148,11 @@ def fit(rows: list, seed: int = 3) -> Classifier:
     if not (0 < y[~held].sum() < (~held).sum()):
         return Classifier(np.concatenate([np.zeros((BUCKETS, cols)), hint], 1).astype(np.float32), np.zeros(filters), np.append(np.zeros(filters), -2.0), np.zeros(len(langs)))
 
-    # Embeddings start from how much more often toxic documents hold a bucket, and noise.
-    seen = np.zeros((2, BUCKETS))
-    for i in np.flatnonzero(~held):
-        seen[int(y[i]), np.unique(docs[i])] += 1
-    total = np.array([(1 - y[~held]).sum(), y[~held].sum()])
-    odds = np.log((seen[1] + 0.5) / (total[1] + 1)) - np.log((seen[0] + 0.5) / (total[0] + 1))
-    odds *= seen.sum(0) / (seen.sum(0) + 4)
-    emb = rng.normal(0, 0.05, (BUCKETS, DIM))
-    emb[:, 0] = np.clip(odds, -2, 3)
-    conv = rng.normal(0, 0.1, (DIM, cols))
-    conv[0, :1] = 1.0
-    bias = np.full(filters, -0.1)
-    out = np.append(rng.normal(0, 0.1, filters), 0.0)
-    out[0] = 1.0
-    out[-1] = -2.0
+    # Everything starts at random; what a word or a run of words is worth is learned.
+    emb = rng.normal(0, START, (BUCKETS, DIM))
+    conv = rng.normal(0, START, (DIM, cols))
+    bias = np.zeros(filters)
+    out = np.append(rng.normal(0, 0.3, filters), -1.0)
 
     owner = np.concatenate([np.full(c, w) for w, c in FILTERS.items()])
     base = {}
@@ -203,14 +195,14 @@ def fit(rows: list, seed: int = 3) -> Classifier:
                     what.append(d[:, None] * conv[:, c])
             step += 1
             for n in ("out", "bias", "conv"):
-                _adam(params[n], grad[n], mean[n], var[n], step, 0.01)
+                _adam(params[n], grad[n], mean[n], var[n], step, RATE)
             if where:
                 w, g = np.concatenate(where), np.concatenate(what)
                 touched, inverse = np.unique(f[w].ravel(), return_inverse=True)
                 ge = np.zeros((len(touched), DIM))
                 np.add.at(ge, inverse, np.repeat(g, 3, 0))
                 m, v, p = mean["emb"][touched], var["emb"][touched], emb[touched]
-                _adam(p, ge, m, v, step, 0.01)
+                _adam(p, ge, m, v, step, RATE)
                 emb[touched], mean["emb"][touched], var["emb"][touched] = p, m, v
 
     model = Classifier(np.concatenate([emb @ conv, hint], 1).astype(np.float32), bias, out, np.zeros(len(langs)))

@@ -1,9 +1,14 @@
 import random
+from collections import namedtuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lamina.llm import textkernel as K
+from lamina.llm import toxicity as toxicity_module
 from lamina.llm.langid import held_out
-from lamina.llm.toxicity import THRESHOLD, fit, sample, toxicity
+from lamina.llm.toxicity import FILTERS, THRESHOLD, Classifier, fit, sample, toxicity
 
 
 def corpus(n=900, seed=4):
@@ -31,6 +36,57 @@ def test_held_out_quality(spark):
     assert bad.predicted.mean() > 0.85 and good.predicted.mean() < 0.05
 
 
+Row = namedtuple("Row", "doc_id toxic order lang words")
+
+
+def rows_of(texts, toxic):
+    out = []
+    for lo, hi, data, off in K.pieces(pa.array(texts)):
+        row, f = toxicity_module._features(data, off)
+        out += [Row(lo + i, toxic[lo + i], lo + i, "en", f[row == i].astype("<u2").tobytes()) for i in range(hi - lo)]
+    return out
+
+
+def test_order_matters():
+    """A pair of words in one order is toxic, the same words apart or the other way round are not: filters of width 2 learn it."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+
+    def text(kind):
+        w = [r.choice(words) for _ in range(r.randint(8, 20))]
+        k = r.randrange(len(w))
+        return " ".join(w[:k] + {0: ["kindle", "matter"], 1: ["matter", "kindle"], 2: ["kindle", r.choice(words), r.choice(words), "matter"]}[kind] + w[k:])
+
+    kinds = [0 if i % 2 else 1 + i // 2 % 2 for i in range(3000)]
+    model = fit(rows_of([text(k) for k in kinds], [int(k == 0) for k in kinds]))
+    test = [k % 3 for k in range(600)]
+    got = []
+    for row in rows_of([text(k) for k in test], test):
+        f = np.frombuffer(row.words, "<u2").astype(np.int64).reshape(-1, 3)
+        got.append(model.score(np.zeros(len(f), np.int64), f, 1)[0] >= THRESHOLD)
+    right = np.mean([g == (k == 0) for g, k in zip(got, test, strict=True)])
+    assert right > 0.9
+
+
+def test_forward_pass_equals_a_plain_one():
+    """Scores of several texts at once against loops over places and filters."""
+    r = np.random.default_rng(8)
+    filters, cols = sum(FILTERS.values()), sum(w * c for w, c in FILTERS.items())
+    m = Classifier(r.normal(size=(toxicity_module.BUCKETS, cols + 2)).astype(np.float32), r.normal(size=filters), r.normal(size=filters + 1), r.normal(size=2))
+    texts = [r.integers(0, toxicity_module.BUCKETS, (n, 3)) for n in (1, 2, 3, 7, 40)]
+    got = m.score(np.repeat(np.arange(5), [len(t) for t in texts]), np.concatenate(texts), 5)
+    for t, s in zip(texts, got, strict=True):
+        g = m.table[t].sum(1)
+        pooled, col = [], 0
+        for width, count in FILTERS.items():
+            for k in range(count):
+                acts = [sum(g[p + j, col + j * count + k] for j in range(width)) for p in range(len(t) - width + 1)]
+                pooled.append(max(0.0, max(acts) + m.bias[len(pooled)]) if acts else 0.0)
+            col += width * count
+        z = np.dot(pooled, m.out[:-1]) + m.out[-1] + m.shift[g[:, -2:].sum(0).argmax()]
+        assert np.isclose(s, 1 / (1 + np.exp(-np.clip(z, -40, 40))), atol=1e-5)
+
+
 def test_odd_rows_and_no_labels(spark):
     d, l = corpus(120)
     docs, labels = spark.createDataFrame(d, "doc_id long, text string, lang string"), spark.createDataFrame([*l, (None, 1), (3, None)], "doc_id long, toxic int")
