@@ -127,7 +127,10 @@ def j19(spark, sf_dir):
     return need.join(have, "f", "left_semi").withColumn("have", F.lit(True)).unionByName(need.join(have, "f", "left_anti").withColumn("have", F.lit(False)))
 
 
-@query("b03_scripted_pan")
+@query(
+    "b03_scripted_pan",
+    ", sp AS (SELECT unnest(range(0, 40)) AS q), ra AS (SELECT q, q * 50000 // tile AS ax, least((q * 50000 + 500000) // tile, side - 1) AS bx, q * 30000 // tile AS ay, least((q * 30000 + 300000) // tile, side - 1) AS byy FROM sp, geo), oc AS (SELECT DISTINCT tx, ty FROM tp), w AS (SELECT q AS step, tx, ty FROM ra JOIN oc ON tx BETWEEN ax AND bx AND ty BETWEEN ay AND byy), p AS (SELECT step + 1 AS step, tx, ty FROM w), j AS (SELECT coalesce(w.step, p.step) AS step, p.tx IS NULL AS added, w.tx IS NULL AS removed FROM w FULL JOIN p ON w.step = p.step AND w.tx = p.tx AND w.ty = p.ty) SELECT step, count(*) FILTER (WHERE added) AS added, count(*) FILTER (WHERE removed) AS removed FROM j WHERE step < 40 GROUP BY step",
+)
 def b03(spark, sf_dir):
     """A scripted pan: views along a line, and the tiles each step adds and drops."""
     from ..operators import pyramid as P
