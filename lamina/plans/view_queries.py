@@ -142,8 +142,10 @@ def b01(spark, sf_dir):
     """What each view's tiles hold."""
     d = Design(spark, sf_dir)
     t = _culled(d).select("qid", "tx", "ty").distinct()
-    per = P.tiled(d).groupBy("tx", "ty", "m").agg(count().alias("n"), F.sum("rc").alias("rects"))
-    return t.join(per, ["tx", "ty"]).groupBy("qid").agg(F.sum("n").alias("placements"), F.sum("rects").alias("rects"), F.count_distinct("m").alias("masters"))
+    # A tile's masters travel as one array: as many rows as views have tiles.
+    per = P.tiled(d).groupBy("tx", "ty").agg(count().alias("n"), F.sum("rc").alias("rects"), F.collect_set("m").alias("own"))
+    every = F.array_distinct(F.flatten(F.collect_list("own")))
+    return t.join(per, ["tx", "ty"]).groupBy("qid").agg(F.sum("n").alias("placements"), F.sum("rects").alias("rects"), F.size(every).cast("long").alias("masters"))
 
 
 _STEP = ", st AS (SELECT *, qid % 10 AS step FROM cull), wn AS (SELECT DISTINCT step, tx, ty FROM st), pv AS (SELECT step + 1 AS step, tx, ty FROM wn)"
