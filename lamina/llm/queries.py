@@ -112,6 +112,19 @@ def op10_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_near_dedup(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fim import fill_in_middle, restore
+
+    rows = restore(fill_in_middle(_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .align import tokenizer_alignment
+
+    return tokenizer_alignment(_table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 OP4_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
@@ -177,9 +190,30 @@ FROM v LEFT JOIN c ON c.a = vec_id LEFT JOIN n ON n.a = vec_id
 """
 
 
+OP11_SQL = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+), k AS (
+  SELECT *, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS g FROM d
+), c AS (
+  SELECT *, least(g[1] % (n + 1), g[2] % (n + 1)) AS lo, greatest(g[1] % (n + 1), g[2] % (n + 1)) AS hi,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 90 THEN 'plain'
+      WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM k
+), p AS (
+  SELECT *, substr(t, 1, lo) AS pre, substr(t, lo + 1, hi - lo) AS mid, substr(t, hi + 1) AS suf FROM c
+)
+SELECT doc_id, n, form,
+  CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for name, f in sorted(globals().items()) if name.startswith("op") and name[2].isdigit() and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_top_k": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_chat_formatting": OP7_SQL, "op10_lattice_near_dedup": OP10_SQL}
+    return {"op3_exact_top_k": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op7_chat_formatting": OP7_SQL, "op10_lattice_near_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
