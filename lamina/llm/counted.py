@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 from .shared import Scratch
 
+#: Vectors in slices, with the number of the task that each comes from.
+PARTS = "slice int, source int, part binary"
+
 
 def occurrences(chunks: DataFrame) -> DataFrame:
     """(chunk, pos, key, n) from chunk, keys (64-bit integers) and counts (32-bit integers)."""
@@ -60,10 +63,11 @@ def with_totals(chunks: DataFrame, known: DataFrame, columns: list[str], run, sc
 
 
 def summed(parts: DataFrame, scratch: Scratch, name: str, kind: str, size: int, slices: int) -> np.ndarray:
-    """The sum of all vectors that are dealt as (slice int, part binary) of 64-bit floats or integers.
+    """The sum of all vectors that are dealt as PARTS; kind is numpy's name of their type.
 
-    A task adds the parts of some slices, so no task or driver holds more than
-    one vector's size beside one part at a time.
+    A task adds the parts of some slices in the order of their sources, so sums
+    of floats don't depend on which task was first; no task or driver holds more
+    than one vector beside the parts of one batch.
     """
 
     def add(batches):
@@ -80,14 +84,14 @@ def summed(parts: DataFrame, scratch: Scratch, name: str, kind: str, size: int,
 
     out = np.zeros(size, kind)
     width = -(-size // slices)
-    for r in scratch.write(parts.repartition(slices, "slice").mapInArrow(add, "slice int, part binary"), name).toLocalIterator():
+    for r in scratch.write(parts.repartition(slices, "slice").sortWithinPartitions("slice", "source").mapInArrow(add, "slice int, part binary"), name).toLocalIterator():
         v = np.frombuffer(r["part"], kind)
         out[r["slice"] * width : r["slice"] * width + len(v)] += v
     scratch.drop(name)
     return out
 
 
-def in_slices(vector: np.ndarray, slices: int):
-    """The rows (slice, part) of a vector for summed()."""
+def in_slices(vector: np.ndarray, slices: int, source: int) -> pa.RecordBatch:
+    """A vector as PARTS for summed(); source tells it from others."""
     width = -(-len(vector) // slices)
-    return pa.RecordBatch.from_arrays([pa.array(np.arange(slices), pa.int32()), pa.array([vector[k * width : (k + 1) * width].tobytes() for k in range(slices)], pa.binary())], names=["slice", "part"])
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(slices), pa.int32()), pa.array([source] * slices, pa.int32()), pa.array([vector[k * width : (k + 1) * width].tobytes() for k in range(slices)], pa.binary())], names=["slice", "source", "part"])

@@ -45,9 +45,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self.schemas: dict = {}
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Stores df, in folders by a column where one is given."""
         path = f"{self.root}/{name}"
-        df.write.option("compression", "zstd").parquet(path)
+        to = df.write.option("compression", "zstd")
+        (to.partitionBy(by) if by else to).parquet(path)
         self.schemas[name] = df.schema
         return self.read(name)
 
