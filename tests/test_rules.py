@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -127,9 +128,86 @@ def test_row_spans_and_fill(spark):
     boxes = spark.createDataFrame([(10, 30, 0, 1500), (20, 50, 0, 900), (90, 120, 1000, 1100)], "x0 long, x1 long, y0 long, y1 long")
     spans = place.free_spans(place.rows(spark, 2), boxes, 1000, 100)
     assert sorted((r.r, r.s, r.e) for r in spans.collect()) == [(0, 0, 10), (0, 50, 100), (1, 0, 10), (1, 30, 90)]
-    cells = spark.createDataFrame([(i, 5) for i in range(12)], "pno long, w long")
-    got = place.fill(spans, cells, 1, 1000).where("x is not null").collect()
-    assert len(got) >= 11 and all(0 <= r.x < 100 for r in got)
+
+
+def sequential_fill(spans, cells):
+    """The rules one span after another. spans: (s, e, x, y, step, o) in order; cells: (pno, w)."""
+    total, free = sum(w for _, w in cells), sum(e - s for s, e, *_ in spans)
+    out, k, carry = {}, 0, Fraction(0)
+    for s, e, x0, y, step, o in spans:
+        share = Fraction((e - s) * total, free) + carry
+        budget, take, used = min(Fraction(e - s), share), 0, 0
+        while k + take < len(cells) and used + cells[k + take][1] <= budget:
+            used += cells[k + take][1]
+            take += 1
+        carry = share - used
+        x, gap = float(s), (e - s - used) / take if take else 0
+        for pno, w in cells[k : k + take]:
+            at = math.floor((x - x0) / step) * step + x0
+            at = at if at >= s else math.ceil((s - x0) / step) * step + x0
+            if at + w > e:
+                break
+            out[pno] = (at, y, o)
+            k += 1
+            x = at + w + gap
+    return {pno: out.get(pno, (None, None, None)) for pno, _ in cells}
+
+
+@pytest.mark.parametrize("blocks", [1, 3, 16])
+def test_fill_is_the_sequential_one(spark, blocks):
+    """Roomy, tight and short spans, sites that don't meet them, and cells that are wider than most."""
+    r = random.Random(blocks)
+    cases = [([(10 * k, 10 * k + 10, 0, 0, 1, 0) for k in range(3)] + [(100, 1100, 0, 1000, 1, 5)], [(i, 12) for i in range(77)]), ([(150, 350, 0, 0, 200, 0), (400, 1000, 0, 0, 200, 0)], [(1, 200), (2, 200)])]
+    for tight in (0.3, 0.85, 0.97, 1.0):
+        spans, y = [], 0
+        for _ in range(30):
+            x = r.choice((0, 0, 7))
+            for _ in range(r.randint(1, 4)):
+                x += r.randint(0, 30)
+                e = x + r.choice((3, 10, 40, 200))
+                spans.append((x, e, r.choice((0, 3)), y, r.choice((1, 2, 5)), y % 2))
+                x = e
+            y += 1
+        free, cells = sum(e - s for s, e, *_ in spans), []
+        while True:
+            w = r.choice((1, 2, 5, 5, 10, 25))
+            if sum(c[1] for c in cells) + w > free * tight:
+                break
+            cells.append((3 * len(cells), w))
+        cases.append((spans, cells))
+    for spans, cells in cases:
+        rows = [(k // 2, *sp) for k, sp in enumerate(sorted(spans, key=lambda v: (v[3], v[0])))]
+        df = spark.createDataFrame(rows, "r long, s long, e long, x long, y long, step long, o int")
+        order = [tuple(v[1:]) for v in sorted(rows, key=lambda v: (v[0], v[1]))]
+        got = {v.pno: (v.x, v.y, v.o) for v in place.fill(df, spark.createDataFrame(cells, "pno long, w long").repartition(3), blocks).collect()}
+        assert got == sequential_fill(order, cells)
+    with pytest.raises(ValueError, match="don't fit"):
+        place.fill(df, spark.createDataFrame([(1, 10**6)], "pno long, w long"))
+    assert [tuple(v) for v in place.fill(df.limit(0), spark.createDataFrame([(1, 0)], "pno long, w long")).collect()] == [(1, None, None, None)]
+
+
+def test_fill_query_is_the_sequential_one(spark):
+    import os
+
+    from lamina.plans import chip_queries
+    from lamina.sources.tables import Design
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    d = Design(spark, sf)
+    spans = place.free_spans(place.rows(spark, 2512), place.obstacles(d)).orderBy("r", "s").collect()
+    cells = sorted((v.pno, v.w) for v in d.placements(True).where("klass = 0").select("pno", "w").collect())
+    want = sequential_fill([(v.s, v.e, 0, v.r * 1000, 200, v.r % 2 * 5) for v in spans], cells)
+    assert {v.pno: (v.x, v.y, v.o) for v in chip_queries.j15(spark, sf).collect()} == want
+
+
+def test_rows_of_a_design(spark):
+    """Spans keep their row's origin, step, height and orientation."""
+    rows = spark.createDataFrame([("b", "s", 100, 2000, "FS", 10, 1, 20, 0), ("a", "s", 50, 1000, "N", 20, 1, 10, 0)], "name string, site string, x long, y long, orient string, nx long, ny long, step long, step_y long")
+    boxes = spark.createDataFrame([(100, 120, 500, 1500), (90, 110, 1999, 2001), (110, 130, 2999, 4000), (0, 500, 3000, 3100), (60, 60, 1000, 1500)], "x0 long, x1 long, y0 long, y1 long")
+    got = place.row_spans(place.design_rows(rows), boxes, 1000).orderBy("r", "s").collect()
+    assert [(v.r, v.s, v.e, v.x, v.y, v.step, v.orient) for v in got] == [(0, 50, 90, 50, 1000, 10, "N"), (0, 120, 250, 50, 1000, 10, "N"), (1, 130, 300, 100, 2000, 20, "FS")]
 
 
 def test_numbering_is_a_total_order(spark):
