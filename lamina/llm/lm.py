@@ -8,9 +8,10 @@ held is one outcome, and words that they hold once stand for it when the model
 is trained. Kinds are clusters of words by what stands before them. Outcomes are
 the V words and the unseen one, and their probabilities add up to 1.
 
-Features are the previous token, the one before it alone (a skip), the two
-together, and the first with the third (a skip pair); frequent words have rows
-of their own, others one for their ending, and pairs are hashed.
+Features are the previous token, the one before it alone (a skip), and the two
+together; frequent words have rows of their own, others one for their ending,
+and pairs are hashed. Within a class the feature is the previous token, hashed
+with the class.
 
 Training goes through all training tokens once, in ROUNDS of synchronous
 updates: each task takes gradient steps from the current weights over its own
@@ -34,9 +35,11 @@ from . import textkernel as K
 from .shared import Scratch
 
 #: A chunk of documents is complete with so many tokens.
-CHUNK = 1 << 18
+CHUNK = 1 << 21
+#: Tokens whose features are made together, whole documents at least.
+STRIDE = 1 << 17
 #: Frequent words, words of a class, endings by hash (low bits of a key), kinds of words, and frequent words before which kinds are told.
-HEAD, SLOTS, ENDINGS, KINDS, ANCHORS = 2048, 64, 1024, 16, 128
+HEAD, SLOTS, ENDINGS, KINDS, ANCHORS = 1024, 64, 1024, 8, 128
 #: Rows for pairs of tokens, of class features and of word features.
 PAIRS = 4096
 ROUNDS = 4
@@ -58,6 +61,16 @@ def _keys(data: np.ndarray, off: np.ndarray):
     return out, n
 
 
+def _squeezed(numbers: np.ndarray) -> bytes:
+    """Small 32-bit integers with their bytes by place, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True) if len(numbers) else b""
+
+
+def _spread(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd") if n else b"", np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4")[:, 0]
+
+
 _CHUNK = "chunk long, keys binary, counts binary, ids array<long>, train binary, sizes binary, tokens binary"
 _CODED = "chunk long, round int, keys binary, totals binary, ids array<long>, train binary, sizes binary, tokens binary"
 
@@ -78,7 +91,7 @@ def token_chunks(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
             rank[order] = np.arange(len(own), dtype=np.int32)
             tokens, learnt = rank[local], np.concatenate(train)
             counts = np.bincount(tokens[np.repeat(learnt, n)], minlength=len(own)).astype(np.int32)
-            values = [part << 32 | number, own[order].tobytes(), counts.tobytes(), ids, learnt.tobytes(), n.astype(np.int32).tobytes(), tokens.tobytes()]
+            values = [part << 32 | number, own[order].tobytes(), counts.tobytes(), ids, learnt.tobytes(), n.astype(np.int32).tobytes(), _squeezed(tokens)]
             kinds = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=[c.split()[0] for c in _CHUNK.split(", ")])
 
@@ -121,7 +134,7 @@ class Shape:
 
     @property
     def rows(self) -> int:
-        return 2 * (HEAD + ENDINGS + 1) + 2 * PAIRS
+        return 2 * (HEAD + ENDINGS + 1) + PAIRS
 
     def entities(self, keys: np.ndarray) -> np.ndarray:
         """Number of a frequent word, or HEAD and the ending."""
@@ -153,8 +166,8 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
 class Batch:
     cls: np.ndarray
     slot: np.ndarray  # -1 outside head classes
-    feats: np.ndarray  # tokens x 4 rows
-    inner: np.ndarray  # tokens x 2 rows of slots
+    feats: np.ndarray  # tokens x 3 rows
+    inner: np.ndarray  # tokens x 1 row of slots
 
 
 def _before(values: np.ndarray, first: np.ndarray, back: int, start) -> np.ndarray:
@@ -175,7 +188,7 @@ class Coded:
         self.sizes = np.frombuffer(row["sizes"], np.int32)
         self.train = np.frombuffer(row["train"], bool)
         keys, totals = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["totals"], np.int64)
-        tokens = np.frombuffer(row["tokens"], np.int32)
+        tokens = _spread(row["tokens"], int(self.sizes.sum()))
         self.tokens, self.totals, self.keys = tokens, totals, keys
         self.entity = shape.entities(keys)
         self.shape = shape
@@ -192,26 +205,28 @@ class Coded:
 
     def batches(self, training: bool, size: int = BATCH):
         """The tokens of the chunk, size at a time; in training those of training documents alone."""
-        if not len(self.tokens):
-            return
-        first = np.cumsum(self.sizes) - self.sizes
-        one = _before(self.entity[self.tokens], first, 1, HEAD + ENDINGS)
-        two = _before(self.entity[self.tokens], first, 2, HEAD + ENDINGS)
-        key = self.keys[self.tokens]
-        k1, k2, k3 = (_before(key, first, k, START).view(np.uint64) for k in (1, 2, 3))
+        cls_of, slot_of = self.classes(training)
+        ends, doc, base = np.cumsum(self.sizes), 0, 0
         wide = HEAD + ENDINGS + 1
         last = np.uint64(PAIRS - 1)
-        pair = K.mix(k1 * _A + k2 * _B) & last
-        skip = K.mix(k1 * _B + k3 * _C) & last
-        cls, slot = (v[self.tokens] for v in self.classes(training))
-        feats = np.stack([one, wide + two, 2 * wide + pair.astype(np.int64), 2 * wide + PAIRS + skip.astype(np.int64)], 1)
-        c = cls.astype(np.uint64)
-        inner = np.stack([K.mix(one.astype(np.uint64) * _A + c * _C) & last, K.mix(k1 * _A + k2 * _B + c * _C) & last], 1).astype(np.int64)
-        inner[:, 1] += PAIRS
-        at = np.flatnonzero(np.repeat(self.train, self.sizes)) if training else np.arange(len(key))
-        for lo in range(0, len(at), size):
-            k = at[lo : lo + size]
-            yield k, Batch(cls[k], slot[k], feats[k], inner[k])
+        while doc < len(ends):
+            stop = max(doc + 1, int(np.searchsorted(ends, base + STRIDE, "right")))
+            upto = int(ends[stop - 1])
+            tokens, sizes = self.tokens[base:upto], self.sizes[doc:stop]
+            first = np.cumsum(sizes) - sizes
+            entity, key = self.entity[tokens], self.keys[tokens]
+            one, two = (_before(entity, first, k, HEAD + ENDINGS) for k in (1, 2))
+            k1, k2 = (_before(key, first, k, START).view(np.uint64) for k in (1, 2))
+            pair = K.mix(k1 * _A + k2 * _B) & last
+            cls, slot = cls_of[tokens], slot_of[tokens]
+            feats = np.stack([one, wide + two, 2 * wide + pair.astype(np.int64)], 1)
+            c = cls.astype(np.uint64)
+            inner = (K.mix(one.astype(np.uint64) * _A + c * _C) & last).astype(np.int64)[:, None]
+            at = np.flatnonzero(np.repeat(self.train[doc:stop], sizes)) if training else np.arange(len(key))
+            for lo in range(0, len(at), size):
+                k = at[lo : lo + size]
+                yield base + k, Batch(cls[k], slot[k], feats[k], inner[k])
+            doc, base = stop, upto
 
 
 def _forward(w: Weights, x: Batch):
@@ -395,8 +410,8 @@ class LanguageModel:
         s = self.shape
         base = np.log(np.maximum(s.mass, 1e-9) / s.mass.sum()).astype(np.float32)
         zeros = lambda *size: np.zeros(size, np.float32)
-        w = Weights(s, base, zeros(s.rows, s.classes), zeros(s.rows + 1), self.own, zeros(2 * PAIRS, SLOTS), zeros(2 * PAIRS))
-        size = sum(v.size for v in w.arrays()) + s.rows + 2 * PAIRS + 1
+        w = Weights(s, base, zeros(s.rows, s.classes), zeros(s.rows + 1), self.own, zeros(PAIRS, SLOTS), zeros(PAIRS))
+        size = sum(v.size for v in w.arrays()) + s.rows + PAIRS + 1
         for r in range(rounds):
 
             def run(batches, w=w):

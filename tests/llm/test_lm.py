@@ -71,7 +71,7 @@ def test_probabilities_add_up(model):
     for before in (["bad"], ["never-seen"], ["sal", "ser"], ["bad", "bed", "sal"]):
         tokens = np.array([[*(names.index(b) if b in names else names.index("never-seen") for b in before), k] for k in range(len(names))], np.int32)
         row = {"ids": [], "sizes": np.full(len(names), len(before) + 1, np.int32).tobytes(), "train": np.zeros(len(names), bool).tobytes()}
-        row |= {"keys": np.array([keys[w] for w in names], np.int64).tobytes(), "totals": np.array([known[w] for w in names], np.int64).tobytes(), "tokens": tokens.tobytes()}
+        row |= {"keys": np.array([keys[w] for w in names], np.int64).tobytes(), "totals": np.array([known[w] for w in names], np.int64).tobytes(), "tokens": L._squeezed(tokens.ravel())}
         p = np.exp(L.log_probs(model.weights, s, L.Coded(row, s)).reshape(tokens.shape)[:, -1])
         assert abs(p.sum() - 1) < 1e-4 and (p > 0).all()
 
@@ -107,7 +107,7 @@ def test_gradient(model):
     now = L.Weights(w.shape, f64(w.base), f64(w.rows), w.seen, own, f64(w.slots), w.met)
     cls = r.integers(0, classes, n)
     slot = np.where(cls < model.shape.heads, r.integers(0, 3, n), -1)
-    x = L.Batch(cls, slot, r.integers(0, 5, (n, 4)), r.integers(0, 5, (n, 2)))
+    x = L.Batch(cls, slot, r.integers(0, 5, (n, 3)), r.integers(0, 5, (n, 1)))
 
     def loss():
         z, at, y = L._forward(now, x)
@@ -133,6 +133,16 @@ def test_gradient(model):
                     assert abs((old - moved[i, c]) / L.RATE * np.sqrt(seen[i] + 1e-6) - want) < 1e-4
 
 
+def test_strides_make_no_difference(model, monkeypatch):
+    """Features are the same however many documents are looked at together."""
+    row = next(r for r in model.coded.toLocalIterator() if r["ids"]).asDict()
+    want = L.log_probs(model.weights, model.shape, L.Coded(row, model.shape))
+    monkeypatch.setattr(L, "STRIDE", 100)
+    assert np.allclose(L.log_probs(model.weights, model.shape, L.Coded(row, model.shape)), want, atol=1e-5)
+    n = np.array([0, 5, 70_000, 2**31 - 1], np.int32)
+    assert (L._spread(L._squeezed(n), 4) == n).all() and len(L._spread(L._squeezed(n[:0]), 0)) == 0
+
+
 def test_as_often_as_one_likes(spark):
     """The same input gives the same scores, whatever order tasks end in."""
     df = spark.createDataFrame(corpus(120), KIND).repartition(6, "doc_id")
