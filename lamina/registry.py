@@ -60,7 +60,7 @@ def query(name: str, sql: str | None = None, recursive: bool = False):
 
 
 def _load() -> None:
-    from .plans import chip_queries, far_queries, geometry_queries, pyramid_queries, session_queries, source_queries, store_queries, validation_queries, view_queries  # noqa: F401
+    from .plans import chip_queries, disk_queries, far_queries, geometry_queries, pyramid_queries, session_queries, source_queries, store_queries, validation_queries, view_queries  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -35,6 +35,56 @@ def read_tiles(spark: SparkSession, path: str, z: int, x0: int, y0: int, x1: int
     return t.where(F.col("tx").between(x0, x1) & F.col("ty").between(y0, y1))
 
 
+def produce(d: Design, index: DataFrame, wanted: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Records of the wanted tiles (z, tx, ty) of deep and mid levels, from the index: z, tx, ty, bucket, lx, ly, m, o.
+
+    Only bytes of the deepest tiles below them are read: their bounding box is
+    pushed down to the index, and what it holds beyond them goes by key. A tile
+    without records has one row with nulls, so that it counts as made.
+    """
+    w = wanted.join(F.broadcast(kinds.where("kind <> 'far'").select("z", "kind")), "z").distinct()
+    up = f"({d.max_z} - z)"
+    box = w.agg(*(f(F.expr(e)) for f, e in ((F.min, f"shiftleft(tx, {up})"), (F.min, f"shiftleft(ty, {up})"), (F.max, f"shiftleft(tx + 1, {up}) - 1"), (F.max, f"shiftleft(ty + 1, {up}) - 1")))).first()
+    near = index.where(F.col("tx").between(box[0] or 0, -1 if box[2] is None else box[2]) & F.col("ty").between(box[1] or 0, -1 if box[3] is None else box[3]))
+    levels = sorted(r["z"] for r in w.select("z").distinct().collect())
+    at = F.array(*(F.lit(z) for z in levels)) if levels else F.array().cast("array<int>")
+    rows = near.withColumn("z", F.explode(at)).withColumns({"tx": F.expr(f"shiftright(tx, {d.max_z} - z)"), "ty": F.expr(f"shiftright(ty, {d.max_z} - z)"), "ztile": F.expr(f"{d.tile}L * shiftleft(1L, {d.max_z} - z)")})
+    found = rows.join(w, ["z", "tx", "ty"]).join(d.masters.select("m", "w", "h", "rc"), "m").where("4 * greatest(w, h) <= ztile")
+    bucket = F.when(F.col("kind") == "deep", G.bucket_of(F.col("rc"), P.CAPS))
+    made = found.select("z", "tx", "ty", bucket.alias("bucket"), F.expr("x - tx * ztile").alias("lx"), F.expr("y - ty * ztile").alias("ly"), "m", "o")
+    return w.select("z", "tx", "ty").join(made, ["z", "tx", "ty"], "left")
+
+
+def serve(d: Design, index: DataFrame, requests: DataFrame, path: str, kinds: DataFrame) -> tuple[DataFrame, int]:
+    """Records of the requested tiles (z, tx, ty) and how many tiles had to be made.
+
+    Tiles that the store at path lacks are produced from the index and appended;
+    then all are read from it, so no tile is ever made twice. Batches are served
+    one after another; a batch's own repeated requests are made once.
+    """
+    spark = d.spark
+    schema = "tx long, ty long, bucket int, lx long, ly long, m long, o int, z int"
+    asked = requests.select(F.col("z").cast("int").alias("z"), "tx", "ty").distinct()
+    there = _exists(spark, path)
+    stored = spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
+    missing = asked.join(stored.select("z", "tx", "ty").distinct(), ["z", "tx", "ty"], "left_anti") if there else asked
+    side = F.expr("shiftleft(1L, z)")
+    missing = missing.where((F.col("z").between(0, d.max_z)) & (F.col("tx") >= 0) & (F.col("ty") >= 0) & (F.col("tx") < side) & (F.col("ty") < side))
+    keys = [tuple(r) for r in missing.join(F.broadcast(kinds.where("kind <> 'far'").select("z")), "z").groupBy("z").agg(F.count(F.lit(1))).collect()]
+    made = sum(n for _, n in keys)
+    if made:
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = produce(d, index, missing, kinds).repartition(parts, "z", "tx", "ty").sortWithinPartitions("z", "ty", "tx", "bucket")
+        rows.write.mode("append").partitionBy("z").parquet(path)
+        stored = spark.read.schema(schema).parquet(path)
+    return stored.join(asked, ["z", "tx", "ty"], "left_semi").where("m is not null"), made
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def manifest(d: Design) -> DataFrame:
     """One row with the manifest as JSON."""
     levels = P.level_kinds(d).agg(F.sort_array(F.collect_list(F.struct("z", "kind", "tiles", "p95"))).alias("levels"))
