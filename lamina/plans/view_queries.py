@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions.stats import count
-from ..operators import caps, ladder, view
+from ..operators import caps, ladder, prefix, view
 from ..operators import pyramid as P
 from ..registry import query
 from ..sources.tables import Design
@@ -92,8 +92,10 @@ def f02(spark, sf_dir):
 def f03(spark, sf_dir):
     """How many of the tiles covered exist."""
     d = Design(spark, sf_dir)
-    t = view.tiles_in(view.tile_range(view.block_views(d, _views(d)), d.tile, d.side, 0))
-    return t.join(P.tile_counts(d).select("tx", "ty", F.lit(1).alias("there")), ["tx", "ty"], "left").groupBy("qid", "i").agg(count().alias("covered"), F.count("there").alias("existing"))
+    r = view.tile_range(view.block_views(d, _views(d)), d.tile, d.side, 0)
+    table = prefix.summed_area(P.tile_counts(d).withColumn("existing", F.lit(1)), d.side, ["existing"])
+    covered = r.select("qid", "i", F.expr("(bx - ax + 1) * (by - ay + 1)").alias("covered"))
+    return covered.join(prefix.rect_sums(r, ["qid", "i"], table, ["existing"]), ["qid", "i"])
 
 
 @query("j05_view_cull", _VIEWS + "SELECT qid, i, tx, ty FROM cull")
@@ -141,11 +143,12 @@ def p27(spark, sf_dir):
 def b01(spark, sf_dir):
     """What each view's tiles hold."""
     d = Design(spark, sf_dir)
-    t = _culled(d).select("qid", "tx", "ty").distinct()
-    # A tile's masters travel as one array: as many rows as views have tiles.
-    per = P.tiled(d).groupBy("tx", "ty").agg(count().alias("n"), F.sum("rc").alias("rects"), F.collect_set("m").alias("own"))
-    every = F.array_distinct(F.flatten(F.collect_list("own")))
-    return t.join(per, ["tx", "ty"]).groupBy("qid").agg(F.sum("n").alias("placements"), F.sum("rects").alias("rects"), F.size(every).cast("long").alias("masters"))
+    ranges = view.tile_range(view.block_views(d, _views(d)), d.tile, d.side, 0)
+    own = prefix.disjoint(ranges, "qid")
+    per = P.tiled(d)
+    table = prefix.summed_area(per.groupBy("tx", "ty").agg(count().alias("placements"), F.sum("rc").alias("rects")), d.side, ["placements", "rects"])
+    sums = prefix.rect_sums(own, ["qid"], table, ["placements", "rects"]).where("placements > 0")
+    return sums.join(prefix.distinct_masters(own, "qid", prefix.tile_bitmaps(per, d), d), "qid")
 
 
 _STEP = ", st AS (SELECT *, qid % 10 AS step FROM cull), wn AS (SELECT DISTINCT step, tx, ty FROM st), pv AS (SELECT step + 1 AS step, tx, ty FROM wn)"
@@ -244,7 +247,8 @@ def j14(spark, sf_dir):
 def f19(spark, sf_dir):
     """How many levels coarser a view has to go until its tiles are few enough."""
     d = Design(spark, sf_dir)
-    n = view.tiles_in(view.tile_range(view.block_views(d, _views(d)), d.tile, d.side, 0)).groupBy("qid").agg(count().alias("n"))
+    r = view.tile_range(view.block_views(d, _views(d)), d.tile, d.side, 0)
+    n = r.groupBy("qid").agg(F.sum(F.expr("(bx - ax + 1) * (by - ay + 1)")).alias("n"))
     k = n.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(15)))).where("n div shiftleft(1L, 2 * k) <= 3")
     return k.groupBy("qid").agg(F.min("k").alias("steps"))
 
