@@ -9,7 +9,7 @@ from ..functions import geometry as G
 from ..functions.stats import count
 from ..operators import chip
 from ..operators import index as I
-from ..operators import place
+from ..operators import place, synthetic
 from ..operators import pyramid as P
 from ..registry import query
 from ..sources.tables import Design
@@ -180,3 +180,38 @@ def j15(spark, sf_dir):
 def s04f(spark, sf_dir):
     """A synthetic design's rows, drawn and filled one by one."""
     return place.synthetic_rows(spark, Design(spark, sf_dir), 2512, 42)
+
+
+#: Draws step by step, as CTEs: each mixture is a column of its own.
+_DRAWS = """, mc AS (SELECT m, w, h, c, a, m * 12 + c AS owner, (m * 12 + c) * 6 + a AS id FROM (SELECT *, unnest(range(0, 6)) AS a FROM (SELECT *, unnest(range(0, 12)) AS c FROM mast WHERE klass = 1))
+), t0 AS (SELECT id, k, xor(42::BIGINT, id) + 2654435769 AS v FROM mc, (SELECT unnest(range(1, 5)) AS k)
+), t1 AS (SELECT id, k, v & 4294967295 AS v FROM t0
+), t2 AS (SELECT id, k, (xor(v, v >> 16) * 73244475) & 4294967295 AS v FROM t1
+), t3 AS (SELECT id, k, (xor(v, v >> 16) * 73244475) & 4294967295 AS v FROM t2
+), t4 AS (SELECT id, k, (xor(xor(v, v >> 16), k) + 2654435769) & 4294967295 AS v FROM t3
+), t5 AS (SELECT id, k, (xor(v, v >> 16) * 73244475) & 4294967295 AS v FROM t4
+), t6 AS (SELECT id, k, (xor(v, v >> 16) * 73244475) & 4294967295 AS v FROM t5
+), dr AS (SELECT id, k, xor(v, v >> 16) AS v FROM t6
+), c1 AS (SELECT mc.*, CAST((SELECT v FROM dr WHERE dr.id = mc.id AND k = 1) * 8 >> 32 AS INTEGER) AS o FROM mc
+), c2 AS (SELECT *, CASE WHEN o IN (2, 3, 6, 7) THEN h ELSE w END AS bw, CASE WHEN o IN (2, 3, 6, 7) THEN w ELSE h END AS bh FROM c1
+), pl AS (SELECT c2.id, owner, m, o, bw, bh, (dx.v * ((2512000 - bw) // 200 + 1) >> 32) * 200 AS x0, (dy.v * ((2512000 - bh) // 1000 + 1) >> 32) * 1000 AS y0, dp.v AS prio
+  FROM c2 JOIN dr dx ON dx.id = c2.id AND dx.k = 2 JOIN dr dy ON dy.id = c2.id AND dy.k = 3 JOIN dr dp ON dp.id = c2.id AND dp.k = 4 WHERE bw <= 2512000 AND bh <= 2512000
+), rk AS (SELECT *, row_number() OVER (ORDER BY prio, id) AS rank FROM pl
+), cf AS (SELECT b.rank AS later, list(a.rank) AS before FROM rk a JOIN rk b ON a.rank < b.rank AND (a.owner = b.owner OR (a.x0 < b.x0 + b.bw + 20000 AND b.x0 < a.x0 + a.bw + 20000 AND a.y0 < b.y0 + b.bh + 20000 AND b.y0 < a.y0 + a.bh + 20000)) GROUP BY b.rank
+), gr AS (
+  SELECT CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS took
+  UNION ALL
+  SELECT gr.rank + 1, CASE WHEN len(list_intersect(coalesce((SELECT before FROM cf WHERE later = gr.rank + 1), []), took)) = 0 THEN list_append(took, gr.rank + 1) ELSE took END FROM gr WHERE gr.rank < (SELECT count(*) FROM rk)
+), tk AS (SELECT unnest(took) AS rank FROM gr WHERE rank = (SELECT count(*) FROM rk))"""
+
+
+@query("s04d_macro_placement", _DRAWS + " SELECT id, m, o, x0, y0 FROM rk JOIN tk USING (rank)", recursive=True)
+def s04d(spark, sf_dir):
+    """Macros of a synthetic design: drawn places in the order of their priorities, none closer than the padding to one before."""
+    return synthetic.macros(spark, Design(spark, sf_dir).masters, 42).select("id", "m", "o", "x0", "y0")
+
+
+@query("s04_synthetic_design")
+def s04(spark, sf_dir):
+    """The pyramid's levels of a design that is drawn from the library: macros, cells between them, power grid."""
+    return P.level_kinds(synthetic.SyntheticDesign(spark, sf_dir, 42))
