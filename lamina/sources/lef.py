@@ -14,8 +14,10 @@ from ..functions.geometry import js_round
 # Class and layer codes of the layout model. All other classes are standard cells.
 CLASSES = {"BLOCK": 1}
 LAYERS = {"METAL1": 5, "VIA1": 6, "METAL2": 7, "METAL3": 8}
-#: Further metals fold into the third and further vias into the first, and are counted; so are unknown layers, apart.
-FOLD_METAL, FOLD_VIA = 8, 6
+# Layers without a code of their own: metals fold into the third, vias into the first, and are counted.
+FOLDED = {**{f"METAL{k}": 8 for k in range(4, 10)}, **{f"VIA{k}": 6 for k in range(2, 9)}}
+#: Any other layer is drawn as this one and counted as unknown. Names are matched without regard to case.
+UNKNOWN = 8
 NUMBER = r"([0-9.eE+-]+)"
 
 
@@ -60,8 +62,8 @@ def tech_layers(text: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _dbu(text: Column, dbu: int) -> Column:
-    """Microns as database units, halves up."""
-    return js_round(text.cast("double") * dbu).cast("long")
+    """Microns as database units, halves up; null where the text is no number."""
+    return js_round(text.try_cast("double") * dbu).cast("long")
 
 
 def masters_of(records: DataFrame, dbu: int) -> DataFrame:
@@ -81,11 +83,11 @@ _LAYER = r"(?m)^(?=[ \t]*(?:LAYER\s|END[ \t]*\r?$))"
 
 
 def rects_of(masters: DataFrame, dbu: int, outline: bool = False) -> DataFrame:
-    """name, r, layer, flags, x, y, w, h, clamped and what became of each: kept, clipped (to nothing), polygon.
+    """name, r, layer, fold, flags, x, y, w, h, clamped and what became of each: kept, clipped (to nothing), polygon, malformed (a corner that is no number).
 
     Corners are put in order, the origin is subtracted, and they are clamped to
     the size. With outline, each master's box comes first, as r = 0. A master is
-    parsed within its row.
+    parsed and its rects are numbered within its row.
     """
 
     def shape(lay: Column, pin: Column):
@@ -94,13 +96,13 @@ def rects_of(masters: DataFrame, dbu: int, outline: bool = False) -> DataFrame:
             at = lambda k, o: _dbu(F.get(word, F.lit(k)), dbu) - F.col(o)
             polygon = F.get(word, F.lit(0)) == "POLYGON"
             corner = lambda k, o: F.when(~polygon, at(k, o))
-            return F.struct(polygon.alias("polygon"), F.upper(lay).alias("lay"), pin.alias("pin"), corner(1, "ox").alias("a"), corner(2, "oy").alias("b"), corner(3, "ox").alias("c"), corner(4, "oy").alias("e"))
+            return F.struct(polygon.alias("polygon"), lay.alias("lay"), pin.alias("pin"), corner(1, "ox").alias("a"), corner(2, "oy").alias("b"), corner(3, "ox").alias("c"), corner(4, "oy").alias("e"))
 
         return made
 
     def of_layer(pin: Column):
         def found(text: Column) -> Column:
-            lay = F.nullif(F.regexp_extract(text, r"^\s*LAYER\s+(\S+)", 1), F.lit(""))
+            lay = F.upper(F.nullif(F.regexp_extract(text, r"^\s*LAYER\s+(\S+)", 1), F.lit("")))
             lines = F.regexp_extract_all(text, F.lit(rf"(?m)^[ \t]*((?:POLYGON\b|RECT(?:\s+{NUMBER}){{4}})[^\n]*)"), F.lit(1))
             return F.transform(lines, shape(lay, pin))
 
@@ -109,19 +111,26 @@ def rects_of(masters: DataFrame, dbu: int, outline: bool = False) -> DataFrame:
     def of_part(text: Column) -> Column:
         return F.flatten(F.transform(F.split(text, _LAYER), of_layer(text.rlike(r"^\s*PIN\s"))))
 
-    found = masters.select("name", "w", "h", F.posexplode(F.flatten(F.transform(F.split("value", _PART), of_part))).alias("line", "s")).select("name", "w", "h", "line", "s.*")
-    box = found.withColumns({"u0": F.least("a", "c"), "v0": F.least("b", "e"), "u1": F.greatest("a", "c"), "v1": F.greatest("b", "e")})
-    box = box.withColumns({"x0": F.expr("least(greatest(u0, 0L), w)"), "y0": F.expr("least(greatest(v0, 0L), h)"), "x1": F.expr("least(greatest(u1, 0L), w)"), "y1": F.expr("least(greatest(v1, 0L), h)")})
-    fate = F.when(F.col("polygon"), "polygon").when(F.expr("x1 > x0 and y1 > y0"), "kept").otherwise("clipped")
-    up = F.col("lay")
-    known = _code(up, LAYERS, None)
+    def boxed(s: Column) -> Column:
+        low, high = (lambda p, q: F.least(s[p], s[q])), (lambda p, q: F.greatest(s[p], s[q]))
+        inside = lambda v, most: F.least(F.greatest(v, F.lit(0)), F.col(most))
+        return F.struct(s["polygon"].alias("polygon"), s["lay"].alias("lay"), s["pin"].alias("pin"), *(f(p, q).alias(n) for n, f, p, q in (("u0", low, "a", "c"), ("v0", low, "b", "e"), ("u1", high, "a", "c"), ("v1", high, "b", "e"))), *(inside(f(p, q), most).alias(n) for n, f, p, q, most in (("x0", low, "a", "c", "w"), ("y0", low, "b", "e", "h"), ("x1", high, "a", "c", "w"), ("y1", high, "b", "e", "h"))), (s["a"].isNull() | s["b"].isNull() | s["c"].isNull() | s["e"].isNull()).alias("bad"))
+
+    area = lambda s: ~s["polygon"] & ~s["bad"] & (s["x1"] > s["x0"]) & (s["y1"] > s["y0"])
+    rows = masters.withColumn("_s", F.flatten(F.transform(F.split("value", _PART), of_part))).withColumn("_b", F.transform("_s", boxed))
+    first = 1 if outline else 0
+    kept = F.transform(F.filter("_b", area), lambda s, i: F.struct((i + first).alias("r"), s.alias("s")))
+    other = F.transform(F.filter("_b", lambda s: ~area(s)), lambda s: F.struct(F.lit(None).cast("int").alias("r"), s.alias("s")))
+    box = rows.select("name", F.explode(F.concat(kept, other)).alias("k")).select("name", "k.r", "k.s.*")
+    fate = F.when(F.col("polygon"), "polygon").when(F.col("bad"), "malformed").when(F.col("r").isNotNull(), "kept").otherwise("clipped")
+    known, folded = _code(F.col("lay"), LAYERS, None), _code(F.col("lay"), FOLDED, None)
     clamped = F.coalesce(F.expr("x0 <> u0 or y0 <> v0 or x1 <> u1 or y1 <> v1"), F.lit(False))
-    out = box.select("name", "line", F.coalesce(known, F.when(up.startswith("VIA"), F.lit(FOLD_VIA)).otherwise(F.lit(FOLD_METAL))).alias("layer"), F.when(known.isNotNull(), "known").when(up.rlike("^(METAL|VIA)[0-9]+$"), "folded").otherwise("unknown").alias("fold"), F.col("pin").cast("int").alias("flags"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.expr("x1 - x0").alias("w"), F.expr("y1 - y0").alias("h"), clamped.alias("clamped"), fate.alias("fate"))
+    fold = F.when(known.isNotNull(), "known").when(folded.isNotNull(), "folded").otherwise("unknown")
+    out = box.select("name", "r", F.coalesce(known, folded, F.lit(UNKNOWN)).alias("layer"), fold.alias("fold"), F.col("pin").cast("int").alias("flags"), F.col("x0").alias("x"), F.col("y0").alias("y"), F.expr("x1 - x0").alias("w"), F.expr("y1 - y0").alias("h"), clamped.alias("clamped"), fate.alias("fate"))
     if outline:
-        own = masters.selectExpr("name", "-1 AS line", "0 AS layer", "'known' AS fold", "0 AS flags", "0L AS x", "0L AS y", "w", "h", "false AS clamped", "'kept' AS fate")
+        own = masters.selectExpr("name", "0 AS r", "0 AS layer", "'known' AS fold", "0 AS flags", "0L AS x", "0L AS y", "w", "h", "false AS clamped", "'kept' AS fate")
         out = own.unionByName(out)
-    r = F.row_number().over(Window.partitionBy("name", "fate").orderBy("line")) - 1
-    return out.withColumn("r", F.when(F.col("fate") == "kept", r)).drop("line")
+    return out
 
 
 def statistics(masters: DataFrame, rects: DataFrame) -> DataFrame:
@@ -157,7 +166,7 @@ def in_section(statements: DataFrame, name: str) -> DataFrame:
     """
     v = F.col("value")
     opens, closes = v.rlike(rf"(?m)^[ \t]*{name}\s+\d+\s*$"), v.rlike(rf"(?m)^[ \t]*END\s+{name}\b")
-    marks = statements.where(opens | closes).select(F.col("file").alias("_file"), F.col("at").alias("_from"), closes.alias("_closed"))
+    marks = statements.where(v.contains(name) & (opens | closes)).select(F.col("file").alias("_file"), F.col("at").alias("_from"), closes.alias("_closed"))
     after = F.lead("_from").over(Window.partitionBy("_file").orderBy("_from"))
     spans = marks.withColumn("_to", after).where("not _closed")
     inside = (F.col("file").eqNullSafe(F.col("_file"))) & (F.col("at") > F.col("_from")) & (F.col("_to").isNull() | (F.col("at") < F.col("_to")))
@@ -172,16 +181,18 @@ def components(statements: DataFrame) -> DataFrame:
     the last holds.
     """
     v = F.col("value")
-    rows = in_section(statements, "COMPONENTS").where(v.rlike(r"^\s*-\s+\S+\s+\S+"))
-    word = _words(v)
-    rows = rows.select(F.get(word, F.lit(1)).alias("name"), F.get(word, F.lit(2)).alias("master"), word.alias("word"))
-    known = F.array(*map(F.lit, ("FIXED", "PLACED", "COVER", "UNPLACED")))
-    # From 0; of the words behind the master the last that is a status.
-    at = F.array_max(F.filter(F.sequence(F.lit(2), F.size("word")), lambda i: F.array_contains(known, F.get("word", i)) & (i > 2)))
-    rows = rows.withColumn("k", at).withColumn("status", F.coalesce(F.get("word", F.col("k")), F.lit("UNPLACED")))
-    placed, there = F.col("status") != "UNPLACED", F.get("word", F.col("k") + 1) == "("
-    number = lambda n: F.when(placed, F.when(there, F.get("word", F.col("k") + n).cast("long")).otherwise(0))
-    return rows.select("name", "master", "status", number(2).alias("x"), number(3).alias("y"), F.when(placed, F.when(there, F.get("word", F.col("k") + 5)).otherwise("N")).alias("orient"))
+    rows = in_section(statements, "COMPONENTS").where(v.rlike(r"^\s*-\s"))
+    head = F.split(F.regexp_replace(v, r"^\s+", ""), r"\s+", 4)
+    rows = rows.select(head.alias("head")).where((F.get("head", F.lit(0)) == "-") & (F.get("head", F.lit(2)) != ""))
+    rows = rows.select(F.get("head", F.lit(1)).alias("name"), F.get("head", F.lit(2)).alias("master"), F.coalesce(F.get("head", F.lit(3)), F.lit("")).alias("rest"))
+    # What begins with the last status word, as words.
+    tail = F.element_at(F.split("rest", r"(?<!\S)(?=(?:FIXED|PLACED|COVER|UNPLACED)(?!\S))"), -1)
+    rows = rows.withColumn("word", F.split(tail, r"\s+"))
+    stated = F.get("word", F.lit(0))
+    rows = rows.withColumn("status", F.when(stated.isin("FIXED", "PLACED", "COVER"), stated).otherwise("UNPLACED"))
+    placed, there = F.col("status") != "UNPLACED", F.get("word", F.lit(1)) == "("
+    number = lambda n: F.when(placed, F.when(there, F.get("word", F.lit(n)).try_cast("long")).otherwise(0))
+    return rows.select("name", "master", "status", number(2).alias("x"), number(3).alias("y"), F.when(placed, F.when(there, F.get("word", F.lit(5))).otherwise("N")).alias("orient"))
 
 
 def rows_of(statements: DataFrame) -> DataFrame:

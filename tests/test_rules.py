@@ -115,6 +115,17 @@ def test_lef_rules(spark):
     assert lef.rects_of(m, 1000, True).where("r = 0").first().w == 10000
 
 
+def test_lef_layers_by_name_and_malformed_numbers(spark):
+    names = {"METAL1": (5, "known"), "metal3": (8, "known"), "METAL9": (8, "folded"), "METAL10": (8, "unknown"), "VIA8": (6, "folded"), "VIA9": (8, "unknown"), "VIAxyz": (8, "unknown")}
+    text = "A\n SIZE 9 BY 9 ;\n PIN p\n" + "".join(f"  LAYER {n} ;\n   RECT 0 0 {k + 1} 1 ;\n" for k, n in enumerate(names)) + "  LAYER METAL1 ;\n   RECT 0 0 1-2 4 ;\n   RECT 1 1 e 4 ;\nEND A"
+    m = lef.masters_of(spark.createDataFrame([(text,)], "value string"), 1000)
+    got = lef.rects_of(m, 1000).collect()
+    assert {r.r: (r.layer, r.fold) for r in got if r.fate == "kept"} == dict(enumerate(names.values()))
+    assert [r.fate for r in got if r.fate != "kept"] == ["malformed", "malformed"]
+    st = lef.statements_of(spark.createDataFrame([("f", "COMPONENTS 4 ;\n- FIXED A ;\n- u1 B + PLACED ( 1-2 5 ) N ;\n- u2 PLACED + SOURCE DIST + FIXED ( 3 4 ) FS + UNPLACED ;\n - u3 C + COVER ;\n -\nEND COMPONENTS")], "file string, value string"))
+    assert sorted(map(tuple, lef.components(st).collect())) == [("FIXED", "A", "UNPLACED", None, None, None), ("u1", "B", "PLACED", None, 5, "N"), ("u2", "PLACED", "UNPLACED", None, None, None), ("u3", "C", "COVER", 0, 0, "N")]
+
+
 def test_lef_files_are_read_by_record(spark, tmp_path):
     (tmp_path / "a.lef").write_text("VERSION 5.8 ;\nMACRO A\n CLASS CORE ;\n SIZE 1 BY 2 ;\nEND A\nMACRO B\n CLASS CORE ;\n SIZE 3 BY 2 ;\nEND B\n")
     assert sorted(r.name for r in lef.masters_of(lef.read_macros(spark, str(tmp_path / "a.lef")), 2000).collect()) == ["A", "B"]
