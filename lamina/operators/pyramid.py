@@ -73,6 +73,21 @@ def level_rows(d: Design, numbers: bool = False) -> DataFrame:
     return rows.withColumns({"lx": F.expr("x - tx * ztile"), "ly": F.expr("y - ty * ztile"), "is_overflow": F.expr("4 * greatest(w, h) > ztile")})
 
 
+def placement_rows(d: Design, kinds: DataFrame | None = None) -> DataFrame:
+    """z, tx, ty, is_overflow, bucket (-1 on mid levels), pno, lx, ly, m, o, rc, bw, bh of all deep and mid levels.
+
+    Only these levels' rows are made: a level's number decides before placements are repeated.
+    """
+    levels = {r["z"]: r["kind"] for r in (kinds if kinds is not None else level_kinds(d)).where("kind <> 'far'").select("z", "kind").collect()}
+    deep = [z for z, k in levels.items() if k == "deep"]
+    at = F.array(*(F.lit(z) for z in sorted(levels))) if levels else F.array().cast("array<int>")
+    t = tiled(d, True).withColumn("z", F.explode(at)).withColumn("ztile", F.expr(f"{d.tile}L * shiftleft(1L, {d.max_z} - z)"))
+    t = t.withColumns({"tx": F.expr(f"shiftright(tx, {d.max_z} - z)"), "ty": F.expr(f"shiftright(ty, {d.max_z} - z)"), "is_overflow": F.expr("4 * greatest(w, h) > ztile")})
+    bucket = F.when(F.col("z").isin(deep), G.bucket_of(F.col("rc"), CAPS)).otherwise(-1)
+    local = lambda c: F.expr(f"if(is_overflow, {c}, {c} - t{c} * ztile)")
+    return t.select("z", "tx", "ty", "is_overflow", bucket.alias("bucket"), "pno", local("x").alias("lx"), local("y").alias("ly"), "m", "o", "rc", "bw", "bh")
+
+
 def tile_summary(d: Design) -> DataFrame:
     """Deepest tiles by the levels that their content is promoted from: everything that costs a level, without its rows.
 

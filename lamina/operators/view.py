@@ -24,10 +24,19 @@ def tiles_in(ranges: DataFrame) -> DataFrame:
 
 
 def block_views(d: Design, views: DataFrame) -> DataFrame:
-    """Views (qid, x0, y0, x1, y1 on the chip) against the instances they see, in block coordinates."""
-    i = F.broadcast(d.instances.select("i", F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("o").alias("io")))
+    """Views (qid, x0, y0, x1, y1 on the chip) against the instances they see, in block coordinates.
+
+    Both list the chip cells of a block's size that they reach and meet by cell;
+    a pair that shares several counts in the first. Views grow by the tiles that
+    they see, so they are dealt out before.
+    """
     w = d.world
-    seen = views.join(i, (F.col("ix") + w >= F.col("x0")) & (F.col("ix") <= F.col("x1")) & (F.col("iy") + w >= F.col("y0")) & (F.col("iy") <= F.col("y1")))
+    span = lambda lo, hi: F.explode(F.expr(f"sequence(floor({lo} / {w}), floor({hi} / {w}))"))
+    parts = max(1, int(d.spark.conf.get("spark.sql.shuffle.partitions")))
+    v = views.repartition(parts, "qid").withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
+    i = d.instances.select("i", F.col("x").alias("ix"), F.col("y").alias("iy"), F.col("o").alias("io")).withColumn("cx", span("ix", f"(ix + {w})")).withColumn("cy", span("iy", f"(iy + {w})"))
+    meet = f"ix + {w} >= x0 and ix <= x1 and iy + {w} >= y0 and iy <= y1 and cx = greatest(floor(x0 / {w}), floor(ix / {w})) and cy = greatest(floor(y0 / {w}), floor(iy / {w}))"
+    seen = v.join(i, ["cx", "cy"]).where(meet)
     x0, y0, x1, y1 = rect_to_block(F.col("io"), w, F.col("ix"), F.col("iy"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     return seen.select("qid", "i", x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"))
 

@@ -146,8 +146,7 @@ def w03(spark, sf_dir):
 def k05(spark, sf_dir):
     """Records of the mid levels: outlines in original order."""
     d = Design(spark, sf_dir)
-    mid = F.broadcast(P.level_kinds(d).where("kind = 'mid'").select("z"))
-    rows = P.level_rows(d, True).where("not is_overflow").join(mid, "z")
+    rows = P.placement_rows(d, P.level_kinds(d).where("kind = 'mid'")).where("not is_overflow")
     return rows.select("z", "tx", "ty", F.row_number().over(Window.partitionBy("z", "tx", "ty").orderBy("pno")).cast("long").alias("ord"), "lx", "ly", "m", "o")
 
 

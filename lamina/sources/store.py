@@ -15,11 +15,9 @@ VERSION = 4
 
 def tile_rows(d: Design) -> DataFrame:
     """Records of every deep and mid level and of their overflow lists (tx, ty null), with their buckets on deep ones."""
-    kinds = F.broadcast(P.level_kinds(d).where("kind <> 'far'").select("z", "kind"))
-    rows = P.level_rows(d, True).join(kinds, "z")
+    rows = P.placement_rows(d)
     own = lambda c: F.when(~F.col("is_overflow"), F.col(c))
-    bucket = F.when(F.col("kind") == "deep", G.bucket_of(F.col("rc"), P.CAPS))
-    return rows.select("z", own("tx").alias("tx"), own("ty").alias("ty"), "is_overflow", bucket.alias("bucket"), "pno", F.when(F.col("is_overflow"), F.col("x")).otherwise(F.col("lx")).alias("lx"), F.when(F.col("is_overflow"), F.col("y")).otherwise(F.col("ly")).alias("ly"), "m", "o")
+    return rows.select("z", own("tx").alias("tx"), own("ty").alias("ty"), "is_overflow", F.when(F.col("bucket") >= 0, F.col("bucket")).alias("bucket"), "pno", "lx", "ly", "m", "o")
 
 
 def write_tiles(d: Design, path: str) -> None:
