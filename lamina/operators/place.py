@@ -98,7 +98,8 @@ def fill(spans: DataFrame, cells: DataFrame, blocks: int | None = None) -> DataF
     could not spend, and its own width at most; it takes whole cells while they
     fit, spaces them evenly and snaps them down to its row's sites. A cell that
     doesn't end inside its span ends the span; it is charged to it and comes
-    first in the next. Cells that are left over have null places.
+    first in the next. Cells that are left over have null places; so have all
+    cells where they are wider than all spans together.
 
     All that a span needs to know of the ones before is where the next cell
     begins in the sum of widths and how much width was charged. Blocks of spans
@@ -120,7 +121,7 @@ def fill(spans: DataFrame, cells: DataFrame, blocks: int | None = None) -> DataF
     row_starts = per_row.select("r", F.coalesce(F.sum("own").over(Window.orderBy("r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     free = per_row.agg(F.sum("own")).first()[0] or 0
     if total > free:
-        raise ValueError(f"cells of width {total} don't fit into {free}")
+        return cells.selectExpr("pno", "cast(null as long) AS x", "cast(null as long) AS y", "cast(null as int) AS o")
     blocks = blocks or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), free // (1 << 36))
     inside = F.sum(F.expr("e - s")).over(Window.partitionBy("r").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
     wide = spans.join(row_starts, "r").withColumn("reach", F.col("before") + inside)
