@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import nearest_rank
-from ..sources.tables import Design
+from ..sources.tables import DIE, Design
 from .pyramid import level_kinds
 
 BLOCK_GRID, LEAST = 32, 0.004
@@ -60,13 +60,23 @@ def straps(d: Design) -> DataFrame:
     return p.select(F.when(v, F.lit("v")).otherwise(F.lit("h")).alias("axis"), F.when(v, F.col("x")).otherwise(F.col("y")).alias("position"), F.least("w", "h").alias("thickness"), F.when(v, F.col("y")).otherwise(F.col("x")).alias("start"), F.expr("CASE WHEN h > w THEN y + h ELSE x + w END").alias("end"))
 
 
-def coalesced(segments: DataFrame) -> DataFrame:
-    """Touching and overlapping segments of one line merged: gaps and islands over a running end."""
+def coalesced(segments: DataFrame, width: int | None = None) -> DataFrame:
+    """Touching and overlapping segments of one line merged: gaps and islands over a running end.
+
+    A line may hold any share of the segments: it is cut into spans of width by where
+    they start, each of which is swept alone with the furthest end and the number of
+    islands that the spans before it carry over.
+    """
     line = ["axis", "position", "thickness"]
-    order = Window.partitionBy(*line).orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    flagged = segments.withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
-    island = flagged.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    width = width or max(1, DIE // (16 * max(1, int(segments.sparkSession.conf.get("spark.sql.shuffle.partitions")))))
+    cut = segments.withColumn("span", F.expr(f"floor(start / {width})"))
+    before = Window.partitionBy(*line).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)  # spans of a line
+    inside = Window.partitionBy(*line, "span").orderBy("start", "end")
+    ends = cut.groupBy(*line, "span").agg(F.max("end").alias("end")).select(*line, "span", F.max("end").over(before).alias("carried"))
+    reach = F.greatest("carried", F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    flagged = cut.join(ends, [*line, "span"]).withColumn("new", F.when(F.col("start") <= reach, 0).otherwise(1))
+    begun = flagged.groupBy(*line, "span").agg(F.sum("new").alias("n")).select(*line, "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("islands"))
+    island = flagged.join(begun, [*line, "span"]).withColumn("island", F.col("islands") + F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*line, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("segments")).drop("island")
 
 

@@ -220,6 +220,26 @@ def test_rows_of_a_design(spark):
     assert [(v.r, v.s, v.e, v.x, v.y, v.step, v.orient) for v in got] == [(0, 50, 90, 50, 1000, 10, "N"), (0, 120, 250, 50, 1000, 10, "N"), (1, 130, 300, 100, 2000, 20, "FS")]
 
 
+@pytest.mark.parametrize("width", [1 << 40, 3000, 50])
+def test_islands_of_a_hot_line(spark, width):
+    """One line with most segments, cut into spans, against a sweep; repeated segments, long ones and touching ones."""
+    r = random.Random(width)
+    rows = [("v", 1, 5, s, s + r.choice((0, 1, 3, 3, 400))) for s in (r.randrange(20_000) for _ in range(1500))]
+    rows += rows[:20] + [("h", k % 3, 5, 10 * k, 10 * k + r.choice((5, 10))) for k in range(60)]
+    want = {}
+    for key in {v[:3] for v in rows}:
+        for s, e in sorted(v[3:] for v in rows if v[:3] == key):
+            own = want.setdefault(key, [])
+            if own and s <= own[-1][1]:
+                own[-1] = (own[-1][0], max(own[-1][1], e), own[-1][2] + 1)
+            else:
+                own.append((s, e, 1))
+    df = spark.createDataFrame(rows, "axis string, position long, thickness long, start long, end long")
+    got = sorted((v.axis, v.position, v.thickness, v.start, v.end, v.segments) for v in far.coalesced(df, width).collect())
+    assert got == sorted((*key, *v) for key, own in want.items() for v in own)
+    assert far.coalesced(df.limit(0), width).collect() == []
+
+
 def test_numbering_is_a_total_order(spark):
     df = spark.range(500).selectExpr("(id * 37) % 500 AS a", "id AS b")
     got = sorted((r.n, r.a) for r in numbered(df, ("a", "b"), "n", 5).collect())
