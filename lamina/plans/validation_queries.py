@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import count
+from ..operators import holes
 from ..operators import pyramid as P
 from ..operators import validate as V
 from ..registry import query
@@ -132,7 +133,7 @@ def f16(spark, sf_dir):
 def g01(spark, sf_dir):
     """Holes in a thinned-out coverage of the deepest level."""
     d = Design(spark, sf_dir)
-    return V.coverage_holes(P.tile_counts(d).where("(tx * 7 + ty * 3) % 5 <> 0"), d.side)
+    return holes.coverage_holes(P.tile_counts(d).where("(tx * 7 + ty * 3) % 5 <> 0"), d.side)
 
 
 @query("g03_blank_frame_plan", _LEVEL + ", pt AS (SELECT event_id AS qid, (event_id * 7919) % 2500000 AS cx, (event_id * 104729) % 2500000 AS cy FROM events), t AS (SELECT DISTINCT z, tx, ty, ztile FROM lr) SELECT qid, CAST(lv.z AS INTEGER) AS z, EXISTS (SELECT 1 FROM t WHERE t.z = lv.z AND t.tx = cx // lv.ztile AND t.ty = cy // lv.ztile) AS drawn FROM pt, lv")

@@ -246,12 +246,6 @@ def test_numbering_is_a_total_order(spark):
     assert [n for n, _ in got] == list(range(1, 501)) and [a for _, a in got] == sorted(a for _, a in got)
 
 
-def test_coverage_holes(spark):
-    full = {(x, y) for x in range(6) for y in range(6)} - {(1, 1), (1, 2), (2, 2), (4, 4)}
-    got = validate.coverage_holes(spark.createDataFrame(sorted(full), "tx long, ty long"), 6).collect()
-    assert sorted((r.hole, r.tiles) for r in got) == [(7, 3), (28, 1)]
-
-
 def test_pick_is_a_keyed_join(spark):
     import os
 
