@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import pyramid as P
+from .scratch import drop
 from .tables import Design
 
 MANIFEST = "version int, max_z int, tile long, world long, placements long, caps array<long>, levels array<struct<z: int, kind: string, tiles: long, p95: long>>"
@@ -78,9 +81,20 @@ def serve(d: Design, index: DataFrame, requests: DataFrame, path: str, kinds: Da
     return stored.join(asked, ["z", "tx", "ty"], "left_semi").where("m is not null"), made
 
 
+def _path(spark: SparkSession, path: str):
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _fs(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    return _fs(spark, path).exists(_path(spark, path))
+
+
+def _glob(spark: SparkSession, pattern: str) -> list:
+    return [f.getPath() for f in _fs(spark, pattern).globStatus(_path(spark, pattern)) or []]
 
 
 def manifest(d: Design) -> DataFrame:
@@ -96,9 +110,48 @@ def read_manifest(docs: DataFrame) -> DataFrame:
     return m.where(F.assert_true(F.col("version") == VERSION, F.lit("another manifest version")).isNull())
 
 
-def catalog(spark: SparkSession, root: str) -> DataFrame:
-    """Designs below a folder by name: those with a manifest, and the bytes of their files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
-    f = files.withColumn("design", F.regexp_extract("path", r"/([^/]+)/manifest\.json$", 1))
-    named = f.where("design <> ''").select("design", F.regexp_replace("path", r"/manifest\.json$", "/").alias("dir"))
-    return files.join(F.broadcast(named), F.col("path").startswith(F.col("dir"))).groupBy(F.col("design").alias("name")).agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
+def catalog(spark: SparkSession, root: str, index: str) -> tuple[DataFrame, int]:
+    """Designs of a folder by name (name, modified, placements, max_z, levels, far, bytes, files), and how many were read.
+
+    A design is a folder with a manifest. What was learned of each is kept in a
+    table at index with the time of its manifest; only designs whose manifest
+    has another time are read and measured again, those that went are left out,
+    and so are those whose manifest can't be read. A table is current once it
+    is complete, so a refresh that breaks off changes nothing.
+    """
+    base = _fs(spark, root).makeQualified(_path(spark, root)).toString().rstrip("/")
+    versions = sorted(int(p.getParent().getName().removeprefix("v-")) for p in _glob(spark, f"{index}/v-*/_SUCCESS"))
+    known = spark.read.schema(_ENTRY).parquet(f"{index}/v-{versions[-1]}") if versions else spark.createDataFrame([], _ENTRY)
+    if _glob(spark, f"{base}/*/manifest.json"):
+        listed = spark.read.format("binaryFile").load(f"{base}/*/manifest.json").select(_design(base).alias("name"), F.col("modificationTime").alias("modified"))
+    else:
+        listed = known.select("name", "modified").where("false")
+    same = known.join(listed, ["name", "modified"], "left_semi")
+    # Paths to read are a list on the driver, as those of any read.
+    changed = [r["name"] for r in listed.join(known, ["name", "modified"], "left_anti").select("name").collect()]
+    entries = same.unionByName(_entries(spark, base, changed)) if changed else same
+    if changed or versions and known.count() != same.count() or not versions:
+        new = versions[-1] + 1 if versions else 0
+        entries.select(*known.columns).write.parquet(f"{index}/v-{new}")
+        for v in versions[:-1]:
+            drop(spark, f"{index}/v-{v}")
+        known = spark.read.schema(_ENTRY).parquet(f"{index}/v-{new}")
+    return known.where("placements is not null").orderBy("name"), len(changed)
+
+
+_ENTRY = "name string, modified timestamp, placements long, max_z int, levels int, far int, bytes long, files long"
+
+
+def _entries(spark: SparkSession, base: str, names: list[str]) -> DataFrame:
+    """What manifests and files of designs say."""
+    dirs = [base + "/" + re.sub(r"([\[\]{}*?\\])", r"\\\1", n) for n in names]
+    m = spark.read.format("binaryFile").load([d + "/manifest.json" for d in dirs])
+    m = m.select(_design(base).alias("name"), F.col("modificationTime").alias("modified"), F.from_json(F.col("content").cast("string"), MANIFEST).alias("m"))
+    m = m.select("name", "modified", "m.placements", "m.max_z", F.size("m.levels").alias("levels"), F.size(F.filter("m.levels", lambda z: z["kind"] == "far")).alias("far"))
+    size = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(dirs).groupBy(_design(base).alias("name")).agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files"))
+    return m.join(size, "name")
+
+
+def _design(base: str) -> Column:
+    """The first folder below base of a path."""
+    return F.substring_index(F.expr(f"substr(path, {len(base) + 2})"), "/", 1)

@@ -33,8 +33,35 @@ def test_manifest_and_catalog(spark, tmp_path):
         (tmp_path / name / "x.bin").write_bytes(b"12345")
     os.makedirs(tmp_path / "none")
     (tmp_path / "none" / "x.bin").write_bytes(b"1")
-    got = {r.name: r.files for r in store.catalog(spark, str(tmp_path)).collect()}
-    assert got == {"a": 2, "b": 2}
+    (tmp_path / "a" / "deep").mkdir()
+    (tmp_path / "a" / "deep" / "manifest.json").write_text("12")
+    index = str(tmp_path) + "-catalog"
+
+    def refreshed():
+        rows, read = store.catalog(spark, str(tmp_path), index)
+        return {r.name: (r.placements, r.files, r.bytes) for r in rows.collect()}, read
+
+    def touch(name, text, at):
+        path = tmp_path / name / "manifest.json"
+        path.parent.mkdir(exist_ok=True)
+        path.write_text(text)
+        os.utime(path, (at, at))
+
+    size = len(store.manifest(d).first().value)
+    first = {"a": (d.n, 3, size + 7), "b": (d.n, 2, size + 5)}
+    assert refreshed() == (first, 2) and refreshed() == (first, 0)
+    # Only what changed is read: another manifest, a new design with odd letters, one that can't be read.
+    touch("b", store.manifest(d).first().value.replace(f'"placements":{d.n}', '"placements":7'), 2_000_000_000)
+    touch("c [1]", store.manifest(d).first().value, 2_000_000_000)
+    touch("none", "{broken", 2_000_000_000)
+    got, read = refreshed()
+    assert read == 3 and set(got) == {"a", "b", "c [1]"} and got["b"][0] == 7 and got["a"] == first["a"]
+    # A file that grows without its manifest is measured when that changes; designs that went are gone.
+    (tmp_path / "a" / "x.bin").write_bytes(b"123456789")
+    os.remove(tmp_path / "b" / "manifest.json")
+    got, read = refreshed()
+    assert read == 0 and set(got) == {"a", "c [1]"} and got["a"] == first["a"]
+    assert store.catalog(spark, str(tmp_path / "nowhere"), index + "2")[0].collect() == []
     m = store.read_manifest(spark.read.text(str(tmp_path / "a" / "manifest.json"))).first()
     assert m.max_z == d.max_z and m.placements == d.n and len(m.levels) == d.max_z + 1
     bad = store.manifest(d).selectExpr("replace(value, '\"version\":4', '\"version\":3') AS value")
