@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stats import count, nearest_rank
 from ..registry import query
 from ..sources.tables import Design
+from ..streaming import keyed as K
 from ..streaming import sessions as S
 
 _STEPS = [(0, 0.0), (1, 1.93828e-4), (2, 5.02048e-4), (3, 1.17345e-3), (6, 6.53645e-3)]
@@ -48,6 +49,22 @@ def t07(spark, sf_dir):
     return S.latest_per_window(e, "1 hour").select("user_id", F.unix_millis(F.col("start").cast("timestamp")).alias("start_ms"), "event_id", "n")
 
 
+_HOUR = 3_600_000
+
+
+@query(
+    "t07b_throttle",
+    ", ev AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events"
+    f"), r AS (SELECT user_id, event_id, ord, ms AS start_ms FROM ev WHERE ord = 1 UNION ALL SELECT e.user_id, e.event_id, e.ord, CASE WHEN e.ms >= r.start_ms + {_HOUR} THEN e.ms ELSE r.start_ms END FROM r JOIN ev AS e ON e.user_id = r.user_id AND e.ord = r.ord + 1"
+    ") SELECT user_id, start_ms, arg_max(event_id, ord) AS event_id, count(*) AS n FROM r GROUP BY user_id, start_ms",
+    recursive=True,
+)
+def t07b(spark, sf_dir):
+    """What a trailing throttle of an hour lets through: timers start with a session's events, not on the hour."""
+    e = Design(spark, sf_dir).table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return K.throttle(e, _HOUR)
+
+
 @query("t09_reorigin", ", e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord, (event_id * 7919) % 2500000 AS cx FROM events) SELECT user_id, event_id, abs(cx - first_value(cx) OVER (PARTITION BY user_id ORDER BY ord)) * 0.5::DOUBLE > 1000000 AS far FROM e")
 def t09(spark, sf_dir):
     """Events whose drift from the session's origin exceeds the precision limit."""
@@ -65,6 +82,12 @@ def t10(spark, sf_dir):
     return e.select("user_id", "event_id", F.coalesce(changed, F.lit(True)).alias("again"))
 
 
+@query("t10b_arrivals", ", e AS (SELECT user_id, event_id, ts, event_id // 3 % 4 AS level, event_id * 7 % 64 AS tile FROM events) SELECT user_id, event_id, level IS DISTINCT FROM lag(level) OVER (PARTITION BY user_id ORDER BY ts, event_id) OR row_number() OVER (PARTITION BY user_id, tile ORDER BY ts, event_id) = 1 AS again FROM e")
+def t10b(spark, sf_dir):
+    """Whether a pick has to be answered again as tiles arrive: another level, or a tile that wasn't there."""
+    return K.picks_again(Design(spark, sf_dir).table("events").selectExpr("user_id", "ts", "event_id", "event_id div 3 % 4 AS level", "event_id * 7 % 64 AS tile"))
+
+
 @query("t04_residency_counters", ", e AS (SELECT event_id % 10 AS step, event_id % 64 AS tile FROM events), s AS (SELECT DISTINCT step, tile FROM e), j AS (SELECT a.step AS step, count(*) AS resident, count(*) FILTER (WHERE b.tile IS NULL) AS added FROM s a LEFT JOIN s b ON b.step = a.step - 1 AND b.tile = a.tile GROUP BY a.step) SELECT step, resident, added FROM j")
 def t04(spark, sf_dir):
     """Resident and newly added tiles at each step."""
