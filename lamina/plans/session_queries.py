@@ -54,7 +54,7 @@ _HOUR = 3_600_000
 
 @query(
     "t07b_throttle",
-    ", ev AS (SELECT user_id, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events"
+    ", ev AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ord FROM events"
     f"), r AS (SELECT user_id, event_id, ord, ms AS start_ms FROM ev WHERE ord = 1 UNION ALL SELECT e.user_id, e.event_id, e.ord, CASE WHEN e.ms >= r.start_ms + {_HOUR} THEN e.ms ELSE r.start_ms END FROM r JOIN ev AS e ON e.user_id = r.user_id AND e.ord = r.ord + 1"
     ") SELECT user_id, start_ms, arg_max(event_id, ord) AS event_id, count(*) AS n FROM r GROUP BY user_id, start_ms",
     recursive=True,
