@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import count
-from ..operators import holes
+from ..operators import holes, ladder
 from ..operators import pyramid as P
 from ..operators import validate as V
 from ..registry import query
 from ..sources.tables import Design
 from .pyramid_queries import _COUNTS, _LEVEL, _RECTS
+from .view_queries import _LADDER, _chip, _rungs
 
 
 @query("v01_library_invariants", _RECTS + ", r AS (SELECT rect.*, mast.w AS mw, mast.h AS mh FROM rect LEFT JOIN mast USING (m)) SELECT 'rect_inside' AS rule, count(*) FILTER (WHERE NOT (x >= 0 AND y >= 0 AND x + w <= mw AND y + h <= mh)) AS violations FROM r UNION ALL SELECT 'rect_area', count(*) FILTER (WHERE w <= 0 OR h <= 0) FROM r UNION ALL SELECT 'layer_range', count(*) FILTER (WHERE layer NOT BETWEEN 0 AND 14) FROM r UNION ALL SELECT 'class_range', count(*) FILTER (WHERE klass NOT BETWEEN 0 AND 3) FROM mast UNION ALL SELECT 'size_positive', count(*) FILTER (WHERE w <= 0 OR h <= 0) FROM mast UNION ALL SELECT 'has_rects', count(*) FILTER (WHERE rc < 1) FROM mast")
@@ -47,12 +48,16 @@ def v04(spark, sf_dir):
     return P.level_rows(d).groupBy("z").agg(count().alias("placements"), F.sum("rc").alias("rects")).withColumn("complete", F.col("placements") == d.n)
 
 
-@query("v05_ladder_rules")
+@query(
+    "v05_ladder_rules",
+    _LADDER + """, s AS (SELECT z, max(CASE WHEN z = (SELECT min(z) FROM alive WHERE kept) THEN 0 ELSE own END) OVER (ORDER BY z) AS scale FROM raw JOIN alive USING (z) WHERE kept
+), n AS (SELECT z, scale, lag(scale) OVER (ORDER BY z) AS before FROM s)
+SELECT 'starts_at_zero' AS rule, count(*) FILTER (WHERE before IS NULL AND scale <> 0) AS violations FROM n UNION ALL SELECT 'never_falls', count(*) FILTER (WHERE scale < before) FROM n
+UNION ALL SELECT 'none_shadowed', count(*) FILTER (WHERE scale <= before) FROM n UNION ALL SELECT 'hysteresis_wide', count(*) FROM (SELECT 1.3 AS h) WHERE h <= 1.16""",
+    recursive=True,
+)
 def v05(spark, sf_dir):
     """The ladder starts at 0, never falls, and no level that is written is shadowed."""
-    from ..operators import ladder
-    from .view_queries import _chip, _rungs
-
     d = Design(spark, sf_dir)
     kept = ladder.kept(_rungs(d), _chip(d), round(d.means[0]))
     steps = ladder.ladder(kept, _chip(d), round(d.means[0]))
@@ -93,12 +98,13 @@ def j17(spark, sf_dir):
     return predicted.join(written, "z")
 
 
-@query("j18_ladder_rederived")
+@query(
+    "j18_ladder_rederived",
+    _LADDER + ", s AS (SELECT z, CAST(printf('%.6g', tiles) AS DOUBLE) AS shipped, tiles AS derived FROM bnd) SELECT CAST(z AS INTEGER) AS z, shipped, derived, abs(shipped - derived) <= 5e-6 * abs(shipped) AS agree FROM s",
+    recursive=True,
+)
 def j18(spark, sf_dir):
     """Ladder scales shipped with six digits against those derived inside a plan."""
-    from ..operators import ladder
-    from .view_queries import _chip, _rungs
-
     d = Design(spark, sf_dir)
     rungs, c = _rungs(d), _chip(d)
     shipped = [(s["z"], float(f"{s['tiles']:.6g}")) for s in ladder.ladder(rungs, c, round(d.means[0]))]

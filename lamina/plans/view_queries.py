@@ -201,7 +201,43 @@ def _chip(d: Design) -> ladder.Chip:
     return ladder.Chip(float(d.world), float(pitch), float(pitch), 5, 5)
 
 
-@query("w05_ladder")
+# Costs of levels, then 64 halvings of each bound on a logarithmic scale; the ladder is the running maximum.
+_F_TILES = "least(5::DOUBLE, 3440::DOUBLE / {s} / pitch + 1) * least(5::DOUBLE, 1440::DOUBLE / {s} / pitch + 1)"
+_F_ACROSS = "least(zside::DOUBLE, least(3440::DOUBLE / {s}, blk) / ztile + 1) * least(zside::DOUBLE, least(1440::DOUBLE / {s}, blk) / ztile + 1)"
+_F = f"CASE what WHEN 'tiles' THEN ({_F_TILES}) * ({_F_ACROSS}) ELSE ({_F_TILES}) * ({_F_ACROSS}) * rp + ({_F_TILES}) * ov END"
+_LADDER = (
+    _COUNTS
+    + _LEVEL
+    + """, tc AS (SELECT z, tx, ty, count(*) AS n, CAST(sum(rc) AS BIGINT) AS rects FROM lr WHERE NOT ovf GROUP BY z, tx, ty
+), tq AS (SELECT z, count(*) AS k, list_sort(list(n)) AS ln, list_sort(list(rects)) AS lrc FROM tc GROUP BY z
+), oc AS (SELECT z, count(*) AS n, CAST(sum(rc) AS BIGINT) AS rects FROM lr WHERE ovf GROUP BY z
+), rung AS (SELECT tq.z AS z, kind, side >> (maxz - tq.z) AS zside, CAST(tile << (maxz - tq.z) AS DOUBLE) AS ztile, CAST(world AS DOUBLE) AS blk, floor(world * 1.01::DOUBLE) AS pitch,
+    CAST(CASE kind WHEN 'deep' THEN lrc[1 + least(k - 1, k * 95 // 100)] WHEN 'mid' THEN ln[1 + least(k - 1, k * 95 // 100)] ELSE 1024 END AS DOUBLE) AS rp,
+    CAST(CASE kind WHEN 'deep' THEN coalesce(oc.rects, 0) WHEN 'mid' THEN coalesce(oc.n, 0) ELSE 0 END AS DOUBLE) AS ov
+  FROM tq JOIN kinds USING (z) LEFT JOIN oc USING (z), geo
+), goal AS (SELECT rung.*, what, target FROM rung, (VALUES ('budget', 2e6), ('tiles', 128e0)) AS w(what, target)
+), bis AS (SELECT goal.*, 1e-12 AS lo, 1e3 AS hi, 0 AS k FROM goal
+  UNION ALL SELECT * EXCLUDE (lo, hi, k, mid, v), CASE WHEN v > target THEN mid ELSE lo END, CASE WHEN v > target THEN hi ELSE mid END, k + 1
+  FROM (SELECT *, """
+    + _F.format(s="mid")
+    + """ AS v FROM (SELECT *, sqrt(lo * hi) AS mid FROM bis WHERE k < 64))
+), sol AS (SELECT z, what, CASE WHEN """
+    + _F.format(s="1e-12")
+    + " <= target THEN 0::DOUBLE WHEN "
+    + _F.format(s="1e3")
+    + """ > target THEN 'inf'::DOUBLE ELSE hi END AS least FROM bis WHERE k = 64
+), bnd AS (SELECT rung.z AS z, CASE WHEN rp = 0 THEN 0 ELSE b.least END AS budget, t.least AS tiles, CASE kind WHEN 'far' THEN 0::DOUBLE ELSE 1.5::DOUBLE / round(mean_w) END AS cells
+  FROM rung JOIN sol AS b ON b.z = rung.z AND b.what = 'budget' JOIN sol AS t ON t.z = rung.z AND t.what = 'tiles', means
+), raw AS (SELECT *, greatest(budget, tiles, cells) AS own, z = min(z) OVER () AS first FROM bnd
+), alive AS (SELECT z, z = max(z) OVER () OR CASE WHEN first THEN 0 ELSE own END < min(own) OVER (ORDER BY z ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS kept FROM raw
+)
+"""
+)
+
+
+@query("w05_ladder", _LADDER + """, m AS (SELECT *, max(CASE WHEN first THEN 0 ELSE own END) OVER (ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM raw)
+SELECT CAST(z AS INTEGER) AS z, CASE WHEN first THEN 0 ELSE greatest(own, before) END AS min_scale,
+  CASE WHEN first THEN 'floor' WHEN own < before THEN 'monotone' WHEN budget = own THEN 'budget' WHEN tiles = own THEN 'tiles' ELSE 'cells' END AS bound, budget, tiles, cells FROM m""", recursive=True)
 def w05(spark, sf_dir):
     """The zoom ladder: 64 bisections for each bound of each level (W5, A.6)."""
     d = Design(spark, sf_dir)
@@ -209,7 +245,7 @@ def w05(spark, sf_dir):
     return spark.createDataFrame([(r["z"], r["min_scale"], r["bound"], r["budget"], r["tiles"], r["cells"]) for r in rows], "z int, min_scale double, bound string, budget double, tiles double, cells double")
 
 
-@query("w06_levels_kept")
+@query("w06_levels_kept", _LADDER + "SELECT CAST(z AS INTEGER) AS z, kept FROM alive", recursive=True)
 def w06(spark, sf_dir):
     """Levels that are ever shown, and those that others shadow (U6)."""
     d = Design(spark, sf_dir)
@@ -253,7 +289,15 @@ def f19(spark, sf_dir):
     return k.groupBy("qid").agg(F.min("k").alias("steps"))
 
 
-@query("a15_derived_caps")
+@query(
+    "a15_derived_caps",
+    """, h AS (SELECT rc AS v, count(*) AS w FROM plc GROUP BY rc), hc AS (SELECT v, w, sum(w) OVER (ORDER BY v) AS cw, sum(w * v) OVER (ORDER BY v) AS cs, max(v) OVER () AS top, count(*) OVER () AS n FROM h
+), best AS (SELECT [a.v, b.v, c.v, d.v] AS caps FROM hc AS a JOIN hc AS b ON a.v < b.v JOIN hc AS c ON b.v < c.v JOIN hc AS d ON c.v < d.v AND d.v = d.top
+  ORDER BY a.cw * a.v + (b.cw - a.cw) * b.v + (c.cw - b.cw) * c.v + (d.cw - c.cw) * d.v, c.v, b.v, a.v LIMIT 1
+), cut AS (SELECT unnest(CASE WHEN (SELECT max(n) FROM hc) <= 4 THEN (SELECT list_sort(list(v)) FROM h) ELSE (SELECT caps FROM best) END) AS cap
+), k AS (SELECT cap, row_number() OVER (ORDER BY cap) - 1 AS bucket, coalesce(lag(cap) OVER (ORDER BY cap), 0) AS low FROM cut)
+SELECT CAST(bucket AS INTEGER) AS bucket, cap, CAST(sum(w) AS BIGINT) AS placements, CAST(sum(w * v) AS BIGINT) AS actual, CAST(cap * sum(w) AS BIGINT) AS submitted FROM k JOIN h ON v > low AND v <= cap GROUP BY bucket, cap""",
+)
 def a15(spark, sf_dir):
     """Optimal caps of the placed rect counts, and what they submit (A15, A16)."""
     d = Design(spark, sf_dir)
