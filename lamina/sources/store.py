@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..operators import pyramid as P
+from . import binary as B
 from .scratch import drop
 from .tables import Design
 
@@ -81,6 +82,42 @@ def serve(d: Design, index: DataFrame, requests: DataFrame, path: str, kinds: Da
     return stored.join(asked, ["z", "tx", "ty"], "left_semi").where("m is not null"), made
 
 
+def chosen(tiles: DataFrame, kinds: DataFrame, level: int | None = None, region: tuple[int, int, int, int] | None = None, every: int = 1) -> DataFrame:
+    """Of the tiles that exist (z, tx, ty) those to make ahead: z, tx, ty of one deep or mid level or all, in a region of its tiles, one in so many.
+
+    The region's corners belong to it. Tiles count by rows from each level's
+    first in the region; rows are numbered by themselves and shifted by the rows
+    before, so no window sees a level's tiles. Another level is an error.
+    """
+    lazy = kinds.where("kind <> 'far'").select("z")
+    if level is not None:
+        lazy = lazy.where(F.col("z") == level)
+        if lazy.isEmpty():
+            raise ValueError(f"level {level} isn't made on demand")
+    t = tiles.select("z", "tx", "ty").distinct().join(F.broadcast(lazy), "z")
+    if region is not None:
+        x0, y0, x1, y1 = region
+        t = t.where(F.col("tx").between(x0, x1) & F.col("ty").between(y0, y1))
+    if every > 1:
+        before = Window.partitionBy("z").orderBy("ty").rowsBetween(Window.unboundedPreceding, -1)
+        rows = t.groupBy("z", "ty").agg(F.count(F.lit(1)).alias("n")).select("z", "ty", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+        inside = F.row_number().over(Window.partitionBy("z", "ty").orderBy("tx")) - 1
+        t = t.withColumn("i", inside).join(rows, ["z", "ty"]).where((F.col("first") + F.col("i")) % every == 0)
+    return t.select("z", "tx", "ty")
+
+
+def materialise(d: Design, index: DataFrame, wanted: DataFrame, path: str, kinds: DataFrame, dry_run: bool = False) -> DataFrame:
+    """z, kind, tiles, records, bytes of the wanted tiles, which are in the store at path afterwards; a dry run makes them and keeps none.
+
+    Bytes are those of the tiles as files. Tiles that hold nothing don't count.
+    """
+    rows = produce(d, index, wanted, kinds).where("m is not null") if dry_run else serve(d, index, wanted, path, kinds)[0]
+    each = rows.groupBy("z", "tx", "ty").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("bucket").alias("buckets"))
+    size = B.TILE_HEADER.itemsize + F.col("buckets") * B.BUCKET.itemsize + F.col("n") * B.PLACEMENT.itemsize
+    out = each.groupBy("z").agg(F.count(F.lit(1)).alias("tiles"), F.sum("n").alias("records"), F.sum(size).alias("bytes"))
+    return out.join(F.broadcast(kinds.select("z", "kind")), "z").select("z", "kind", "tiles", "records", "bytes")
+
+
 def _path(spark: SparkSession, path: str):
     return spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
 
