@@ -5,7 +5,6 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from lamina.operators import holes
 
@@ -92,13 +91,13 @@ def test_nothing_exists_and_nothing_is_missing(spark):
 
 def test_4096_by_4096(spark):
     side = 4096
-    there = "pmod(xxhash64(id), 100) > 3 AND NOT (tx BETWEEN 500 AND 1300 AND ty BETWEEN 700 AND 1500) AND NOT (ty % 512 = 9)"
-    tiles = spark.range(side * side).selectExpr("id", f"id % {side} AS tx", f"id div {side} AS ty").where(there).select("tx", "ty")
-    mask = np.zeros(side * side, bool)
-    ids = tiles.select((F.col("ty") * side + F.col("tx")).alias("id")).toPandas()["id"].to_numpy()
-    mask[ids] = True
-    got = {r.hole: (r.tiles, r.cx, r.cy) for r in holes.coverage_holes(tiles, side).collect()}
-    assert got == flood(mask.reshape(side, side), side, side)
+    spots = "(id * 7919 + id div 13 * 104729 + id div 4099 * 31) % 101 > 3"
+    tiles = spark.range(side * side).selectExpr("id", f"id % {side} AS tx", f"id div {side} AS ty").where(f"{spots} AND NOT (tx BETWEEN 500 AND 1300 AND ty BETWEEN 700 AND 1500) AND ty % 512 <> 9")
+    i = np.arange(side * side)
+    there = ((i * 7919 + i // 13 * 104729 + i // 4099 * 31) % 101 > 3).reshape(side, side)
+    there[700:1501, 500:1301] = there[9::512] = False
+    got = {r.hole: (r.tiles, r.cx, r.cy) for r in holes.coverage_holes(tiles.select("tx", "ty"), side).collect()}
+    assert got == flood(there, side, side) and max(n for n, _, _ in got.values()) > 600_000
 
 
 def test_components_of_made_edges(spark):
