@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina.functions import geometry as G
 from lamina.functions.stats import nearest_rank, weighted_rank
-from lamina.operators import caps, far, ladder, place, validate
+from lamina.operators import caps, far, ladder, place
 from lamina.sources import lef
 from lamina.sources.tables import numbered
 
