@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +73,15 @@ class Scratch:
         self.drop(*(set(self.schemas) - set(names)))
 
 
+def tidy(spark: SparkSession) -> None:
+    """Gives back what nothing refers to any more: shuffle files of ended jobs, on all executors, and memory of the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def join_by_key(rows: DataFrame, keyed: DataFrame, key: str, count: str, total: int | None = None, share: int = 1000) -> DataFrame:
     """rows joined with keyed, which has one row for each key, and how many of rows there are of it.
 

@@ -107,6 +107,40 @@ def test_rounds_within_one_star(spark, tmp_path):
     assert groups(links) == groups(want)
 
 
+def test_no_pair_of_a_band_is_left_out(spark):
+    """Lines like a band's first line meet those that aren't, and pairs that have nothing in common with it are found, in small and large bands."""
+    r = random.Random(5)
+
+    def made(n):
+        return "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+    def chain(n):
+        # Each step is similar to the one before; two steps together are not.
+        x = made(100)
+        steps = [x]
+        for k in range(n - 1):
+            x = x[: 6 * k] + made(6) + x[6 * k + 6 :]
+            steps.append(x)
+        return steps
+
+    bands, lines = [], []
+    for band, own in enumerate([chain(3), chain(9), [made(100), *chain(2)], [made(100) for _ in range(6)] + chain(3)]):
+        for line in own:
+            bands.append((band, len(lines)))
+            lines.append((len(lines), line))
+    df = spark.createDataFrame(lines, "h long, line string")
+    scratch = line_dedup_module.Scratch(spark, "test")
+    got = line_dedup_module.links_of(spark.createDataFrame(bands, "band long, h long"), lambda ends: df.join(ends.distinct(), "h"), scratch)
+    links = {(x.a, x.b) for x in got.collect()}
+
+    def similar(x, y):
+        x, y = ({t[k : k + 5] for k in range(len(t) - 4)} for t in (x, y))
+        return 100 * len(x & y) >= 80 * len(x | y)
+
+    want = {(a, b) for a, x in lines for b, y in lines if a < b and similar(x, y)}
+    assert len(want) == 13 and links == want
+
+
 def test_text_of_many_lines(spark):
     """The verdict on a text's lines is linear in their number."""
     text = "\n".join(f"{i * 7919 % 1000003} {i * i}" for i in range(200_000))
