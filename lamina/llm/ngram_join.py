@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import textkernel as K
 from .blocks import deal, pairs, runs
-from .shared import Scratch, connected_components
+from .shared import Scratch, connected_components, tidy
 
 THRESHOLD = 80  # per cent
 WIDTH = 5
@@ -301,6 +301,7 @@ def ngram_jaccard_join(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
 
     posted = docs.mapInArrow(_postings(levels, threshold), "s long, doc_id long, n int, place int, hot boolean")
     posted = scratch.write(posted.where("not hot").repartition(parts, "s").sortWithinPartitions("s", "n").mapInArrow(_shared_only(threshold), posted.schema).unionByName(posted.where("hot")).drop("hot"), "posted")
+    tidy(spark)
 
     links = signs = None
     for turn in range(ROUNDS + 1):
@@ -310,6 +311,7 @@ def ngram_jaccard_join(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
         here = posted.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         mixed = here.groupBy("s").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows"), F.min_by(F.struct("doc_id", "component", "n"), F.xxhash64("doc_id", F.lit(turn))).alias("p")).where("lo < hi")
         here = scratch.write(here.join(mixed.drop("lo", "hi"), "s"), f"mixed{turn}")
+        tidy(spark)
         fits = F.lit(100) * F.least("n", "p.n") >= F.lit(threshold) * F.greatest("n", "p.n")
         if signs is None:
             # Every later candidate is in a mixed region of the first turn.
@@ -321,10 +323,12 @@ def ngram_jaccard_join(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
             rows = here.select("s", "doc_id", "n", "place", "component", "rows").join(signs.select("doc_id", "parity"), "doc_id")
             near = deal(rows, ["s"], "doc_id", "rows", BLOCK).mapInArrow(_pairs(threshold), "a long, b long").distinct()
         near = scratch.write(near, f"near{turn}")
+        tidy(spark)
         ends = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id")))
         sets = scratch.write(docs.mapInArrow(_chosen(_bitmap(ends), False), "doc_id long, items array<long>"), f"sets{turn}")
         links = scratch.write(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(_verified(near, sets, threshold)), f"links{turn}")
         scratch.drop(f"sets{turn}", f"mixed{turn}", f"near{turn}")
+        tidy(spark)
     labels = scratch.write(connected_components(links, scratch, "cc-"), "labels")
     scratch.drop("posted", "signs", "copies", *(f"{x}{i}" for x in ("links", "labels") for i in range(ROUNDS + 1)))
     profile = found.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))

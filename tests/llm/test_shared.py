@@ -1,5 +1,7 @@
 import random
+import time
 
+from lamina.llm import shared
 from lamina.llm.shared import Scratch, connected_components, salted_rank
 
 
@@ -30,3 +32,19 @@ def test_salted_rank_is_gapless(spark):
     df = spark.range(5000).selectExpr("id % 3 AS g", "id AS t")
     got = salted_rank(df, ["g"], "t", "r", 5000, 64).toPandas()
     assert all(sorted(x.r) == list(range(len(x))) for _, x in got.groupby("g"))
+
+
+def test_tidy_deletes_shuffles_of_ended_jobs(spark, tmp_path):
+    """Without it they stay until the driver happens to collect garbage."""
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shared.tidy(spark)
+    time.sleep(2)
+    before = blocks.getAllFiles().size()
+    spark.range(100_000).selectExpr("id % 1000 AS k").repartition(4, "k").write.parquet(f"{tmp_path}/x")
+    assert blocks.getAllFiles().size() > before
+    for _ in range(20):
+        shared.tidy(spark)
+        time.sleep(0.5)
+        if blocks.getAllFiles().size() <= before:
+            return
+    raise AssertionError("shuffle files are left")
