@@ -10,8 +10,8 @@ a band no pair is left out: the lines of a small band are all compared; in a lar
 one each is compared with the band's first line (a star), and the others meet in
 regions.
 
-A region is a shingle: a line lies in those of its first shingles, as many as a
-similar line can't lack entirely, in an order that puts the first line's own last
+A region is a shingle: a line lies in those of its first shingles, of which a
+similar line has SHARED at least (or all that it shares, if fewer), in an order that puts the first line's own last
 (prefix filtering). So lines that owe their band to a passage that the first line
 has too meet by what else they have. Lines that links connect already need no
 further pair between them, so copies of one line make none.
@@ -39,6 +39,10 @@ MANY, SPARSE = 8, 16
 SHINGLE = 5
 #: Lines of a band up to which all of them are compared at once.
 FEW = 4
+#: Regions that a pair has in common before it is compared.
+SHARED = 5
+#: Of regions with BUSY rows or more, those of a line's first NEXT shingles, each line is first compared with the one before it.
+BUSY, NEXT = 8, 16
 #: Slots of the bitmaps that keep lines without a part in the join out of it; 1 MB at most, whatever the input.
 SLOTS = 1 << 22
 
@@ -118,7 +122,7 @@ def _compared(threshold: int) -> Column:
         common = F.col("ny") - F.size(s["rest"])
         same = F.lit(100) * common >= F.lit(threshold) * (F.col("nx") + F.size(s["rest"]))
         order = F.concat(F.sort_array(s["rest"]), F.sort_array(F.array_intersect(s["y"], s["x"])))
-        size = F.col("ny") - F.ceil(F.col("ny") * threshold / F.lit(100)).cast("int") + 1
+        size = F.col("ny") - F.ceil(F.col("ny") * threshold / F.lit(100)).cast("int") + SHARED
         return F.struct(same.alias("same"), F.when(F.col("star"), F.slice(order, 1, size)).alias("first"))
 
     sets = F.struct(_set("x").alias("x"), _set("y").alias("y"))
@@ -143,19 +147,37 @@ def _judged(pairs: DataFrame, text: DataFrame, threshold: int) -> DataFrame:
     return both.select("a", "b", "star", "ny", _compared(threshold).alias("r")).select("a", "b", "star", "ny", "r.*")
 
 
-def _in_regions(stars: DataFrame, labels: DataFrame, scratch: Scratch, threshold: int) -> DataFrame:
-    """(a, b) of a star's lines b that may be similar and aren't connected yet, from stars (a, b, ny, first) and labels (node, component)."""
+def _mixed(own: DataFrame) -> DataFrame:
+    """The rows of the regions (a, s) that hold lines of two components."""
+    region = Window.partitionBy("a", "s")
+    return own.select("*", F.min("component").over(region).alias("lo"), F.max("component").over(region).alias("hi")).where("lo < hi").drop("lo", "hi")
+
+
+def _regions(stars: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, s, b, component, n, place, left) of the lines b of stars (a, b, ny, first), by labels (node, component)."""
     own = stars.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
     mixed = own.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
     own = own.join(mixed, "a").select("a", "b", "component", F.col("ny").alias("n"), F.posexplode("first").alias("place", "s"))
+    return _mixed(own).withColumn("left", F.col("n") - F.col("place"))
+
+
+def _next(own: DataFrame) -> DataFrame:
+    """(a, b) of lines and the ones before them in busy regions: few pairs, which connect most of a group of copies."""
     region = Window.partitionBy("a", "s")
-    own = own.select("*", F.min("component").over(region).alias("lo"), F.max("component").over(region).alias("hi")).where("lo < hi").drop("lo", "hi")
-    own = scratch.write(own.withColumn("left", F.col("n") - F.col("place")), "regions")
+    order = region.orderBy(F.xxhash64("b", "s"), "b")
+    near = own.where(F.col("place") < NEXT).select("b", "component", F.count(F.lit(1)).over(region).alias("rows"), F.lag("b").over(order).alias("c"), F.lag("component").over(order).alias("other"))
+    return near.where((F.col("rows") >= BUSY) & (F.col("component") != F.col("other"))).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
+
+
+def _in_regions(own: DataFrame, threshold: int) -> DataFrame:
+    """(a, b) of lines of regions that may be similar and aren't connected yet."""
     x, y = (own.select("a", "s", *(F.col(c).alias(f"{c}_{k}") for c in ("b", "component", "n", "left"))) for k in "xy")
-    # If this is their first shared shingle, what follows it must suffice for the overlap.
-    enough = (100 + threshold) * F.least("left_x", "left_y") >= F.lit(threshold) * (F.col("n_x") + F.col("n_y"))
-    both = x.join(y, ["a", "s"]).where("b_x < b_y and component_x <> component_y").where(enough)
-    return both.select(F.col("b_x").alias("a"), F.col("b_y").alias("b")).distinct()
+    # A similar pair's overlap is least or more; of its first SHARED shared shingles, what follows each must suffice for it.
+    both = x.join(y, ["a", "s"]).where("b_x < b_y and component_x <> component_y")
+    both = both.where((100 + threshold) * (F.least("left_x", "left_y") + SHARED - 1) >= F.lit(threshold) * (F.col("n_x") + F.col("n_y")))
+    least = F.expr(f"({threshold} * n + {99 + threshold}) div {100 + threshold}")
+    met = both.groupBy("a", "b_x", "b_y").agg(F.count(F.lit(1)).alias("met"), F.first(F.col("n_x") + F.col("n_y")).alias("n"))
+    return met.where(F.col("met") >= F.least(F.lit(SHARED), least)).select(F.col("b_x").alias("a"), F.col("b_y").alias("b")).distinct()
 
 
 def _linked(bands: DataFrame, text_of, scratch: Scratch, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
@@ -171,8 +193,22 @@ def _linked(bands: DataFrame, text_of, scratch: Scratch, threshold: int) -> tupl
     stars = looked.where("star").select("a", "b", "ny", "first")
     if stars.isEmpty():
         return links, labels, None
-    more = scratch.write(_in_regions(stars, labels, scratch, threshold).withColumn("star", F.lit(False)), "met")
-    return links, labels, scratch.write(_judged(more, text, threshold).where("same").select("a", "b"), "more")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = scratch.write(pairs.withColumn("star", F.lit(False)), f"met{name}")
+        return scratch.write(_judged(pairs, text, threshold).where("same").select("a", "b"), f"more{name}")
+
+    own = scratch.write(_regions(stars, labels), "regions")
+    more = verified(_next(own), "0")
+    if not more.isEmpty():
+        joined = scratch.write(connected_components(more.unionByName(_edges(labels)), scratch, "cc-next"), "joined")
+        own = own.drop("component").join(joined.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
+        own = scratch.write(_mixed(own), "regions1")
+    tidy(scratch.spark)
+    return links, labels, more.unionByName(verified(_in_regions(own, threshold), "1"))
+
+
+def _edges(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
 def links_of(bands: DataFrame, text_of, scratch: Scratch, threshold: int = THRESHOLD) -> DataFrame:
@@ -197,7 +233,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratch
     nodes = seen.groupBy("h").agg(F.first("bands").alias("bands"))
     _, labels, more = _linked(nodes.select("h", F.explode("bands").alias("band")), text_of, scratch, threshold)
     if more is not None and not more.isEmpty():
-        labels = scratch.write(connected_components(more.unionByName(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))), scratch, "all"), "labels")
+        labels = scratch.write(connected_components(more.unionByName(_edges(labels)), scratch, "all"), "labels")
 
     # The lines that stand several times or in a component, and the one of each that stays.
     group = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or component is not null")
