@@ -7,14 +7,14 @@ and short lines by those of 5 characters.
 Two neighbouring minima make a band. Lines that share a band are candidates, and
 are verified by the exact Jaccard similarity of their 5-character shingles. Within
 a band no pair is left out: the lines of a small band are all compared; in a large
-one each is compared with the band's first line (a star), and the others meet in
-regions.
+one each is compared with up to three pivots (stars), and then with all lines that
+links don't connect it to by then, the closest of two components first. So copies
+of one line need few pairs.
 
-A region is a shingle: a line lies in those of its first shingles, of which a
-similar line has SHARED at least (or all that it shares, if fewer), in an order that puts the first line's own last
-(prefix filtering). So lines that owe their band to a passage that the first line
-has too meet by what else they have. Lines that links connect already need no
-further pair between them, so copies of one line make none.
+Each line has parities: for each of 1,024 slots, whether an odd number of its
+shingles fall into it. Those of two sets differ in no more slots than the sets in
+shingles, so they rule out most pairs within the join, without the texts and
+without losing any that is similar. What they let through is verified.
 
 Distributed union-find merges the verified links. Of each component, the line
 that comes first in the corpus stays. Equal lines are one node from the start,
@@ -39,10 +39,10 @@ MANY, SPARSE = 8, 16
 SHINGLE = 5
 #: Lines of a band up to which all of them are compared at once.
 FEW = 4
-#: Regions that a pair has in common before it is compared.
-SHARED = 5
-#: Of regions with BUSY rows or more, those of a line's first NEXT shingles, each line is first compared with the one before it.
-BUSY, NEXT = 8, 16
+#: Words of 64 slots of a line's parities.
+WORDS = 16
+#: Lines of a band, about, that are compared in one cell.
+BLOCK = 1024
 #: Slots of the bitmaps that keep lines without a part in the join out of it; 1 MB at most, whatever the input.
 SLOTS = 1 << 22
 
@@ -112,99 +112,108 @@ def _within(rows: DataFrame, bits: DataFrame) -> DataFrame:
 
 def _set(line: str) -> Column:
     """The hashes of the shingles that similarity is defined on."""
-    return F.array_distinct(F.transform(_at_every(line, SHINGLE), lambda s: F.xxhash64(s)))
+    return F.array_distinct(F.transform(_at_every(F.col(line), SHINGLE), lambda s: F.xxhash64(s)))
 
 
-def _compared(threshold: int) -> Column:
-    """(same, first) of lines x and y: whether they are similar, and for a star y's regions, shingles that x lacks first."""
+def _signs(text: DataFrame) -> DataFrame:
+    """(h, n, p0, p1, ...) of lines (h, line): the size of a line's set, and for each of its slots the parity of the shingles there."""
+    each = text.select("h", F.explode(_set("line")).alias("s"))
+    word = F.shiftright("s", 6).bitwiseAND(F.lit(WORDS - 1))
+    bit = F.expr("shiftleft(1L, cast(s & 63 as int))")
+    return each.groupBy("h").agg(F.count(F.lit(1)).cast("int").alias("n"), *(F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(f"p{k}") for k in range(WORDS)))
 
-    def judged(s: Column) -> Column:
-        common = F.col("ny") - F.size(s["rest"])
-        same = F.lit(100) * common >= F.lit(threshold) * (F.col("nx") + F.size(s["rest"]))
-        order = F.concat(F.sort_array(s["rest"]), F.sort_array(F.array_intersect(s["y"], s["x"])))
-        size = F.col("ny") - F.ceil(F.col("ny") * threshold / F.lit(100)).cast("int") + SHARED
-        return F.struct(same.alias("same"), F.when(F.col("star"), F.slice(order, 1, size)).alias("first"))
 
-    sets = F.struct(_set("x").alias("x"), _set("y").alias("y"))
-    return _bound(_bound(sets, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y"), F.array_except(s["y"], s["x"]).alias("rest"))), judged)
+def _signed(rows: DataFrame, signs: DataFrame, key: str) -> DataFrame:
+    """rows with the signs of the lines in column key, under names with that key behind."""
+    return rows.join(signs.select(F.col("h").alias(key), *(F.col(c).alias(f"{c}_{key}") for c in signs.columns if c != "h")), key)
 
 
-def _stars(bands: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b, star): all pairs of the lines of bands (band, h) of at most FEW, and each line b of a larger one against its first line a."""
-    band = Window.partitionBy("band")
-    here = bands.select("band", "h", F.min("h").over(band).alias("lo"), F.max("h").over(band).alias("hi"), F.count(F.lit(1)).over(band).alias("rows"))
-    here = scratch.write(here.where("lo < hi").drop("hi"), "members")
-    few = here.where(F.col("rows") <= FEW)
-    few = few.select("band", F.col("h").alias("a")).join(few.select("band", F.col("h").alias("b")), "band").where("a < b")
-    large = here.where(F.col("rows") > FEW).where("h <> lo").select(F.col("lo").alias("a"), F.col("h").alias("b"), F.lit(True).alias("star"))
-    return few.select("a", "b", F.lit(False).alias("star")).unionByName(large).groupBy("a", "b").agg(F.max("star").alias("star"))
+def _far(a: str, b: str) -> Column:
+    """Slots in which the parities of lines a and b differ."""
+    return sum((F.bit_count(F.col(f"p{k}_{a}").bitwiseXOR(F.col(f"p{k}_{b}"))) for k in range(WORDS)), F.lit(0))
+
+
+def _may_link(threshold: int, a: str, b: str) -> Column:
+    """Whether sizes and parities allow lines a and b to be similar; no similar pair is ruled out.
+
+    Parities differ in at most as many slots as the sets in shingles, and similar
+    sets differ in few.
+    """
+    n, m = F.col(f"n_{a}"), F.col(f"n_{b}")
+    return (F.lit(100) * F.least(n, m) >= F.lit(threshold) * F.greatest(n, m)) & (F.lit(100 + threshold) * _far(a, b) <= F.lit(100 - threshold) * (n + m))
+
 
+def _stars(members: DataFrame) -> DataFrame:
+    """(a, b): all pairs of the lines of bands (band, h, lo, hi, any, rows) of at most FEW, and each line of a larger one with its pivots."""
+    few = members.where(F.col("rows") <= FEW)
+    few = few.select("band", F.col("h").alias("a")).join(few.select("band", F.col("h").alias("b")), "band").where("a < b").select("a", "b")
+    large = members.where(F.col("rows") > FEW).select("h", F.explode(F.array("lo", "hi", "any")).alias("p")).where("h <> p")
+    return few.unionByName(large.select(F.least("h", "p").alias("a"), F.greatest("h", "p").alias("b"))).distinct()
 
-def _judged(pairs: DataFrame, text: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, star, ny, same, first) of pairs (a, b, star) that are stars or of fitting sizes."""
-    x, y = (text.select(F.col("h").alias(k), F.col("line").alias(v), F.col("n").alias(f"n{v}")) for k, v in ("ax", "by"))
-    both = pairs.join(x, "a").join(y, "b").where(F.col("star") | (F.lit(100) * F.least("nx", "ny") >= F.lit(threshold) * F.greatest("nx", "ny")))
-    return both.select("a", "b", "star", "ny", _compared(threshold).alias("r")).select("a", "b", "star", "ny", "r.*")
 
+def _verified(pairs: DataFrame, text: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose lines are similar."""
+    x, y = (text.select(F.col("h").alias(k), F.col("line").alias(v)) for k, v in ("ax", "by"))
 
-def _mixed(own: DataFrame) -> DataFrame:
-    """The rows of the regions (a, s) that hold lines of two components."""
-    region = Window.partitionBy("a", "s")
-    return own.select("*", F.min("component").over(region).alias("lo"), F.max("component").over(region).alias("hi")).where("lo < hi").drop("lo", "hi")
+    def similar(s: Column) -> Column:
+        common = F.size(F.array_intersect(s["x"], s["y"]))
+        return _bound(common, lambda c: F.lit(100) * c >= F.lit(threshold) * (F.size(s["x"]) + F.size(s["y"]) - c))
 
+    return pairs.join(x, "a").join(y, "b").where(_bound(F.struct(_set("x").alias("x"), _set("y").alias("y")), similar)).select("a", "b")
 
-def _regions(stars: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, s, b, component, n, place, left) of the lines b of stars (a, b, ny, first), by labels (node, component)."""
-    own = stars.join(labels.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-    mixed = own.groupBy("a").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("a")
-    own = own.join(mixed, "a").select("a", "b", "component", F.col("ny").alias("n"), F.posexplode("first").alias("place", "s"))
-    return _mixed(own).withColumn("left", F.col("n") - F.col("place"))
 
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (lo, h, component, rows) of the large bands that hold lines of two components, by labels (node, component); bands of one first line are taken together."""
+    large = members.where(F.col("rows") > FEW).select("lo", "h").distinct().join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("component", F.coalesce("component", "h"))
+    group = Window.partitionBy("lo")
+    large = large.select("*", F.min("component").over(group).alias("least"), F.max("component").over(group).alias("most"), F.count(F.lit(1)).over(group).alias("rows"))
+    return large.where("least < most").drop("least", "most")
 
-def _next(own: DataFrame) -> DataFrame:
-    """(a, b) of lines and the ones before them in busy regions: few pairs, which connect most of a group of copies."""
-    region = Window.partitionBy("a", "s")
-    order = region.orderBy(F.xxhash64("b", "s"), "b")
-    near = own.where(F.col("place") < NEXT).select("b", "component", F.count(F.lit(1)).over(region).alias("rows"), F.lag("b").over(order).alias("c"), F.lag("component").over(order).alias("other"))
-    return near.where((F.col("rows") >= BUSY) & (F.col("component") != F.col("other"))).select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b")).distinct()
 
+def _unlinked(rows: DataFrame, signs: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, far, u, v) of the lines of different components u and v in one group (lo, h, component, rows) that signs let through, in cells of bounded size."""
+    cut = _signed(rows.withColumn("chunks", F.ceil(F.col("rows") / BLOCK).cast("int")).withColumnRenamed("h", "x"), signs, "x")
+    cut = cut.withColumn("i", F.pmod(F.xxhash64("x", F.lit(7)), F.col("chunks")).cast("int"))
+    left = cut.withColumn("j", F.explode(F.sequence("i", F.col("chunks") - 1))).drop("rows", "chunks")
+    right = cut.withColumnRenamed("i", "j").withColumn("i", F.explode(F.sequence(F.lit(0), "j"))).drop("rows", "chunks")
+    right = right.select("lo", "i", "j", *(F.col(c).alias("y" if c == "x" else c.removesuffix("_x") + "_y") for c in right.columns if c not in ("lo", "i", "j")))
+    both = left.join(right, ["lo", "i", "j"]).where((F.col("component") != F.col("component_y")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & _may_link(threshold, "x", "y"))
+    own = (f(*c).alias(k) for f, c, k in ((F.least, "xy", "a"), (F.greatest, "xy", "b"), (F.least, ("component", "component_y"), "u"), (F.greatest, ("component", "component_y"), "v")))
+    return both.select(*own, _far("x", "y").alias("far")).distinct()
 
-def _in_regions(own: DataFrame, threshold: int) -> DataFrame:
-    """(a, b) of lines of regions that may be similar and aren't connected yet."""
-    x, y = (own.select("a", "s", *(F.col(c).alias(f"{c}_{k}") for c in ("b", "component", "n", "left"))) for k in "xy")
-    # A similar pair's overlap is least or more; of its first SHARED shared shingles, what follows each must suffice for it.
-    both = x.join(y, ["a", "s"]).where("b_x < b_y and component_x <> component_y")
-    both = both.where((100 + threshold) * (F.least("left_x", "left_y") + SHARED - 1) >= F.lit(threshold) * (F.col("n_x") + F.col("n_y")))
-    least = F.expr(f"({threshold} * n + {99 + threshold}) div {100 + threshold}")
-    met = both.groupBy("a", "b_x", "b_y").agg(F.count(F.lit(1)).alias("met"), F.first(F.col("n_x") + F.col("n_y")).alias("n"))
-    return met.where(F.col("met") >= F.least(F.lit(SHARED), least)).select(F.col("b_x").alias("a"), F.col("b_y").alias("b")).distinct()
+
+def _still_apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, u, v) whose components u and v aren't one by labels (node, component)."""
+    for k in "uv":
+        pairs = pairs.join(labels.select(F.col("node").alias(k), F.col("component").alias(f"now_{k}")), k, "left")
+    return pairs.where(F.coalesce("now_u", "u") != F.coalesce("now_v", "v")).select("a", "b")
 
 
 def _linked(bands: DataFrame, text_of, scratch: Scratch, threshold: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Links (a, b) of first lines and small bands, the components that they make, and the links of regions, if there are any."""
-    pairs = scratch.write(_stars(bands, scratch), "pairs")
+    """Links (a, b) of pivots and small bands, the components that they make, and the links of what they leave apart, if there are any."""
+    band = Window.partitionBy("band")
+    members = bands.select("band", "h", F.min("h").over(band).alias("lo"), F.max("h").over(band).alias("hi"), F.min_by("h", F.xxhash64("h")).over(band).alias("any"), F.count(F.lit(1)).over(band).alias("rows"))
+    members = scratch.write(members.where("lo < hi"), "members")
+    text = scratch.write(text_of(members.select("h")).select("h", "line"), "text")
     tidy(scratch.spark)
-    ends = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h")))
-    text = scratch.write(text_of(ends).select("h", "line", F.size(F.array_distinct(_at_every(F.col("line"), SHINGLE))).alias("n")), "text")
-    looked = scratch.write(_judged(pairs, text, threshold).where("same or star"), "looked")
+    signs = scratch.write(_signs(text), "signs")
+    near = scratch.write(_signed(_signed(_stars(members), signs, "a"), signs, "b").where(_may_link(threshold, "a", "b")).select("a", "b"), "near")
+    links = scratch.write(_verified(near, text, threshold), "links")
+    labels = scratch.write(connected_components(links, scratch, "cc"), "labels")
+    rest = scratch.write(_apart(members, labels), "apart")
+    scratch.drop("members", "near")
     tidy(scratch.spark)
-    links = looked.where("same").select("a", "b")
-    labels = scratch.write(connected_components(links, scratch, "cc"), "near")
-    stars = looked.where("star").select("a", "b", "ny", "first")
-    if stars.isEmpty():
+    if rest.isEmpty():
         return links, labels, None
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = scratch.write(pairs.withColumn("star", F.lit(False)), f"met{name}")
-        return scratch.write(_judged(pairs, text, threshold).where("same").select("a", "b"), f"more{name}")
-
-    own = scratch.write(_regions(stars, labels), "regions")
-    more = verified(_next(own), "0")
-    if not more.isEmpty():
-        joined = scratch.write(connected_components(more.unionByName(_edges(labels)), scratch, "cc-next"), "joined")
-        own = own.drop("component").join(joined.withColumnRenamed("node", "b"), "b", "left").withColumn("component", F.coalesce("component", "b"))
-        own = scratch.write(_mixed(own), "regions1")
+    more = scratch.write(_unlinked(rest, signs, threshold), "unlinked")
+    # Of two components the closest lines first: if these link, no other pair of both is needed.
+    closest = more.groupBy("u", "v").agg(F.min_by(F.struct("a", "b"), F.struct("far", "a", "b")).alias("p")).select("p.a", "p.b")
+    joined = scratch.write(_verified(closest, text, threshold), "closest")
+    labels = scratch.write(connected_components(joined.unionByName(_edges(labels)), scratch, "cc-closest"), "joined")
+    more = scratch.write(_verified(_still_apart(more, labels), text, threshold), "more")
+    scratch.drop("apart", "unlinked", "text", "signs")
     tidy(scratch.spark)
-    return links, labels, more.unionByName(verified(_in_regions(own, threshold), "1"))
+    return links.unionByName(joined), labels, more
 
 
 def _edges(labels: DataFrame) -> DataFrame:
@@ -233,7 +242,7 @@ def removed_lines(docs: DataFrame, threshold: int = THRESHOLD, scratch: Scratch
     nodes = seen.groupBy("h").agg(F.first("bands").alias("bands"))
     _, labels, more = _linked(nodes.select("h", F.explode("bands").alias("band")), text_of, scratch, threshold)
     if more is not None and not more.isEmpty():
-        labels = scratch.write(connected_components(more.unionByName(_edges(labels)), scratch, "all"), "labels")
+        labels = scratch.write(connected_components(more.unionByName(_edges(labels)), scratch, "all"), "all")
 
     # The lines that stand several times or in a component, and the one of each that stays.
     group = seen.groupBy("h").agg(F.count(F.lit(1)).alias("n")).join(labels.withColumnRenamed("node", "h"), "h", "left").where("n > 1 or component is not null")

@@ -141,6 +141,26 @@ def test_no_pair_of_a_band_is_left_out(spark):
     assert len(want) == 13 and links == want
 
 
+def test_few_pairs_of_a_large_band_are_verified(spark, monkeypatch):
+    """Unlike lines that share a passage are ruled out without their texts, and copies of one line are linked by few pairs."""
+    r = random.Random(8)
+
+    def made(n):
+        return "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+
+    passage, copy = made(60), made(200)
+    lines = [passage + made(140) for _ in range(300)] + [copy[: 2 * k % 190] + made(4) + copy[2 * k % 190 + 4 :] for k in range(300)]
+    df = spark.createDataFrame(list(enumerate(lines)), "h long, line string")
+    seen, verified = [], line_dedup_module._verified
+    monkeypatch.setattr(line_dedup_module, "_verified", lambda pairs, *rest: seen.append(pairs.count()) or verified(pairs, *rest))
+    scratch = line_dedup_module.Scratch(spark, "test")
+    got = line_dedup_module.links_of(df.select(F.lit(1).cast("long").alias("band"), "h"), lambda ends: df.join(ends.distinct(), "h"), scratch)
+    links = got.collect()
+    assert all(x.a >= 300 and x.b >= 300 for x in links)
+    assert {r.component for r in line_dedup_module.connected_components(got, scratch, "t").collect()} == {300}
+    assert len(seen) >= 1 and sum(seen) < 2_000
+
+
 def test_text_of_many_lines(spark):
     """The verdict on a text's lines is linear in their number."""
     text = "\n".join(f"{i * 7919 % 1000003} {i * i}" for i in range(200_000))
