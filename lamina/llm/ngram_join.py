@@ -257,10 +257,12 @@ def _screened(pairs: DataFrame, signs: DataFrame, threshold: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs (a, b) at or over the threshold, by exact intersection."""
-    a = sets.select(F.col("doc_id").alias("a"), F.col("items").alias("sa"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("items").alias("sb"))
+def _verified(pairs: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) at or over the threshold, by exact intersection.
+
+    Each side's sets are made anew from the texts, so that none is stored.
+    """
+    a, b = (docs.mapInArrow(_chosen(_bitmap(pairs.select(F.col(c).alias("doc_id"))), False), "doc_id long, items array<long>").select(F.col("doc_id").alias(c), F.col("items").alias(f"s{c}")) for c in "ab")
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(a, "a").join(b, "b").where(100 * both >= threshold * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
@@ -324,10 +326,9 @@ def ngram_jaccard_join(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame
             near = deal(rows, ["s"], "doc_id", "rows", BLOCK).mapInArrow(_pairs(threshold), "a long, b long").distinct()
         near = scratch.write(near, f"near{turn}")
         tidy(spark)
-        ends = near.select(F.col("a").alias("doc_id")).unionByName(near.select(F.col("b").alias("doc_id")))
-        sets = scratch.write(docs.mapInArrow(_chosen(_bitmap(ends), False), "doc_id long, items array<long>"), f"sets{turn}")
-        links = scratch.write(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(_verified(near, sets, threshold)), f"links{turn}")
-        scratch.drop(f"sets{turn}", f"mixed{turn}", f"near{turn}")
+        scratch.drop(f"mixed{turn}")
+        links = scratch.write(labels.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(_verified(near, docs, threshold)), f"links{turn}")
+        scratch.drop(f"near{turn}")
         tidy(spark)
     labels = scratch.write(connected_components(links, scratch, "cc-"), "labels")
     scratch.drop("posted", "signs", "copies", *(f"{x}{i}" for x in ("links", "labels") for i in range(ROUNDS + 1)))

@@ -8,6 +8,7 @@ import pyarrow as pa
 
 from lamina.llm import blocks
 from lamina.llm import textkernel as K
+from lamina.llm import ngram_join as ngram_join_module
 from lamina.llm.ngram_join import ngram_jaccard_join
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -132,3 +133,18 @@ def test_large_region_is_dealt_into_blocks(spark):
         met |= {(a, b) for a in left for b in right}
     assert all((a, b) in met or (b, a) in met for a in range(100) for b in range(a))
     assert np.bincount(got.doc_id).max() == 4
+
+
+def test_sets_are_not_stored(spark, monkeypatch):
+    """The shingle sets of candidates, the largest of its tables, are never written to the shared folder."""
+    wide, write = [], ngram_join_module.Scratch.write
+
+    def noted(self, df, name, by=None):
+        wide.extend(name for _, kind in df.dtypes if kind.startswith("array"))
+        return write(self, df, name, by)
+
+    monkeypatch.setattr(ngram_join_module.Scratch, "write", noted)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " more"), (3, "nothing in common with the others at all")]
+    got = {r.doc_id: r.component_id for r in ngram_join_module.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} and not wide
