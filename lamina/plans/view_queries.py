@@ -133,9 +133,9 @@ _RING = _VIEWS + """, rr AS (SELECT qid, i, greatest(ax - 1, 0) AS ax, least(bx
 def u03(spark, sf_dir):
     """Tiles one step around the visible ones."""
     d = Design(spark, sf_dir)
-    b = view.block_views(d, _views(d))
-    ring = view.tiles_in(view.tile_range(b, d.tile, d.side, 0, 1)).select("qid", "tx", "ty").distinct()
-    return ring.join(view.tiles_in(view.tile_range(b, d.tile, d.side, 0)).select("qid", "tx", "ty"), ["qid", "tx", "ty"], "left_anti")
+    # A range that lies outside the grid by less than the margin has no visible tile, and yet a ring.
+    b = view.block_views(d, _views(d)).selectExpr("qid", *(f"cast(floor({c} / {d.tile}) as bigint) AS {n}" for c, n in (("x0", "ax"), ("y0", "ay"), ("x1", "bx"), ("y1", "by"))))
+    return view.tiles_in(prefix.around(b, "qid", 1, d.side)).select("qid", "tx", "ty")
 
 
 @query("u04_pin_set", _VIEWS + "SELECT qid, tx, ty FROM cull GROUP BY ALL UNION SELECT qid, CAST(-1 AS BIGINT), CAST(-1 AS BIGINT) FROM cull")
