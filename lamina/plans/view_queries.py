@@ -175,7 +175,7 @@ _STEP = ", st AS (SELECT *, qid % 10 AS step FROM cull), wn AS (SELECT DISTINCT
 @query("j09_reconcile", _VIEWS + _STEP + "SELECT coalesce(wn.step, pv.step) AS step, coalesce(wn.tx, pv.tx) AS tx, coalesce(wn.ty, pv.ty) AS ty, CASE WHEN pv.tx IS NULL THEN 'added' WHEN wn.tx IS NULL THEN 'removed' ELSE 'kept' END AS change FROM wn FULL JOIN pv ON wn.step = pv.step AND wn.tx = pv.tx AND wn.ty = pv.ty")
 def j09(spark, sf_dir):
     """Difference of wanted and resident tiles, step by step."""
-    w = _culled(Design(spark, sf_dir)).select(F.expr("qid % 10").alias("step"), "tx", "ty")
+    w = _wanted(Design(spark, sf_dir), "step", "qid % 10").select("step", "tx", "ty")
     return view.reconcile(w, w.withColumn("step", F.col("step") + 1), ["step", "tx", "ty"])
 
 
