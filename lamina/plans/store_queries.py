@@ -102,7 +102,7 @@ def o07(spark, sf_dir):
 def k13(spark, sf_dir):
     """Tiles that a disk cache of a byte budget keeps, most recently used first."""
     d = Design(spark, sf_dir)
-    used = _culled(d).groupBy("tx", "ty").agg(F.max("qid").alias("used"))
+    used = prefix.most_over(_ranges(d).withColumnRenamed("qid", "used"), "used")
     b = used.join(P.tile_counts(d), ["tx", "ty"]).withColumn("bytes", F.expr("64 + 12 * n"))
     # No tile has less than 64 bytes, so no more tiles than this can be held.
     first = b.orderBy(F.desc("used"), "ty", "tx").limit(300_000 // 64)
