@@ -113,7 +113,7 @@ def k13(spark, sf_dir):
 @query("k14_tile_metrics", _VIEWS + "SELECT i, count(*) AS requests, count(DISTINCT (tx, ty)) AS tiles FROM cull GROUP BY i")
 def k14(spark, sf_dir):
     """Tile requests by instance."""
-    return _culled(Design(spark, sf_dir)).groupBy("i").agg(count().alias("requests"), F.count_distinct("tx", "ty").alias("tiles"))
+    return _wanted(Design(spark, sf_dir), "i", "i").groupBy("i").agg(F.sum("n").alias("requests"), count().alias("tiles"))
 
 
 @query("k15_view_state", _VIEWS + "SELECT qid, x0, y0 FROM vw")
