@@ -194,7 +194,7 @@ def o02(spark, sf_dir):
     """The eight requests that run first."""
     d = Design(spark, sf_dir)
     dist = F.expr(f"abs(tx - {d.side // 2}) + abs(ty - {d.side // 2})")
-    return _culled(d).groupBy("tx", "ty").agg(F.min("i").alias("priority"), F.min(dist).alias("dist")).orderBy("priority", "dist", "ty", "tx").limit(8)
+    return _wanted(d, "i", "i").groupBy("tx", "ty").agg(F.min("i").alias("priority"), F.min(dist).alias("dist")).orderBy("priority", "dist", "ty", "tx").limit(8)
 
 
 def _rungs(d: Design):
