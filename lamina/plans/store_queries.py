@@ -77,7 +77,8 @@ def f11(spark, sf_dir):
 @query("o04_first_instance", _VIEWS + "SELECT qid, min(i) AS i FROM cull GROUP BY qid")
 def o04(spark, sf_dir):
     """The first instance, in chip order, that shows anything to each view."""
-    return _culled(Design(spark, sf_dir)).groupBy("qid").agg(F.min("i").alias("i"))
+    d = Design(spark, sf_dir)
+    return prefix.not_empty(_ranges(d), _existing(d)).groupBy("qid").agg(F.min("i").alias("i"))
 
 
 @query("o05_first_density_block", _DEN + """, pk AS (SELECT event_id AS qid, (event_id * 7919) % 2500000 AS cx, (event_id * 104729) % 2500000 AS cy FROM events) SELECT qid, min("by" * rside + bx) AS block FROM pk JOIN den ON bx = cx * (SELECT max(rside) FROM rs) // (SELECT world FROM geo) AND "by" = cy * (SELECT max(rside) FROM rs) // (SELECT world FROM geo), rs WHERE logic + fill >= 0.004 GROUP BY qid""")
