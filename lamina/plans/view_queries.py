@@ -121,7 +121,7 @@ def j05(spark, sf_dir):
 @query("u02_wanted_set", _VIEWS + "SELECT tx, ty, CAST(min(i) AS INTEGER) AS priority, count(*) AS wanted_by FROM cull GROUP BY tx, ty")
 def u02(spark, sf_dir):
     """Tiles wanted by any view and instance, once each, with the best priority."""
-    return _culled(Design(spark, sf_dir)).groupBy("tx", "ty").agg(F.min("i").alias("priority"), count().alias("wanted_by"))
+    return _wanted(Design(spark, sf_dir), "i", "i").groupBy("tx", "ty").agg(F.min("i").alias("priority"), F.sum("n").alias("wanted_by"))
 
 
 _RING = _VIEWS + """, rr AS (SELECT qid, i, greatest(ax - 1, 0) AS ax, least(bx + 1, side - 1) AS bx, greatest(ay - 1, 0) AS ay, least(byy + 1, side - 1) AS byy FROM (SELECT qid, i, CAST(floor(x0 / tile) AS BIGINT) AS ax, CAST(floor(x1 / tile) AS BIGINT) AS bx, CAST(floor(y0 / tile) AS BIGINT) AS ay, CAST(floor(y1 / tile) AS BIGINT) AS byy FROM bv, geo), geo
