@@ -1,14 +1,14 @@
 """A seeded synthetic design: macros apart from each other, rows of cells between them, power straps.
 
 Macros are the greedy choice among candidate places in the order of their
-priorities. A candidate is taken once no undecided one that it conflicts with
-comes before it, and then those that it conflicts with go; these rounds choose
-what taking candidates one by one would, and their number grows like the
-logarithm of the candidates.
+priorities. The first undecided ones are decided one by one, a bounded number
+at a time, and then all that those taken conflict with go. Macros that are taken
+don't overlap, so the die bounds their number and pairs of candidates are never listed.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ from ..sources.tables import DIE, PITCH, SITE, Design
 ROW_H = 1000
 #: Macros of each master, places drawn for each, and the room that stays free around one.
 COPIES, ATTEMPTS, PADDING = 12, 6, 20_000
+#: Candidates that are decided one by one on the driver at a time.
+AT_ONCE = 4096
 
 
 def candidates(masters: DataFrame, seed: int, copies: int = COPIES, attempts: int = ATTEMPTS, die: int = DIE) -> DataFrame:
@@ -33,19 +35,6 @@ def candidates(masters: DataFrame, seed: int, copies: int = COPIES, attempts: in
     return own.selectExpr("id", "owner", "prio", "m", "o", "x0", "y0", "x0 + bw AS x1", "y0 + bh AS y1")
 
 
-def conflicts(places: DataFrame, padding: int = PADDING) -> DataFrame:
-    """(a, b): pairs of which a comes first and that are of one owner or closer than padding. Places meet in the grid cells that they reach."""
-    p = places.withColumn("key", F.struct("prio", "id"))
-    cell = (places.agg(F.max(F.greatest(F.expr("x1 - x0"), F.expr("y1 - y0")))).first()[0] or 1) + padding
-    span = lambda lo, hi: F.explode(F.expr(f"sequence({lo} div {cell}, ({hi} + {padding}) div {cell})"))
-    at = p.select("id", "key", "x0", "y0", "x1", "y1").withColumn("cx", span("x0", "x1")).withColumn("cy", span("y0", "y1"))
-    a, b = at.alias("a"), at.alias("b")
-    near = a.join(b, ["cx", "cy"]).where(f"a.key < b.key and a.x0 < b.x1 + {padding} and b.x0 < a.x1 + {padding} and a.y0 < b.y1 + {padding} and b.y0 < a.y1 + {padding}")
-    q = p.select("id", "key", "owner")
-    same = q.alias("a").join(q.alias("b"), "owner").where("a.key < b.key")
-    return near.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).unionByName(same.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))).distinct()
-
-
 def first_come(nodes: DataFrame, edges: DataFrame, path: str, rounds: int = 200) -> DataFrame:
     """ids of nodes (id) that are taken one by one unless a taken one has an edge (a before b) with it."""
     spark = nodes.sparkSession
@@ -67,13 +56,37 @@ def first_come(nodes: DataFrame, edges: DataFrame, path: str, rounds: int = 200)
     raise RuntimeError(f"undecided places after {rounds} rounds")
 
 
-def macros(spark: SparkSession, masters: DataFrame, seed: int, copies: int = COPIES, attempts: int = ATTEMPTS, padding: int = PADDING, die: int = DIE) -> DataFrame:
-    """m, o, x0, y0, x1, y1 of the macros of a design, one of each copy at most."""
+def _greedy(rows: list, padding: int) -> list:
+    """Of candidates in order those that conflict with none taken before."""
+    taken, owners = [], set()
+    box = np.zeros((len(rows), 4), np.int64)
+    for r in rows:
+        t = box[: len(taken)]
+        if r["owner"] in owners or ((t[:, 0] < r["x1"] + padding) & (t[:, 1] < r["y1"] + padding) & (t[:, 2] > r["x0"] - padding) & (t[:, 3] > r["y0"] - padding)).any():
+            continue
+        box[len(taken)] = r["x0"], r["y0"], r["x1"], r["y1"]
+        taken.append(r)
+        owners.add(r["owner"])
+    return taken
+
+
+def macros(spark: SparkSession, masters: DataFrame, seed: int, copies: int = COPIES, attempts: int = ATTEMPTS, padding: int = PADDING, die: int = DIE, at_once: int = AT_ONCE) -> DataFrame:
+    """id, m, o, x0, y0, x1, y1 of the macros of a design, one of each copy at most."""
     path = folder(spark, "macros")
     c = candidates(masters, seed, copies, attempts, die)
     c.write.parquet(f"{path}/places")
-    c = spark.read.schema(c.schema).parquet(f"{path}/places")
-    return c.join(first_come(c, conflicts(c, padding), path), "id").select("id", "m", "o", "x0", "y0", "x1", "y1")
+    undecided, chosen, k = spark.read.schema(c.schema).parquet(f"{path}/places"), [], 0
+    while first := undecided.orderBy("prio", "id").limit(at_once).collect():
+        taken = _greedy(first, padding)
+        chosen += taken
+        last = first[-1]
+        near = F.broadcast(spark.createDataFrame(taken, c.schema).alias("t")) if taken else None
+        left = undecided.where((F.col("prio") > last["prio"]) | (F.col("prio") == last["prio"]) & (F.col("id") > last["id"]))
+        if near is not None:
+            left = left.alias("c").join(near, F.expr(f"c.owner = t.owner or c.x0 < t.x1 + {padding} and t.x0 < c.x1 + {padding} and c.y0 < t.y1 + {padding} and t.y0 < c.y1 + {padding}"), "left_anti")
+        left.write.parquet(f"{path}/undecided{k}")
+        undecided, k = spark.read.schema(c.schema).parquet(f"{path}/undecided{k}"), k + 1
+    return spark.createDataFrame(chosen, c.schema).select("id", "m", "o", "x0", "y0", "x1", "y1")
 
 
 def cells(masters: DataFrame, boxes: DataFrame, seed: int, per_row: int, die: int = DIE) -> DataFrame:

@@ -5,10 +5,14 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lamina import registry
 from lamina.operators import encode, prefix, view
+from lamina.operators import pyramid as P
+from lamina.operators import synthetic as S
 from lamina.sources import binary as B
+from lamina.sources.tables import Design
 
 SF = "/root/testdata/sf0.001"
 needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -97,3 +101,61 @@ def test_ring_around_rectangles_beside_and_beyond_the_grid(spark):
         want |= {(k, x, y) for x, y in near - seen if 0 <= x < side and 0 <= y < side}
     got = [tuple(r) for r in view.tiles_in(prefix.around(rects, "k", 1, side)).select("k", "tx", "ty").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_macros_in_small_batches_are_one_by_one(spark):
+    """4,320 candidates, of which some 200,000 pairs conflict: no pairs are shuffled."""
+    masters = spark.createDataFrame([(m, 1, 196_000 + m % 3 * 2000, 98_000 + m % 5 * 1000) for m in range(60)], "m long, klass int, w long, h long")
+    rows = sorted(S.candidates(masters, 5).collect(), key=lambda r: (r.prio, r.id))
+    taken = []
+    for r in rows:
+        if all(r.owner != t.owner and not (r.x0 < t.x1 + S.PADDING and t.x0 < r.x1 + S.PADDING and r.y0 < t.y1 + S.PADDING and t.y0 < r.y1 + S.PADDING) for t in taken):
+            taken.append(r)
+    assert 20 < len(taken) < 300
+    for at_once in (7, 4096):
+        assert sorted(r.id for r in S.macros(spark, masters, 5, at_once=at_once).collect()) == sorted(t.id for t in taken)
+    assert shuffled(spark, lambda: S.macros(spark, masters, 5).collect()) < 20_000
+
+
+@needs_tables
+def test_hits_of_placements_of_all_sizes(spark):
+    d = Design(spark, SF, per_tile=0.05)
+    points = d.picks.where("qid < 150").withColumn("tag", F.expr("qid + 7"))
+    p = P.tiled(d, True).collect()
+    assert d.max_z >= 8 and len({max(r.w, r.h) * 2 // d.tile for r in p}) > 2
+    want = {(q.qid, r.pno, q.tag, 4 * max(r.w, r.h) > d.tile) for q in points.collect() for r in p if r.x <= q.cx < r.x + r.bw and r.y <= q.cy < r.y + r.bh}
+    got = view.hits(d, points, "tag").select("qid", "pno", "tag", "is_overflow")
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) > 100 and set(rows) == want
+    # Without broadcasts 55,203 records when oversized placements listed tiles of the deepest level.
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert shuffled(spark, lambda: view.hits(d, points).write.format("noop").mode("overwrite").save()) < 40_000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+
+
+@needs_tables
+def test_best_hit_shuffles_no_hits(spark):
+    d = Design(spark, SF)
+    p = d.placements(True).selectExpr("pno", "m", "o", "x", "y", "w AS bw", "h AS bh", "klass")
+    found = spark.range(40).withColumnRenamed("id", "qid").crossJoin(F.broadcast(p.where("pno % 2 = 0"))).withColumn("is_overflow", F.expr("pno % 4 = 0"))
+    rows = found.where("qid = 0").collect()
+    best = min(rows, key=lambda r: (r.bw * r.bh, r.is_overflow, r.pno))
+    got = view.best_hit(d, found).collect()
+    assert {tuple(r)[1:] for r in got} == {(best.pno, best.m, best.klass, best.bw * best.bh, len(rows) - 1)} and len(got) == 40
+    assert shuffled(spark, lambda: view.best_hit(d, found).collect()) < 40_000 < 40 * len(rows)
+
+
+@needs_tables
+def test_edges_of_hits_need_no_join_by_point(spark):
+    plan = registry.queries()["f10_half_open"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join [qid" not in plan
+
+
+@needs_tables
+def test_pairs_of_macros_are_found_once(spark):
+    df = registry.queries()["j12_macro_overlaps"](spark, SF)
+    assert "HashAggregate(keys=[a" not in df._jdf.queryExecution().executedPlan().toString()
+    assert df.count() == df.distinct().count()
