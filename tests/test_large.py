@@ -159,3 +159,15 @@ def test_pairs_of_macros_are_found_once(spark):
     df = registry.queries()["j12_macro_overlaps"](spark, SF)
     assert "HashAggregate(keys=[a" not in df._jdf.queryExecution().executedPlan().toString()
     assert df.count() == df.distinct().count()
+
+
+@needs_tables
+def test_tiles_of_all_levels_from_placements_dealt_once(spark):
+    d = Design(spark, SF, per_tile=2)
+    kinds = P.level_kinds(d).withColumn("kind", F.expr("CASE WHEN z < 2 THEN 'far' WHEN z < 5 THEN 'mid' ELSE 'deep' END")).localCheckpoint()
+    by_file = encode.tile_files(d, kinds, P.placement_rows(d, kinds))
+    want = {(r.path, bytes(r.content)) for r in by_file.collect()}
+    got = encode.tile_files(d, kinds).collect()
+    assert d.max_z > 5 and len(got) == len(want) and {(r.path, bytes(r.content)) for r in got} == want
+    shuffle = lambda df: shuffled(spark, lambda: df.write.format("noop").mode("overwrite").save())
+    assert shuffle(encode.tile_files(d, kinds)) < 0.9 * shuffle(by_file)
